@@ -7,16 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read
+from . import quality, toxicity
+from ._common import held_out, read
+from .decontam import decontaminate
 from .exactdedup import exact_dedup
 from .mixing import plan_mix
 from .sharding import shard_documents
+from .urlfilter import filter_urls
+
+#: The filter list of op3: verdict and `host/path`.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(F.get("positions", F.lit(0)), 9).alias("first_position"))
@@ -26,10 +36,40 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("hits").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
+def op9_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_sharding": op2_jump_sharding,
+    "op3_url_filter": op3_url_filter,
     "op5_curriculum_mix": op5_curriculum_mix,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_toxicity_fm": op9_toxicity_fm,
+    "op10_compression_quality": op10_compression_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -80,4 +120,27 @@ ORACLE_SQL: dict[str, str] = {
                round((SELECT k0 + 2 * (share - u0) / (a + sqrt(a * a + 2 * (b - a) / (k1 - k0) * (share - u0)))
                 FROM v WHERE v.kind = c.kind AND copies > 0 AND share > u0 AND share <= u1), 9) AS first_position
         FROM c""",
+    "op8_benchmark_decontamination": r"""
+        WITH dw AS (
+          SELECT row_number() OVER () AS r, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM documents),
+        bw AS (
+          SELECT item_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM benchmark),
+        win AS (
+          SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, array_to_string(w[i:i + 9], ' ') AS g, least(len(w), 10) AS n
+          FROM bw, unnest(range(1, greatest(2, len(w) - 8))) t(i) WHERE len(w) > 0),
+        spots AS (
+          SELECT r, i, ln AS n, array_to_string(w[i:i + ln - 1], ' ') AS g
+          FROM dw, (SELECT DISTINCT n AS ln FROM win) l, unnest(range(1, len(w) - ln + 2)) t(i)),
+        occ AS (SELECT s.r, s.i, s.n, win.item FROM spots s JOIN win USING (g, n)),
+        hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM occ, unnest(range(i, i + n)) u(p) GROUP BY r),
+        it AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM dw LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""",
 }
