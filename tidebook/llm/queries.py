@@ -12,6 +12,7 @@ from ._common import held_out, read
 from .decontam import decontaminate
 from .exactdedup import exact_dedup
 from .mixing import plan_mix
+from .neardup import near_duplicates
 from .sharding import shard_documents
 from .urlfilter import filter_urls
 
@@ -32,6 +33,10 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(F.get("positions", F.lit(0)), 9).alias("first_position"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep_id", "n_links", "kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_sharding": op2_jump_sharding,
     "op3_url_filter": op3_url_filter,
     "op5_curriculum_mix": op5_curriculum_mix,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_toxicity_fm": op9_toxicity_fm,
@@ -73,6 +79,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_ngram_jaccard_join": r"""
+        WITH RECURSIVE dw AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM documents),
+        g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+              FROM dw, unnest(range(1, greatest(2, len(w) - 3))) t(i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n, string_agg(g, '|' ORDER BY g) AS set FROM g GROUP BY doc_id),
+        rep AS (SELECT doc_id, set, min(doc_id) OVER (PARTITION BY set) AS rep_id FROM n),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 9 * common >= 4 * (na.n + nb.n)),
+        reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+        cls AS (SELECT a, min(least(a, b)) AS class_id FROM reach GROUP BY a),
+        deg AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+        SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(rep_id, d.doc_id) AS rep_id,
+               coalesce(n_links, 0) AS n_links, coalesce(class_id, d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN cls ON cls.a = d.doc_id LEFT JOIN deg ON deg.a = d.doc_id""",
     "op7_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, coalesce(text, '') AS text,
