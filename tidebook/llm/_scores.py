@@ -29,16 +29,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, l
     return list(zip((bytes(x) for x in table["text"].to_pylist()), table["y"].to_pylist(), strict=True))
 
 
-def with_score(docs: DataFrame, score: Callable[[], Callable[[bytes], float]], text_col: str, name: str = "score") -> DataFrame:
+def with_score(docs: DataFrame, score: Callable[[], Callable[[bytes], float]], text_col: str, name: str = "score", keep: list[str] | None = None) -> DataFrame:
     """docs with a column of the model's scores of whole texts; a column of that name is replaced.
-    `score` makes the scorer, once per task; null texts are scored as empty."""
-    docs = docs.drop(name)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    `score` makes the scorer, once per task; null texts are scored as empty. `keep` names the columns
+    that come back from the tasks (all, if None), so that texts need not."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
+    docs = docs.select(*keep, F.col(text_col).cast("binary").alias("__text"))
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField(name, T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = score()
         for batch in batches:
-            values = pa.array([one(x or b"") for x in text_bytes(batch, text_col)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
+            values = pa.array([one(x or b"") for x in text_bytes(batch, "__text")], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=schema.names)
 
     return docs.mapInArrow(scored, schema)

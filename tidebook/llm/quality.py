@@ -94,8 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, longest: int = 32
     return train(labelled_sample(docs, labels, label, rows, longest, id_col, text_col))
 
 
-def score_quality(docs: DataFrame, model: CompressionClassifier, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs, every row, with the score of its whole text (0 to 1). Null and empty texts score the share
+def score_quality(docs: DataFrame, model: CompressionClassifier, text_col: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """docs, every row and all columns or those of `keep`, with the score of its whole text (0 to 1). Null and empty texts score the share
     of good texts in training; a column called like the score is replaced; equal texts score alike; no
     rows give no rows."""
-    return with_score(docs, model.scorer, text_col, name)
+    return with_score(docs, model.scorer, text_col, name, keep)

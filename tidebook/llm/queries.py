@@ -13,6 +13,7 @@ from .decontam import decontaminate
 from .exactdedup import exact_dedup
 from .mixing import plan_mix
 from .neardup import near_duplicates
+from .secretscan import digest_text, scan_secrets
 from .sharding import shard_documents
 from .urlfilter import filter_urls
 
@@ -28,6 +29,21 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(digest_text(base), 256).alias("base_sha256"),
+        digest_text(F.col("spans")).alias("spans"),
+        of("random").alias("n_random"),
+    )
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(F.get("positions", F.lit(0)), 9).alias("first_position"))
@@ -56,20 +72,21 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op9_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs, model)
+    scored = toxicity.score_toxicity(docs, model, keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs, model)
+    scored = quality.score_quality(docs, model, keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_sharding": op2_jump_sharding,
     "op3_url_filter": op3_url_filter,
+    "op4_secret_scan": op4_secret_scan,
     "op5_curriculum_mix": op5_curriculum_mix,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
