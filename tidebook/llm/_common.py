@@ -71,6 +71,11 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
             yield batch.slice(start)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """What a row is known by: its id and its whole text. Rows that repeat in both share it."""
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(text_col).cast("string"), F.octet_length(text_col).cast("string"))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels no model may learn from: crc32(doc_id as text) mod 5 is 0. A null id is
     not held out, and has no label either."""

@@ -255,3 +255,12 @@ def decontaminate(
         merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(x)))).alias(x) for x in ("hits", "items")]
         found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *merged)
     return found.drop("row")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs, all columns, without the rows whose text has a word inside an occurrence of a test window.
+    Rows are told by their text alone, so repeated rows go or stay together."""
+    text = lambda: F.concat_ws(":", F.xxhash64(text_col).cast("string"), F.octet_length(text_col).cast("string"))
+    found = decontaminate(docs.select(text().alias("doc_id"), F.col(text_col).alias("text")), benchmark, **options)
+    found = stored(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
+    return docs.withColumn("__text_key", text()).join(found, F.col("__text_key") == F.col("__hit"), "left_anti").select(*docs.columns)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import stored, text_bytes, words
+from ._common import row_key, stored, text_bytes, words
 
 TILE_DOCS = 256
 TILE_GRAMS = 250_000
@@ -76,13 +76,13 @@ def band_hashes(grams: np.ndarray, factors: np.ndarray, shifts: np.ndarray, band
 
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 11) -> DataFrame:
-    """(doc_id, row, text_hash) to + (grams, digest, buckets): the number of n-grams, a digest of the
+    """(doc_id, row, key) to + (grams, digest, buckets): the number of n-grams, a digest of the
     set, and its bucket in each band. Texts without words get a digest of their own and no bucket."""
     rng = np.random.default_rng(seed)
     factors = rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     shifts = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
     schema = T.StructType(
-        [docs.schema["doc_id"], docs.schema["row"], docs.schema["text_hash"], T.StructField("grams", T.LongType())]
+        [docs.schema["doc_id"], docs.schema["row"], docs.schema["key"], T.StructField("grams", T.LongType())]
         + [T.StructField("digest", T.BinaryType()), T.StructField("buckets", T.ArrayType(T.LongType()))]
     )
 
@@ -96,7 +96,7 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 11) ->
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else b"none%d" % row)
                 buckets.append(band_hashes(own, factors, shifts, bands) if len(own) else [])
             new = [pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
-            kept = [batch.column(k) for k in ("doc_id", "row", "text_hash")]
+            kept = [batch.column(k) for k in ("doc_id", "row", "key")]
             yield pa.RecordBatch.from_arrays([*kept, *new], names=schema.names)
 
     return docs.mapInArrow(sketch, schema)
@@ -215,7 +215,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, hashes: int = 224
 ) -> DataFrame:
-    """One row per row of docs: (doc_id, text_hash, class_id, rep_id, n_links, kept).
+    """One row per row of docs: (doc_id, key, class_id, rep_id, n_links, kept).
 
     Two documents are linked if the Jaccard similarity of their sets of n words in a row is at least
     the threshold; words are A-Z lower-cased. rep_id is the smallest id with the same set, class_id the
@@ -226,9 +226,9 @@ def near_duplicates(
     text, one is kept. No rows give no rows; other columns are not read.
     """
     bands, rows = choose_bands(threshold, recall, hashes)
-    text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    text = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     sketch = stored(sketches(text.withColumn("row", F.monotonically_increasing_id()), n, bands, rows), "sketches")
-    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_hash", "grams", "buckets")
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "key", "grams", "buckets")
     classes = sketch.where("grams > 0").groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes.select("digest", "copies", "best.*"), "classes")
 
@@ -241,15 +241,14 @@ def near_duplicates(
     rooted = stored(led.join(hop, "leader").groupBy("row").agg(F.collect_set("root").alias("roots")), "roots")
 
     # groups and their tiles
-    members = rooted.join(classes.select("row", "doc_id", "text_hash", "copies", "grams"), "row")
+    members = rooted.join(classes.select("row", "key", "copies", "grams"), "row")
     members = stored(members, "members")
     groups = members.select(F.explode("roots").alias("root"), "grams").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("all"))
     groups = stored(groups.select("root", F.greatest(F.ceil(F.col("n") / TILE_DOCS), F.ceil(F.col("all") / TILE_GRAMS)).cast("int").alias("parts"), "n").where("n > 1"), "groups")
     split = members.withColumn("root", F.explode("roots")).join(groups.select("root", "parts"), "root")
     split = split.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    split = split.groupBy("row", "doc_id", "text_hash", "copies", "roots").agg(F.collect_list(F.struct("root", "part", "parts")).alias("places"))
-    t = text.withColumnRenamed("doc_id", "t_id").withColumnRenamed("text_hash", "t_hash")
-    tiles = split.join(t, split["doc_id"].eqNullSafe(t["t_id"]) & (split["text_hash"] == t["t_hash"]))
+    split = split.groupBy("row", "key", "copies", "roots").agg(F.collect_list(F.struct("root", "part", "parts")).alias("places"))
+    tiles = split.join(text.select(F.col("key").alias("t_key"), "text"), F.col("key") == F.col("t_key"))
     tiles = tiles.withColumn("place", F.explode("places")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("place.parts") - 1)))
     low, high = F.least("place.part", "other"), F.greatest("place.part", "other")
     tiles = tiles.select("place.root", low.alias("a"), high.alias("b"), "place.part", "row", "copies", "roots", "text")
@@ -273,11 +272,11 @@ def near_duplicates(
         (F.col("links") + F.col("copies") - 1).alias("n_links"),
     )
     results = stored(results, "results")
-    out = sketch.select("doc_id", "row", "text_hash", "digest").join(results, F.col("digest") == F.col("r_digest"), "left")
+    out = sketch.select("doc_id", "row", "key", "digest").join(results, F.col("digest") == F.col("r_digest"), "left")
     alone = F.col("r_digest").isNull()
     return out.select(
         "doc_id",
-        "text_hash",
+        "key",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("rep_id")).alias("rep_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -288,8 +287,7 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs, all columns, with one row of each class of near duplicates. Of rows that repeat in id and
     text any one stays."""
-    found = near_duplicates(docs, id_col, text_col, **options).where("kept")
-    found = stored(found.select(F.col("doc_id").alias("__keep_id"), F.col("text_hash").alias("__keep_hash")).distinct(), "kept")
-    keyed = docs.withColumn("__own_hash", F.xxhash64(text_col))
-    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__own_hash") == F.col("__keep_hash")), "left_semi")
-    return joined.dropDuplicates([id_col, "__own_hash"]).select(*docs.columns)
+    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, **options).where("kept")
+    found = stored(found.select(F.col("key").alias("__keep")).distinct(), "kept")
+    keyed = docs.withColumn("__key", row_key(id_col, text_col)).join(found, F.col("__key") == F.col("__keep"), "left_semi")
+    return keyed.dropDuplicates(["__key"]).select(*docs.columns)

@@ -11,6 +11,7 @@ from . import quality, toxicity
 from ._common import held_out, read
 from .decontam import decontaminate
 from .exactdedup import exact_dedup
+from .licenses import LEAST, TEMPLATES, scan_licenses
 from .mixing import plan_mix
 from .neardup import near_duplicates
 from .secretscan import digest_text, scan_secrets
@@ -21,6 +22,17 @@ from .urlfilter import filter_urls
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a tree: 64 in a directory of their source, 64 directories in one above;
+    every 64th is the licence file of its directory, every 4096th that of the one above."""
+    i = F.col("doc_id")
+    upper = F.concat(F.col("source"), F.lit("/p"), F.floor(i / 4096).cast("string"), F.lit("/"))
+    lower = F.concat(upper, F.lit("q"), (F.floor(i / 64) % 64).cast("string"), F.lit("/"))
+    path = F.when(i % 4096 == 0, F.concat(upper, F.lit("LICENSE"))).when(i % 64 == 0, F.concat(lower, F.lit("LICENSE")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", path.otherwise(F.concat(lower, i.cast("string"), F.lit(".txt"))).alias("path"), "text")
+    return scan_licenses(docs)
+
+
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=40)
 
@@ -84,6 +96,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_jump_sharding": op2_jump_sharding,
     "op3_url_filter": op3_url_filter,
     "op4_secret_scan": op4_secret_scan,
@@ -95,7 +108,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_compression_quality": op10_compression_quality,
 }
 
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*t) for t in TEMPLATES)
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": rf"""
+        WITH tpl AS (SELECT license, t AS term, count(*) AS c
+                     FROM (VALUES {_TEMPLATE_ROWS}) v(license, body), unnest(string_split_regex(lower(body), '[^a-z0-9]+')) u(t)
+                     WHERE t <> '' GROUP BY ALL),
+        d AS (
+          SELECT doc_id, coalesce(text, '') AS text,
+                 source || '/p' || (doc_id // 4096) || '/' AS upper,
+                 source || '/p' || (doc_id // 4096) || '/q' || (doc_id // 64 % 64) || '/' AS lower
+          FROM documents),
+        f AS (
+          SELECT doc_id, text, CASE WHEN doc_id % 64 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name,
+                 CASE WHEN doc_id % 4096 = 0 THEN upper ELSE lower END AS place FROM d),
+        term_df AS (SELECT term, count(DISTINCT doc_id) AS df
+                    FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM f)
+                    WHERE term IN (SELECT term FROM tpl) GROUP BY term),
+        idf AS (SELECT DISTINCT term, ln((1 + (SELECT count(*) FROM f)) / (1 + coalesce(df, 0))) + 1 AS idf
+                FROM tpl LEFT JOIN term_df USING (term)),
+        units AS (SELECT doc_id, unnest(CASE WHEN name = 'LICENSE' THEN list_append(string_split(text, chr(10)), text)
+                                             ELSE string_split(text, chr(10)) END) AS line FROM f),
+        numbered AS (SELECT row_number() OVER () AS u, doc_id, line FROM units),
+        tf AS (SELECT u, doc_id, term, count(*) AS tf
+               FROM (SELECT u, doc_id, unnest(string_split_regex(lower(line), '[^a-z0-9]+')) AS term FROM numbered)
+               WHERE term <> '' GROUP BY ALL),
+        w AS (SELECT u, doc_id, term, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM f)) + 1) AS w FROM tf LEFT JOIN idf USING (term)),
+        tw AS (SELECT license, term, c * idf AS w FROM tpl JOIN idf USING (term)),
+        tn AS (SELECT license, sqrt(sum(w * w)) AS norm FROM tw GROUP BY license),
+        un AS (SELECT u, sqrt(sum(w * w)) AS norm FROM w GROUP BY u),
+        cs AS (SELECT w.doc_id, tw.license, round(sum(w.w * tw.w / tn.norm) / any_value(un.norm), 6) AS cosine
+               FROM w JOIN tw USING (term) JOIN tn USING (license) JOIN un ON un.u = w.u GROUP BY w.u, w.doc_id, tw.license),
+        own AS (SELECT DISTINCT ON (doc_id) doc_id, license, cosine FROM cs WHERE cosine >= {LEAST} ORDER BY doc_id, cosine DESC, license),
+        j AS (SELECT f.doc_id, place || name AS path, rtrim(place, '/') AS dir, name, license, cosine FROM f LEFT JOIN own USING (doc_id)),
+        holds AS (SELECT DISTINCT ON (dir) dir, license AS held, cosine AS held_cosine FROM j
+                  WHERE name = 'LICENSE' AND license IS NOT NULL ORDER BY dir, cosine DESC, path),
+        near AS (SELECT DISTINCT ON (j.doc_id) j.doc_id, h.dir AS above, held, held_cosine
+                 FROM j JOIN holds h ON h.dir = j.dir OR starts_with(j.dir, h.dir || '/') ORDER BY j.doc_id, length(h.dir) DESC)
+        SELECT doc_id, path, coalesce(license, held) AS license, coalesce(cosine, held_cosine) AS cosine,
+               CASE WHEN license IS NOT NULL THEN 'own' WHEN held IS NOT NULL THEN 'inherited' ELSE 'none' END AS via,
+               CASE WHEN license IS NULL THEN above END AS from_dir
+        FROM j LEFT JOIN near USING (doc_id)""",
     "op6_ngram_jaccard_join": r"""
         WITH RECURSIVE dw AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
