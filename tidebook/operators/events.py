@@ -15,7 +15,7 @@ def merged_events(books: DataFrame, trades: DataFrame, asset_ctx: DataFrame) ->
     kind, recv_ts_ns, seq); funding has receive times only."""
     b = books.withColumns({"ts_ms": F.col("exch_time_ms"), "kind": F.lit(BOOK), "seq": F.lit(0).cast("long")})
     t = trades.withColumns({"ts_ms": F.col("exch_time_ms"), "kind": F.lit(TRADE), "seq": F.col("tid")})
-    f = asset_ctx.withColumns({"ts_ms": F.floor(F.col("recv_ts_ns") / 1_000_000), "kind": F.lit(FUNDING), "seq": F.lit(0).cast("long")})
+    f = asset_ctx.withColumns({"ts_ms": F.expr("recv_ts_ns div 1000000"), "kind": F.lit(FUNDING), "seq": F.lit(0).cast("long")})
     return b.unionByName(t, allowMissingColumns=True).unionByName(f, allowMissingColumns=True)
 
 

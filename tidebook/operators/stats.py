@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tails import binomial_two_sided, correlation_p, normal_two_sided, t_two_sided
+from ..store import stored
 from .blocks import running
 
 CELL = ["coin", "feature", "horizon_ms"]
@@ -49,8 +50,8 @@ def information_coefficient(cells: DataFrame) -> DataFrame:
     Average ranks come from the counts of the distinct values, by range-partitioned running sums: a
     cell's values are ordered in blocks, never in one task.
     """
-    pairs = cells.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    ranked = average_rank(average_rank(pairs, "x"), "y")
+    pairs = stored(cells.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*CELL, "x", "y"), "pairs")
+    ranked = average_rank(stored(average_rank(pairs, "x"), "ranks"), "y")
     return ranked.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), _corr("x", "y").alias("pearson"), _corr("x_rank", "y_rank").alias("spearman"))
 
 
@@ -117,7 +118,7 @@ def hac_regression(cells: DataFrame, controls: list[str], lags: DataFrame) -> li
     names = ["const", "x", *controls]
     k = len(names)
     design = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in names[1:]])
-    rows = cells.dropna(subset=["x", "y", *controls]).withColumn("_d", design)
+    rows = stored(cells.dropna(subset=["x", "y", *controls]), "cells").withColumn("_d", design)
     sums = [F.sum(F.col("_d")[i] * F.col("_d")[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
     sums += [F.sum(F.col("_d")[i] * F.col("y")).alias(f"b{i}") for i in range(k)]
     first = rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), *sums).collect()
@@ -129,7 +130,7 @@ def hac_regression(cells: DataFrame, controls: list[str], lags: DataFrame) -> li
             b = np.array([r[f"b{i}"] for i in range(k)])
             beta = np.linalg.solve(a, b)
             total = r["syy"] - r["sy"] ** 2 / r["n"]
-            out |= {"beta": beta, "inverse": np.linalg.inv(a), "r2": 1 - (r["syy"] - beta @ b) / total if total > 0 else None}
+            out |= {"beta": beta, "inverse": np.linalg.inv(a), "r2": 1 - float(r["syy"] - beta @ b) / total if total > 0 else None}
         solved[tuple(r[c] for c in CELL)] = out
     known = [(*key, o["n"], [float(v) for v in o["beta"]]) for key, o in solved.items() if o["beta"] is not None]
     if known:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import stored
 from . import asof, features, stats
 
 COLUMNS = (
@@ -29,8 +30,8 @@ def study(
     """Books of all coins to one row per (coin, feature, horizon) on the test split. Thresholds come from
     the train split alone. Only rows per cell reach the driver, for p-values and the small solves."""
     spark = books.sparkSession
-    wide = asof.forward_returns(features.feature_table(books, depths), horizons_ms, (label,))
-    wide = stats.chronological_split(stats.with_history(wide, least_rows), train_fraction).cache()
+    wide = asof.forward_returns(stored(features.feature_table(books, depths), "features"), horizons_ms, (label,))
+    wide = stored(stats.chronological_split(stats.with_history(wide, least_rows), train_fraction), "labelled")
     long = lambda df: stats.long_form(df, signals, horizons_ms, label, tuple(controls))
     test, train = long(wide.where("is_train = false")), long(wide.where("is_train")).where(F.col("horizon_ms") == horizons_ms[0])
     limits = stats.thresholds(train, quantile)
@@ -46,6 +47,5 @@ def study(
             row = rows.get(tuple(o[c] for c in stats.CELL))
             if row is not None and o["beta"] is not None:
                 row |= {f"ols_beta{suffix}": float(o["beta"][1]), f"ols_p{suffix}": float(o["p"][1]), f"ols_r2{suffix}": o["r2"]}
-    wide.unpersist()
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     return spark.createDataFrame([tuple(row.get(n) for n in names) for row in rows.values()], COLUMNS)

@@ -57,7 +57,7 @@ def market(spark: SparkSession, sf_dir: str) -> Market:
     )
     venues = F.array(*[F.struct(F.lit(n).alias("venue"), F.lit(float(i)).alias("o"), F.lit(h).cast("long").alias("funding_interval_hours")) for i, (n, h) in enumerate((("HlPerp", 1), ("BinPerp", 8), ("BybitPerp", 8)))])
     predicted = ctx.select("coin", "recv_ts_ns", "funding", F.explode(venues).alias("x")).select(
-        "coin", "x.venue", (F.col("funding") + F.col("x.o") / 1048576).alias("funding_rate"), (F.floor(F.col("recv_ts_ns") / 3_600_000_000_000) * 3_600_000 + 3_600_000).alias("next_funding_time_ms"),
+        "coin", "x.venue", (F.col("funding") + F.col("x.o") / 1048576).alias("funding_rate"), F.expr("recv_ts_ns div 3600000000000 * 3600000 + 3600000").alias("next_funding_time_ms"),
         "x.funding_interval_hours", "recv_ts_ns",
     )
     return Market(books, trades, ctx, predicted)

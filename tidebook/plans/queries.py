@@ -13,6 +13,7 @@ from ..config import Backtest, Fees, InventoryAware, Settings, Symmetric
 from ..functions import book as bk
 from ..functions import liquidity, quotes, rates, slippage, ticks
 from ..operators import asof, events, features, replay, risk, stats, strategies
+from ..store import stored
 from .derived import Market, market
 
 #: The reference's horizons are for 5 s books; these fit the derived tables' cadence.
@@ -234,12 +235,12 @@ def symbol_scan(m: Market) -> DataFrame:
 
 
 def _labelled(m: Market) -> DataFrame:
-    df = features.feature_table(m.l2book)
-    return stats.chronological_split(stats.with_history(asof.forward_returns(df, list(HORIZONS))))
+    df = stored(features.feature_table(m.l2book), "features")
+    return stats.chronological_split(stats.with_history(asof.forward_returns(df, list(HORIZONS), ("mid",))))
 
 
-def _cells(m: Market, train: bool) -> DataFrame:
-    part = _labelled(m).where(F.col("is_train") == train)
+def _cells(m: Market, train: bool, labelled: DataFrame | None = None) -> DataFrame:
+    part = (_labelled(m) if labelled is None else labelled).where(F.col("is_train") == train)
     return stats.long_form(part, FEATURES, list(HORIZONS), keep=("spread_bps", "realized_vol", "momentum"))
 
 
@@ -268,8 +269,9 @@ def hit_rate(m: Market) -> DataFrame:
 
 @query
 def net_of_cost(m: Market) -> DataFrame:
-    train = _cells(m, True).where(F.col("horizon_ms") == HORIZONS[0])
-    out = stats.net_of_cost(_cells(m, False), stats.thresholds(train), Fees().taker_bps)
+    labelled = stored(_labelled(m), "labelled")
+    train = _cells(m, True, labelled).where(F.col("horizon_ms") == HORIZONS[0])
+    out = stats.net_of_cost(_cells(m, False, labelled), stats.thresholds(train), Fees().taker_bps)
     return rounded(out, "net_mean_bps", "net_pct_positive", "net_t", places=5)
 
 
@@ -352,7 +354,7 @@ def _signed_fills(m: Market) -> DataFrame:
 @query
 def cash_and_inventory(m: Market) -> DataFrame:
     out = risk.cash_and_inventory(_signed_fills(m), 100_000.0, order=["timestamp_ms", "tid"])
-    return out.select("tid", "coin", r("cash", 4).alias("cash"), "inventory")
+    return out.select("tid", "coin", r("cash", 0).alias("cash"), "inventory")
 
 
 @query

@@ -176,7 +176,7 @@ class FundingPoll(DataSource):
 
 def log_lines(messages: DataFrame) -> DataFrame:
     """Messages as raw log lines with their UTC date and hour."""
-    at = F.timestamp_micros(F.floor(F.col("recv_ts_ns") / 1000).cast("long"))
+    at = F.timestamp_micros(F.expr("recv_ts_ns div 1000"))
     line = F.concat(F.lit('{"recv_ts_ns":'), F.col("recv_ts_ns").cast("string"), F.lit(',"channel":"'), F.col("channel"), F.lit('","data":'), F.col("data"), F.lit("}"))
     return messages.select(line.alias("value"), F.date_format(at, "yyyyMMdd").alias("date"), F.date_format(at, "HH").alias("hour"))
 
