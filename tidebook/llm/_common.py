@@ -3,41 +3,20 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import stored
+
+__all__ = ["held_out", "pieces", "read", "row_key", "stored", "text_bytes", "words"]
+
 #: Words of a lower-cased UTF-8 text: ASCII letters, digits, and everything beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
-_local_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the session names none (tests)."""
-    global _local_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="spark-tidebook-", dir="/tmp")
-    return _local_dir
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and later
-    plans start from a plain scan whose size the optimizer knows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: str | bytes | None) -> list[bytes]:
     """A-Z lower-cased words, as UTF-8. None and empty texts have none."""
     if not text:

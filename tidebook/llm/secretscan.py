@@ -18,10 +18,12 @@ from pyspark.sql.window import Window
 from ._common import stored
 
 # Fixed patterns of the base kinds: kind, expression, group that carries the secret, its least length.
+# A run that is too short holds no match that is long enough, so the last two ask for the length at once;
+# an assignment that is too short still takes its characters from the next one, and is dropped later.
 BASE = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
-    ("access", r"AKIA[A-Z0-9]+", 0, 18),
-    ("hex", r"[0-9a-f]+", 0, 16),
+    ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
+    ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 #: Finds each base kind's texts quickly; a text without it has no match that is long enough.
 GATES = {"assign": r"(?i:password|passwd|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}"}
@@ -58,9 +60,10 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(F.lit(1.0) - tail)
 
 
-def matches(text: Column, pattern: str, group: int) -> Column:
-    """Leftmost non-overlapping matches as structs (start, end, inside): code points, end exclusive, and
-    the group's text. The gaps between matches give the positions."""
+def matches(text: Column, pattern: str, group: int, least: int) -> Column:
+    """Leftmost non-overlapping matches whose group has `least` characters, as structs (start, end,
+    inside): code points, end exclusive, and the group's text. The gaps between matches give the
+    positions."""
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     inside = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1)) if group else whole
     gaps = F.split(text, pattern, -1)
@@ -71,7 +74,7 @@ def matches(text: Column, pattern: str, group: int) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["w"])
         one = F.struct(start.alias("start"), end.alias("end"), x["i"].alias("inside"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct(end.alias("at"), F.when(F.length(x["i"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(zipped, empty, step)["out"]
 
@@ -80,8 +83,7 @@ def base_spans(text: Column) -> Column:
     """All matches of the base kinds that are long enough."""
 
     def of(rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-        long_enough = F.filter(matches(text, pattern, group), lambda m: F.length(m["inside"]) >= least)
-        spans = F.transform(long_enough, lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), m["start"].alias("start"), m["end"].alias("end")))
+        spans = F.transform(matches(text, pattern, group, least), lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), m["start"].alias("start"), m["end"].alias("end")))
         return F.when(text.rlike(GATES[kind]), spans).otherwise(F.array().cast(_SPAN))
 
     return F.concat(*[of(rank, *base) for rank, base in enumerate(BASE)])
@@ -91,7 +93,7 @@ def candidates(text: Column) -> Column:
     """Runs of encoding characters with their positions. Numbers, and words of one case without digits,
     are in no encoding that could be told from text, and are left out."""
     odd = lambda m: m["inside"].rlike("[0-9]") & m["inside"].rlike("[A-Za-z]") | m["inside"].rlike("[a-z]") & m["inside"].rlike("[A-Z]")
-    return F.when(text.rlike(CANDIDATE), F.filter(matches(text, CANDIDATE, 0), odd)).otherwise(F.array().cast("array<struct<start:int,end:int,inside:string>>"))
+    return F.when(text.rlike(CANDIDATE), F.filter(matches(text, CANDIDATE, 0, 20), odd)).otherwise(F.array().cast("array<struct<start:int,end:int,inside:string>>"))
 
 
 def battery(found: DataFrame) -> DataFrame:
