@@ -1,0 +1 @@
+"""The same measures on streams: stateless expressions as they are, the rest as keyed state."""
