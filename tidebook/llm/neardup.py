@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ._common import row_key, stored, text_bytes, words
 
-TILE_DOCS = 256
+TILE_DOCS = 128
 TILE_GRAMS = 250_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -62,7 +62,7 @@ def chosen_buckets(sets: list[np.ndarray], y: np.ndarray, most: int, least: int,
 
 
 def train(
-    sample: list[tuple[bytes, int]], factors: int = 4, most: int = 1024, least: int = 4, z: float = 4.5, epochs: int = 40, batch: int = 256, rate: float = 0.03, decay: float = 1e-6, seed: int = 7
+    sample: list[tuple[bytes, int]], factors: int = 4, most: int = 1024, least: int = 4, z: float = 4.5, steps: int = 1280, batch: int = 256, rate: float = 0.03, decay: float = 1e-6, seed: int = 7
 ) -> FactorizationMachine:
     """Logistic loss, the rarer label weighted up, minimised by Adam over mini-batches. Without both
     labels the score is constant."""
@@ -78,7 +78,7 @@ def train(
     params = [np.array([start]), np.zeros(n), rng.normal(0, 0.01, (n, factors))]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     rows = [[place[x] for x in s[np.isin(s, chosen)].tolist()] for s in sets]
-    for _ in range(epochs if n else 0):
+    while n and step < steps:
         order = rng.permutation(len(rows))
         for i in range(0, len(order), batch):
             part = order[i : i + batch]
