@@ -30,8 +30,8 @@ def study(
     """Books of all coins to one row per (coin, feature, horizon) on the test split. Thresholds come from
     the train split alone. Only rows per cell reach the driver, for p-values and the small solves."""
     spark = books.sparkSession
-    wide = asof.forward_returns(stored(features.feature_table(books, depths), "features"), horizons_ms, (label,))
-    wide = stored(stats.chronological_split(stats.with_history(wide, least_rows), train_fraction), "labelled")
+    split = stats.chronological_split(stats.with_history(stored(features.feature_table(books, depths), "features"), least_rows), train_fraction)
+    wide = stored(asof.forward_returns(split, horizons_ms, (label,)), "labelled")
     long = lambda df: stats.long_form(df, signals, horizons_ms, label, tuple(controls))
     test, train = long(wide.where("is_train = false")), long(wide.where("is_train")).where(F.col("horizon_ms") == horizons_ms[0])
     limits = stats.thresholds(train, quantile)

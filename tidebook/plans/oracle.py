@@ -173,6 +173,13 @@ ORACLE_SQL: dict[str, str] = {
            SELECT coin, current, predicted, round(pow(1 + current, 8760) - 1, 6) + 0.0 AS current_apr, round(pow(1 + predicted, 8760) - 1, 6) + 0.0 AS predicted_apr FROM c FULL JOIN p USING (coin)"""
     ),
     "funding_by_venue": _sql("SELECT coin, venue, CAST(funding_interval_hours AS BIGINT) AS funding_interval_hours, count(*) AS n, sum(funding_rate) AS rate, max(next_funding_time_ms) AS next_ms FROM predicted GROUP BY ALL"),
+    "parse_l2book": _sql(
+        "SELECT coin, exch_time_ms, recv_ts_ns, bid_px[20] AS bid_px19, ask_sz[4] AS ask_sz3, 20 AS levels, CAST(list_sum([1 + (event_id + i) % 9 FOR i IN range(0, 20)]) AS BIGINT) AS orders FROM l2book"
+    ),
+    "parse_trades": _sql("SELECT coin, side, px, sz, exch_time_ms, recv_ts_ns, tid FROM trades"),
+    "parse_asset_ctx": _sql("SELECT coin, recv_ts_ns, funding, oracle_px, CAST(NULL AS DOUBLE) AS mid_px FROM asset_ctx"),
+    "parse_predicted_funding": _sql("SELECT coin, venue, funding_rate, next_funding_time_ms, CAST(funding_interval_hours AS BIGINT) AS funding_interval_hours, recv_ts_ns FROM predicted"),
+    "log_hours": _sql("SELECT strftime(make_timestamp(recv_ts_ns // 1000), '%Y%m%d') AS date, strftime(make_timestamp(recv_ts_ns // 1000), '%H') AS hour, count(*) AS n FROM trades GROUP BY ALL"),
     "symbol_scan": _sql("SELECT tid, coin, side, px, sz FROM trades WHERE coin = 'ETH' AND px >= 9990"),
     "chrono_split": _sql(
         "SELECT event_id, coin, exch_time_ms <= min(exch_time_ms) OVER w + 0.7::DOUBLE * (max(exch_time_ms) OVER w - min(exch_time_ms) OVER w) AS is_train FROM l2book WINDOW w AS (PARTITION BY coin)"

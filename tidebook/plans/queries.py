@@ -13,6 +13,7 @@ from ..config import Backtest, Fees, InventoryAware, Settings, Symmetric
 from ..functions import book as bk
 from ..functions import liquidity, quotes, rates, slippage, ticks
 from ..operators import asof, events, features, replay, risk, stats, strategies
+from ..sources import capture, raw
 from ..store import stored
 from .derived import Market, market
 
@@ -229,6 +230,54 @@ def funding_by_venue(m: Market) -> DataFrame:
     return p.groupBy("coin", "venue", "funding_interval_hours").agg(F.count(F.lit(1)).alias("n"), F.sum("funding_rate").alias("rate"), F.max("next_funding_time_ms").alias("next_ms"))
 
 
+def _message(channel: str, data: Column) -> Column:
+    """A raw log line."""
+    return F.concat(F.lit('{"recv_ts_ns":'), F.col("recv_ts_ns").cast("string"), F.lit(f',"channel":"{channel}","data":'), data, F.lit("}")).alias("value")
+
+
+def _noise(lines: DataFrame) -> DataFrame:
+    """The lines among blank, broken and foreign ones."""
+    junk = lines.select(F.explode(F.array(F.lit(""), F.lit("{broken"), F.lit('{"recv_ts_ns":1,"channel":"pong","data":{}}'))).alias("value"))
+    return raw.envelope(lines.unionByName(junk))
+
+
+@query
+def parse_l2book(m: Market) -> DataFrame:
+    side = lambda s: F.transform(F.arrays_zip(f"{s}_px", f"{s}_sz", f"{s}_n"), lambda x: F.struct(x[f"{s}_px"].cast("string").alias("px"), x[f"{s}_sz"].cast("string").alias("sz"), x[f"{s}_n"].alias("n")))
+    data = F.to_json(F.struct("coin", F.col("exch_time_ms").alias("time"), F.array(side("bid"), side("ask")).alias("levels")))
+    b = raw.l2book(_noise(m.l2book.select(_message(raw.L2_CHANNEL, data))))
+    return b.select("coin", "exch_time_ms", "recv_ts_ns", F.get("bid_px", F.lit(19)).alias("bid_px19"), F.get("ask_sz", F.lit(3)).alias("ask_sz3"), F.size("bid_n").alias("levels"), F.aggregate("ask_n", F.lit(0).cast("long"), lambda a, x: a + x).alias("orders"))
+
+
+@query
+def parse_trades(m: Market) -> DataFrame:
+    one = F.struct("coin", "side", F.col("px").cast("string").alias("px"), F.col("sz").cast("string").alias("sz"), F.col("exch_time_ms").alias("time"), "tid", F.col("trade_hash").alias("hash"))
+    return raw.trades(_noise(m.trades.select(_message(raw.TRADE_CHANNEL, F.to_json(F.array(one)))))).drop("trade_hash")
+
+
+@query
+def parse_asset_ctx(m: Market) -> DataFrame:
+    ctx = F.struct(F.col("funding").cast("string").alias("funding"), F.col("oracle_px").cast("string").alias("oraclePx"), F.lit("n/a").alias("midPx"))
+    rows = raw.asset_ctx(_noise(m.asset_ctx.select(_message(raw.CONTEXT_CHANNEL, F.to_json(F.struct("coin", ctx.alias("ctx")))))))
+    return rows.select("coin", "recv_ts_ns", "funding", "oracle_px", "mid_px")
+
+
+@query
+def parse_predicted_funding(m: Market) -> DataFrame:
+    info = F.to_json(F.struct(F.col("funding_rate").cast("string").alias("fundingRate"), F.col("next_funding_time_ms").alias("nextFundingTime"), F.col("funding_interval_hours").alias("fundingIntervalHours")))
+    venue = F.concat(F.lit('["'), F.col("venue"), F.lit('",'), info, F.lit("]"))
+    polls = m.predicted_funding.groupBy("coin", "recv_ts_ns").agg(F.array_join(F.collect_list(venue), ",").alias("v"))
+    data = F.concat(F.lit('[["'), F.col("coin"), F.lit('",['), F.col("v"), F.lit(',["None",null]]]]'))
+    return raw.predicted_funding(_noise(polls.select(_message(raw.PREDICTED_CHANNEL, data))))
+
+
+@query
+def log_hours(m: Market) -> DataFrame:
+    """Messages per UTC date and hour of the raw log."""
+    lines = capture.log_lines(m.trades.select("recv_ts_ns", F.lit(raw.TRADE_CHANNEL).alias("channel"), F.lit("[]").alias("data")))
+    return lines.groupBy("date", "hour").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def symbol_scan(m: Market) -> DataFrame:
     return m.trades.where("coin = 'ETH' and px >= 9990").select("tid", "coin", "side", "px", "sz")
@@ -236,7 +285,7 @@ def symbol_scan(m: Market) -> DataFrame:
 
 def _labelled(m: Market) -> DataFrame:
     df = stored(features.feature_table(m.l2book), "features")
-    return stats.chronological_split(stats.with_history(asof.forward_returns(df, list(HORIZONS), ("mid",))))
+    return asof.forward_returns(stats.chronological_split(stats.with_history(df)), list(HORIZONS), ("mid",))
 
 
 def _cells(m: Market, train: bool, labelled: DataFrame | None = None) -> DataFrame:

@@ -21,11 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, few_files: bool = True) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and later plans
-    start from a plain scan whose size the optimizer knows. At most two files a core, so that tables
-    behind many shuffle partitions are not thousands of crumbs."""
+    start from a plain scan whose size the optimizer knows.
+
+    With few_files at most two files a core are written, so that narrow tables behind many shuffle
+    partitions are not thousands of crumbs. Work over whole texts keeps a task per input split: False.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.coalesce(2 * spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
+    if few_files:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
