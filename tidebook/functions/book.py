@@ -37,20 +37,25 @@ def imbalance(bid: Column, ask: Column) -> Column:
     return ratio(bid - ask, bid + ask, F.lit(0.0))
 
 
-def level_weights(n: int | Column, scheme: str = "linear_decay") -> Column:
-    """Weights of n levels: n..1, all 1, or halved from level to level."""
-    n = F.lit(n) if isinstance(n, int) else n
+def level_weight(i: Column, n: int | Column, scheme: str) -> Column:
+    """Weight of level i, from 0, of n levels: n..1, all 1, or halved from level to level."""
     if scheme not in SCHEMES:
         raise ValueError(f"unknown weighting {scheme!r}, one of {SCHEMES}")
-    levels = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    of = {"linear_decay": lambda i: (n - i).cast("double"), "uniform": lambda i: F.lit(1.0), "exp_decay": lambda i: F.pow(F.lit(0.5), i)}
-    return F.transform(levels, of[scheme])
+    n = F.lit(n) if isinstance(n, int) else n
+    return {"linear_decay": (n - i).cast("double"), "uniform": F.lit(1.0), "exp_decay": F.pow(F.lit(0.5), i)}[scheme]
+
+
+def level_weights(n: int | Column, scheme: str = "linear_decay") -> Column:
+    """The weights of n levels as an array."""
+    count = F.lit(n) if isinstance(n, int) else n
+    levels = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    level_weight(F.lit(0), n, scheme)  # an unknown scheme is refused here
+    return F.transform(levels, lambda i: level_weight(i, n, scheme))
 
 
-def weighted(sizes: Column | str, weights: Column) -> Column:
-    """Dot product; the shorter one ends it."""
-    pairs = F.filter(F.zip_with(col(sizes), weights, lambda s, w: s * w), lambda x: x.isNotNull())
-    return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
+def weighted(sizes: Column | str, n: int | Column, scheme: str) -> Column:
+    """Sum of the sizes weighed by their level."""
+    return F.aggregate(F.transform(col(sizes), lambda s, i: s * level_weight(i, n, scheme)), F.lit(0.0), lambda a, x: a + x)
 
 
 def depth_imbalance(bid_sizes: Column | str, ask_sizes: Column | str, n: int, scheme: str = "linear_decay", short_book: str = "truncate") -> Column:
@@ -60,8 +65,7 @@ def depth_imbalance(bid_sizes: Column | str, ask_sizes: Column | str, n: int, sc
     width = F.lit(n) if short_book == "pad" else F.greatest(F.size(bid), F.size(ask))
     if short_book not in ("pad", "truncate"):
         raise ValueError(f"unknown short_book {short_book!r}")
-    weights = level_weights(width, scheme)
-    return imbalance(weighted(bid, weights), weighted(ask, weights))
+    return imbalance(weighted(bid, width, scheme), weighted(ask, width, scheme))
 
 
 def with_spread(df: DataFrame) -> DataFrame:

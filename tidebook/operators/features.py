@@ -8,6 +8,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.book import top, with_imbalance, with_microprice, with_spread
 from ..functions.liquidity import with_depth
+from ..store import stored
 from .blocks import BLOCK_MS, over_history, over_lookback
 
 
@@ -76,10 +77,11 @@ def with_sigma(df: DataFrame, lookback_ms: int, block_ms: int = BLOCK_MS) -> Dat
 
 
 def feature_table(books: DataFrame, depths: tuple[int, ...] = (5, 10, 20), lookback: int = 20, block_ms: int = BLOCK_MS) -> DataFrame:
-    """Books to features: dedup, spread, microprice, imbalance, flow. Ladders are dropped once used, so
-    that the windows shuffle scalars only."""
+    """Books to features: dedup, spread, microprice, imbalance, flow. What is left of the ladders after
+    these is stored once, so that the windows read and shuffle narrow rows."""
     df = with_imbalance(with_microprice(with_spread(dedup_books(books))), depths)
-    return with_flow(df.drop("bid_n", "ask_n"), lookback, block_ms).drop("bid_px", "ask_px", "bid_sz", "ask_sz")
+    df = df.withColumns({c: F.slice(c, 1, 1) for c in ("bid_sz", "ask_sz")}).drop("bid_n", "ask_n", "bid_px", "ask_px")
+    return with_flow(stored(df, "tops", few_files=False), lookback, block_ms).drop("bid_sz", "ask_sz")
 
 
 def prepared_books(books: DataFrame, depths: tuple[int, ...] = (5, 10, 20), bps: float = 10.0, window_rows: int = 300, drought_z: float = -2.5) -> DataFrame:
