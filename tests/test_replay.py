@@ -129,6 +129,39 @@ def test_replay_invariants(tape):
     assert report["small", "B"].max_drawdown <= 0
 
 
+def plain_replay(books, trades, size, share=0.5, bps=1.5):
+    """The same game told again, for one coin, no funding: quotes at the touch."""
+    at = sorted([(t[4], 1, t[6], ("t", t)) for t in trades] + [(b[1], 0, 0, ("b", b)) for b in books])
+    rest, gone, left, fills = {}, {"bid": 0.0, "ask": 0.0}, {"bid": 0.0, "ask": 0.0}, []
+    for time, *_, (kind, x) in at:
+        if kind == "b":
+            for side, px, sz in (("bid", x[3], x[4]), ("ask", x[5], x[6])):
+                if rest.get(side, (None,))[0] != px[0]:
+                    gone[side] = 0.0
+                rest[side], left[side] = (px[0], sz[0]), size
+            continue
+        side = "bid" if x[1] == "A" else "ask"
+        if side in rest and x[2] == rest[side][0]:
+            gone[side] += x[3]
+            need = share * rest[side][1]
+            if gone[side] >= need:
+                got, gone[side] = min(gone[side] - need, left[side]), 0.0
+                if got > 0:
+                    left[side] -= got
+                    fills.append((time, "buy" if side == "bid" else "sell", x[2], got))
+    return fills
+
+
+def test_replay_against_a_plain_one(tape):
+    b, t, ctx = tape
+    out = replay.fills(replay.replay(b, t, ctx.limit(0), {"r": lambda: AtTouch(2.0)}))
+    for coin in "AB":
+        books = [tuple(r)[:7] for r in b.where(F.col("coin") == coin).collect()]
+        trades = [tuple(r) for r in t.where(F.col("coin") == coin).collect()]
+        got = sorted((r.timestamp_ms, r.side, r.price, r.size) for r in out.where(F.col("coin") == coin).collect())
+        assert got and got == sorted(plain_replay(books, trades, 2.0))
+
+
 def test_stream_replay_equals_batch(spark, tape, tmp_path):
     from tidebook.operators.events import merged_events
     from tidebook.streaming import keyed

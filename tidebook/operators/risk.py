@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_MS, over_history, running
+from .features import rolling
 
 YEAR_MS = 365 * 24 * 3_600_000
 
@@ -78,5 +79,12 @@ def risk_report(curve: DataFrame, key: str = "coin", time: str = "timestamp_ms",
     )
 
 
+def inventory_volatility(df: DataFrame, rows: int, key: str = "coin", time: str = "timestamp_ms", block_ms: int = BLOCK_MS) -> DataFrame:
+    """df with inventory_vol: sample deviation of the inventory over the last `rows` rows, null below
+    max(2, rows // 4)."""
+    compute = lambda d, w: d.withColumn("inventory_vol", rolling(F.col("inventory"), w, rows, F.stddev_samp))
+    return over_history(df, rows - 1, compute, key, [time], time, block_ms)
+
+
 def turnover(fills: DataFrame, key: str = "coin") -> DataFrame:
     return fills.groupBy(key).agg(F.count(F.lit(1)).alias("n_fills"), F.sum(F.col("price") * F.col("size")).alias("turnover_usd"), F.sum("fee").alias("fees_paid"))

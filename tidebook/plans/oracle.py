@@ -234,6 +234,11 @@ ORACLE_SQL: dict[str, str] = {
     "cash_and_inventory": _sql(
         "SELECT tid, coin, round(100000 - sum(signed * px + fee) OVER w, 0) AS cash, sum(signed) OVER w AS inventory FROM fl WINDOW w AS (PARTITION BY coin ORDER BY exch_time_ms, tid)", SIGNED
     ),
+    "inventory_volatility": _sql(
+        """SELECT tid, coin, round(CASE WHEN count(*) OVER w >= 7 THEN stddev_samp(signed) OVER w END, 7) AS inventory_vol
+           FROM fl WINDOW w AS (PARTITION BY coin ORDER BY exch_time_ms ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
+        SIGNED,
+    ),
     "turnover": _sql("SELECT coin, count(*) AS n_fills, round(sum(px * sz), 4) AS turnover_usd, round(sum(fee), 4) AS fees_paid FROM fl GROUP BY coin", SIGNED),
     "drawdown": _sql("SELECT event_id, coin, round((equity - peak) / CASE WHEN peak = 0 THEN 2.220446049250313e-16 ELSE peak END, 8) + 0.0 AS drawdown FROM ch", CURVE),
     "sharpe_var_es": _sql(

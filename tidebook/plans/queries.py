@@ -406,6 +406,12 @@ def cash_and_inventory(m: Market) -> DataFrame:
     return out.select("tid", "coin", r("cash", 0).alias("cash"), "inventory")
 
 
+@query
+def inventory_volatility(m: Market) -> DataFrame:
+    held = _signed_fills(m).select("tid", "coin", "timestamp_ms", F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size")).alias("inventory"))
+    return risk.inventory_volatility(held, 30).select("tid", "coin", r("inventory_vol", 7).alias("inventory_vol"))
+
+
 @query
 def turnover(m: Market) -> DataFrame:
     return rounded(risk.turnover(_signed_fills(m)), "turnover_usd", "fees_paid", places=4)
