@@ -16,7 +16,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, l
     """At most `rows` (text, label) pairs to learn from, in a fixed order.
 
     Rows of labels whose id is held out or null, and null labels, are left out; of an id that repeats
-    the largest label counts. The ids are chosen by their hash, and only they, a table of `rows` rows
+    the largest label and the first text in order count. The ids are chosen by their hash, and only they, a table of `rows` rows
     at most, are broadcast. Texts over `longest` bytes are not learned from.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -24,7 +24,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, l
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("labelled"), "y")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= longest)
     found = texts.join(F.broadcast(ids), F.col("id") == F.col("labelled"))
-    found = found.select("id", F.col("text").cast("binary").alias("text"), "y").dropDuplicates(["id"])
+    found = found.groupBy("id").agg(F.min("text").cast("binary").alias("text"), F.max("y").alias("y"))
     table = found.toArrow().sort_by("id").slice(0, rows)
     return list(zip((bytes(x) for x in table["text"].to_pylist()), table["y"].to_pylist(), strict=True))
 
