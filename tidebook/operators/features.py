@@ -46,17 +46,24 @@ def with_flow(df: DataFrame, lookback: int = 20, block_ms: int = BLOCK_MS) -> Da
     return over_history(df, lookback, compute, block_ms=block_ms)
 
 
-def with_liquidity(df: DataFrame, bps: float = 10.0, window_rows: int = 300, drought_z: float = -2.5, block_ms: int = BLOCK_MS) -> DataFrame:
-    """depth_within_{bps}bps, its rolling z-score, and liquidity_drought, true where the score is below
-    drought_z. The score is null without enough history; no spread gives no signal."""
+def liquidity_signal(df: DataFrame, bps: float = 10.0, window_rows: int = 300, drought_z: float = -2.5, keep: tuple[str, ...] = (), block_ms: int = BLOCK_MS) -> DataFrame:
+    """(coin, exch_time_ms, keep..., depth_within_{bps}bps, liquidity_z, liquidity_drought): the depth, its
+    rolling z-score, and whether that is below drought_z. The score is null without enough history; no
+    spread gives no signal. The depths are stored once, so that the windows never see a ladder."""
     depth = f"depth_within_{int(bps)}bps"
+    slim = stored(with_depth(df, bps).select("coin", "exch_time_ms", *keep, depth), "depths", few_files=False)
 
     def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
         mean, spread = rolling(F.col(depth), w, window_rows, F.avg), rolling(F.col(depth), w, window_rows, F.stddev_samp)
         return df.withColumn("liquidity_z", F.when(spread > 0, (F.col(depth) - mean) / spread))
 
-    df = over_history(with_depth(df, bps), window_rows - 1, compute, block_ms=block_ms)
-    return df.withColumn("liquidity_drought", F.coalesce(F.col("liquidity_z") < drought_z, F.lit(False)))
+    scored = over_history(slim, window_rows - 1, compute, block_ms=block_ms)
+    return scored.withColumn("liquidity_drought", F.coalesce(F.col("liquidity_z") < drought_z, F.lit(False)))
+
+
+def with_liquidity(books: DataFrame, bps: float = 10.0, window_rows: int = 300, drought_z: float = -2.5, block_ms: int = BLOCK_MS) -> DataFrame:
+    """Books, one per coin and time, with their liquidity_signal."""
+    return books.join(liquidity_signal(books, bps, window_rows, drought_z, (), block_ms), ["coin", "exch_time_ms"])
 
 
 def with_sigma(df: DataFrame, lookback_ms: int, block_ms: int = BLOCK_MS) -> DataFrame:

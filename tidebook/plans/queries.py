@@ -177,13 +177,13 @@ def momentum(m: Market) -> DataFrame:
 
 @query
 def liquidity_zscore(m: Market) -> DataFrame:
-    df = features.with_liquidity(bk.with_spread(m.l2book).select(*KEY, "exch_time_ms", "bid_px", "bid_sz", "ask_px", "ask_sz", "mid"), 5.0, 60, -2.0)
+    df = features.liquidity_signal(bk.with_spread(m.l2book), 5.0, 60, -2.0, ("event_id",))
     return df.select(*KEY, "depth_within_5bps", r("liquidity_z", 6).alias("liquidity_z"))
 
 
 @query
 def drought_flag(m: Market) -> DataFrame:
-    df = features.with_liquidity(bk.with_spread(m.l2book).select(*KEY, "exch_time_ms", "bid_px", "bid_sz", "ask_px", "ask_sz", "mid"), 5.0, 60, -2.0)
+    df = features.liquidity_signal(bk.with_spread(m.l2book), 5.0, 60, -2.0, ("event_id",))
     return df.select(*KEY, "liquidity_drought")
 
 
