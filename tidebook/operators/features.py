@@ -51,7 +51,7 @@ def liquidity_signal(df: DataFrame, bps: float = 10.0, window_rows: int = 300, d
     rolling z-score, and whether that is below drought_z. The score is null without enough history; no
     spread gives no signal. The depths are stored once, so that the windows never see a ladder."""
     depth = f"depth_within_{int(bps)}bps"
-    slim = stored(with_depth(df, bps).select("coin", "exch_time_ms", *keep, depth), "depths", few_files=False)
+    slim = stored(with_depth(df, bps).select("coin", "exch_time_ms", *keep, depth), "depths", narrow=False)
 
     def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
         mean, spread = rolling(F.col(depth), w, window_rows, F.avg), rolling(F.col(depth), w, window_rows, F.stddev_samp)
@@ -88,7 +88,7 @@ def feature_table(books: DataFrame, depths: tuple[int, ...] = (5, 10, 20), lookb
     these is stored once, so that the windows read and shuffle narrow rows."""
     df = with_imbalance(with_microprice(with_spread(dedup_books(books))), depths)
     df = df.withColumns({c: F.slice(c, 1, 1) for c in ("bid_sz", "ask_sz")}).drop("bid_n", "ask_n", "bid_px", "ask_px")
-    return with_flow(stored(df, "tops", few_files=False), lookback, block_ms).drop("bid_sz", "ask_sz")
+    return with_flow(stored(df, "tops", narrow=False), lookback, block_ms).drop("bid_sz", "ask_sz")
 
 
 def prepared_books(books: DataFrame, depths: tuple[int, ...] = (5, 10, 20), bps: float = 10.0, window_rows: int = 300, drought_z: float = -2.5) -> DataFrame:

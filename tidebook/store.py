@@ -21,16 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def stored(df: DataFrame, name: str, few_files: bool = True) -> DataFrame:
+def few_files(df: DataFrame) -> DataFrame:
+    """df in at most two partitions a core: for narrow results behind many shuffle partitions, which would
+    be written as thousands of crumbs."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def stored(df: DataFrame, name: str, narrow: bool = True) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and later plans
     start from a plain scan whose size the optimizer knows.
 
-    With few_files at most two files a core are written, so that narrow tables behind many shuffle
-    partitions are not thousands of crumbs. Work over whole texts keeps a task per input split: False.
+    Narrow tables are written in few_files; work over whole texts keeps a task per input split: False.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if few_files:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+    df = few_files(df) if narrow else df
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
