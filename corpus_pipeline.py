@@ -59,5 +59,5 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"), few_files=False)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"), narrow=False)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -244,12 +244,12 @@ def decontaminate(
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     if blocks > 1:
-        rows = stored(rows, "rows", few_files=False)  # the row numbers must agree between blocks
+        rows = stored(rows, "rows", narrow=False)  # the row numbers must agree between blocks
     found: DataFrame | None = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         tests = Tests.of(((r[0], r[1]) for r in part.toLocalIterator()), window)
-        one = search(stored(build_index(rows, tests.vocabulary), "index", few_files=False), tests, window)
+        one = search(stored(build_index(rows, tests.vocabulary), "index", narrow=False), tests, window)
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
         merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(x)))).alias(x) for x in ("hits", "items")]

@@ -56,7 +56,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.monotonically_increasing_id().alias("row"),
     )
     # stored once: the row numbers stay what they are, and whole texts are read once
-    rows = stored(rows, "digests", few_files=False).withColumn("run", F.pmod(F.xxhash64("row"), F.lit(runs)).cast("int"))
+    rows = stored(rows, "digests", narrow=False).withColumn("run", F.pmod(F.xxhash64("row"), F.lit(runs)).cast("int"))
     best = F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     first = rows.groupBy("run", "digest", "check").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))
     kept = merge_rounds(first, runs, fan_in).select("digest", "check", "best", "n")

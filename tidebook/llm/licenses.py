@@ -131,7 +131,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     found = stored(notices(rows, least), "notices").select(F.col("row").alias("n_row"), "license", "cosine")
     parts = F.split("path", "/")
     keyed = rows.select("row", "doc_id", "path", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("dir"))
-    keyed = stored(keyed, "paths", few_files=False).join(found, F.col("row") == F.col("n_row"), "left").drop("row", "n_row")
+    keyed = stored(keyed, "paths", narrow=False).join(found, F.col("row") == F.col("n_row"), "left").drop("row", "n_row")
     keyed = stored(keyed, "own")
     # a licence per directory that has one; the nearest for every directory; each file asks its own
     holds = keyed.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE) & F.col("license").isNotNull())

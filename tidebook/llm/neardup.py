@@ -227,7 +227,7 @@ def near_duplicates(
     """
     bands, rows = choose_bands(threshold, recall, hashes)
     text = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    sketch = stored(sketches(text.withColumn("row", F.monotonically_increasing_id()), n, bands, rows), "sketches", few_files=False)
+    sketch = stored(sketches(text.withColumn("row", F.monotonically_increasing_id()), n, bands, rows), "sketches", narrow=False)
     best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "key", "grams", "buckets")
     classes = sketch.where("grams > 0").groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes.select("digest", "copies", "best.*"), "classes")
@@ -253,7 +253,7 @@ def near_duplicates(
     low, high = F.least("place.part", "other"), F.greatest("place.part", "other")
     tiles = tiles.select("place.root", low.alias("a"), high.alias("b"), "place.part", "row", "copies", "roots", "text")
     tiles = tiles.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
-    found = stored(verified(tiles, n, threshold), "links", few_files=False)
+    found = stored(verified(tiles, n, threshold), "links", narrow=False)
 
     # classes of linked documents
     root = components(found.select(F.col("row").alias("u"), F.col("low").alias("v")))

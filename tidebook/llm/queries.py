@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import few_files
 from . import quality, toxicity
 from ._common import held_out, read
 from .decontam import decontaminate
@@ -30,11 +31,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lower = F.concat(upper, F.lit("q"), (F.floor(i / 64) % 64).cast("string"), F.lit("/"))
     path = F.when(i % 4096 == 0, F.concat(upper, F.lit("LICENSE"))).when(i % 64 == 0, F.concat(lower, F.lit("LICENSE")))
     docs = read(spark, sf_dir, "documents").select("doc_id", path.otherwise(F.concat(lower, i.cast("string"), F.lit(".txt"))).alias("path"), "text")
-    return scan_licenses(docs)
+    return few_files(scan_licenses(docs))
 
 
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(read(spark, sf_dir, "documents"), shards=40)
+    return few_files(shard_documents(read(spark, sf_dir, "documents"), shards=40))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,15 +59,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(read(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(F.get("positions", F.lit(0)), 9).alias("first_position"))
+    return few_files(plan).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(F.get("positions", F.lit(0)), 9).alias("first_position"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep_id", "n_links", "kept")
+    return few_files(near_duplicates(read(spark, sf_dir, "documents"))).select("doc_id", "class_id", "rep_id", "n_links", "kept")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(read(spark, sf_dir, "documents"))
+    return few_files(exact_dedup(read(spark, sf_dir, "documents")))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), base_spans(text).alias("base"), candidates(text).alias("candidates"))
-    found = stored(found, "secrets", few_files=False)
+    found = stored(found, "secrets", narrow=False)
     each = found.where(F.size("candidates") > 0).select("row", "base", F.explode("candidates").alias("c")).select("row", "base", "c.*")
     tested = stored(battery(each), "tested")
     free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))

@@ -61,7 +61,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     )
     # Slots in two steps, as a shard is too large for one task: rows are numbered within (shard, block
     # of the order), and blocks are offset by the sizes of those before. 4096 blocks of md5 prefixes.
-    rows = stored(rows.withColumn("block", F.substring("mix", 1, 3)), "shards", few_files=False)
+    rows = stored(rows.withColumn("block", F.substring("mix", 1, 3)), "shards", narrow=False)
     block = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     block = block.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
