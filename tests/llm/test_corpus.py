@@ -387,6 +387,23 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(df).count() == len(files) and licenses.scan_licenses(df.limit(0)).collect() == []
 
 
+def test_licenses_of_real_files(spark):
+    grant = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:'
+    gnu = "/*\n * {0} - {1}\n *\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version {2} of the License, or\n * (at your option) any later version.\n *\n */"
+    apache = '# Copyright 2019 The Authors\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\nimport os'
+    isc = "Copyright (c) 2011, Someone\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    files = [
+        ("MIT", "MIT License"), ("MIT", "Copyright (c) 2020 A B\n\n" + grant), ("Apache-2.0", "    Apache License\n  Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\n" + prose(1, 30)),
+        ("GPL-2.0", "   GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\n" + prose(2, 30)), ("GPL-3.0", "   GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n"), ("MPL-2.0", "Mozilla Public License Version 2.0\n====\n"),
+        ("ISC", "ISC License"), ("ISC", isc), ("MIT", "// SPDX-License-Identifier: MIT\nint x;"), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */"), ("GPL-2.0", gnu.format("foo", "bar", 2) + "\n" + prose(3, 30)),
+        ("GPL-3.0", gnu.format("foo", "bar", 3)), ("Apache-2.0", apache), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"), ("CC-BY-SA-4.0", "Attribution-ShareAlike 4.0 International"),
+        (None, "License"), (None, "mit"), (None, "mit mit"), (None, "SPDX-License-Identifier: CC-BY-ND-4.0"), (None, "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"), (None, "Attribution-NonCommercial-NoDerivatives 4.0 International"), (None, prose(4, 50) + "\n" + prose(5, 50)),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/x.txt", t) for i, (_, t) in enumerate(files)], "doc_id long, path string, text string")
+    got = {x.doc_id: x.license for x in licenses.scan_licenses(df).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(files)}
+
+
 def test_anchors_lose_nothing():
     w = {"L": {"a": 3.0, "b": 2.0, "c": 1.0}}
     kept = licenses.anchors(w, 0.75)
