@@ -273,6 +273,16 @@ def test_secrets(spark, edges, empty):
     assert len(secretscan.scan_secrets(edges).collect()) == len(EDGES) and secretscan.scan_secrets(empty).collect() == []
 
 
+def test_secrets_behind_names_and_in_paths(spark):
+    r = random.Random(6)
+    token = lambda n, more="": "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more, k=n))
+    planted = [(f, token(n, more) + end) for f, n, more, end in (("x AWS_SECRET_ACCESS_KEY={} y", 40, "+/", ""), ("🙂 PWD={}", 48, "", ""), ("a?sig={}&b", 43, "+/", "="), ("AUTH={};", 40, "_-", ""), ("in /srv/my_app-1/{}/x_y", 48, "", ""))]
+    df = spark.createDataFrame([(i, f.format(t), "en", "s", 1) for i, (f, t) in enumerate(planted)], DOCS)
+    got = {x.doc_id: [planted[x.doc_id][0].format(planted[x.doc_id][1])[s.start : s.end] for s in x.spans] for x in secretscan.scan_secrets(df).collect()}
+    assert all(len(s) == 1 and planted[i][1] in s[0] for i, s in got.items()), got
+    assert [got[i] for i in range(4)] == [[planted[i][1]] for i in range(4)]
+
+
 def test_battery_tells_random_from_text(spark):
     r = random.Random(8)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

@@ -27,7 +27,12 @@ BASE = (
 )
 #: Finds each base kind's texts quickly; a text without it has no match that is long enough.
 GATES = {"assign": r"(?i:password|passwd|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}"}
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: A = inside a run parts a name from its value; at the end it is padding.
+CANDIDATE = r"[A-Za-z0-9+/_-]{14,}+(?:=+(?![A-Za-z0-9+/_=-]))?"
+#: Every candidate of 20 characters is in such a run.
+CANDIDATE_GATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: A run with both kinds of signs is in no encoding; its longest parts that are.
+MIXED, PARTS = r"[+/].*[_-]|[_-].*[+/]", (r"[A-Za-z0-9+/]{20,}=*", r"[A-Za-z0-9_-]{20,}=*")
 
 # Encodings, the narrowest first: name, expression, alphabet.
 ENCODINGS = (
@@ -90,10 +95,14 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Runs of encoding characters with their positions. Numbers, and words of one case without digits,
-    are in no encoding that could be told from text, and are left out."""
+    """Runs of encoding characters, or their parts if the whole is in no encoding, with their positions.
+    Numbers, and words of one case without digits, are in no encoding that could be told from text, and are
+    left out."""
     odd = lambda m: m["inside"].rlike("[0-9]") & m["inside"].rlike("[A-Za-z]") | m["inside"].rlike("[a-z]") & m["inside"].rlike("[A-Z]")
-    return F.when(text.rlike(CANDIDATE), F.filter(matches(text, CANDIDATE, 0, 20), odd)).otherwise(F.array().cast("array<struct<start:int,end:int,inside:string>>"))
+    moved = lambda m, x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["inside"].alias("inside"))
+    parts = lambda m: F.concat(*[F.transform(matches(m["inside"], p, 0, 20), lambda x: moved(m, x)) for p in PARTS])
+    runs = F.transform(matches(text, CANDIDATE, 0, 20), lambda m: F.when(m["inside"].rlike(MIXED), parts(m)).otherwise(F.array(m)))
+    return F.when(text.rlike(CANDIDATE_GATE), F.array_distinct(F.filter(F.flatten(runs), odd))).otherwise(F.array().cast("array<struct<start:int,end:int,inside:string>>"))
 
 
 def battery(found: DataFrame) -> DataFrame:
@@ -184,6 +193,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     span = F.struct(F.lit("random").alias("kind"), F.lit(len(BASE)).alias("rank"), "start", "end")
     more = discoveries(tested, rate).where(free).groupBy(F.col("row").alias("m_row")).agg(F.collect_list(span).alias("more"))
+    # parts of one run can overlap: the longest stays
+    size = lambda x: x["end"] - x["start"]
+    beats = lambda o, x: (o["start"] < x["end"]) & (x["start"] < o["end"]) & ((size(o) > size(x)) | (size(o) == size(x)) & (o["start"] < x["start"]))
+    more = more.withColumn("more", F.filter("more", lambda x: ~F.exists("more", lambda o: beats(o, x))))
     out = found.join(more, F.col("row") == F.col("m_row"), "left")
     spans = F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))
     by = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
