@@ -294,6 +294,17 @@ def test_battery_tells_random_from_text(spark):
     assert z.a == pytest.approx(0.05, abs=1e-6) and z.b == pytest.approx(0.8413447, abs=1e-6)
 
 
+def test_battery_reaches_each_encoding(spark):
+    r = random.Random(9)
+    rows = [(f"{name} {n}", "".join(r.choices(letters, k=n))) for name, _, letters in secretscan.ENCODINGS for n in secretscan.LENGTH_CLASSES for _ in range(20)]
+    rows += [("text", prose(i, 40).replace(" ", "").upper()[: n - 2] + "24") for i, n in enumerate(secretscan.LENGTH_CLASSES * 10)]
+    found = Counter(x.kind for x in secretscan.discoveries(secretscan.battery(spark.createDataFrame(rows, "kind string, inside string")), 0.01).collect())
+    for name, _, _ in secretscan.ENCODINGS:
+        for n in secretscan.LENGTH_CLASSES:
+            assert found[f"{name} {n}"] >= (4 if n < 28 and name == "base32" else 12), (name, n, found)
+    assert found["text"] <= 4
+
+
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 

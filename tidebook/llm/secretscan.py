@@ -4,7 +4,7 @@ Candidates are long runs of encoding characters. Their encoding is inferred from
 over its alphabet they are tested for uniformity (chi-squared), for runs above and below the middle,
 and for serial correlation. A random string passes all three. Text fails: its chi-squared statistic
 grows with its length. The p-value of the statistic under that alternative, which a longer string makes
-smaller, goes into a false-discovery control per class of length, over the candidates of all documents.
+smaller, in small alphabets with or replaced by that of the switches between letters and digits, goes into a false-discovery control per class of length, over the candidates of all documents.
 
 Everything is built from column functions; no Python runs on the executors.
 """
@@ -47,6 +47,11 @@ ENCODINGS = (
 )
 #: Chance that two letters of a natural text agree.
 COINCIDENCE = 0.065
+#: Chance that neighbours in a text are a letter and a digit, in either order; an assumption, as names and
+#: words keep their digits together.
+SWITCH = 0.1
+#: Pairs up to which the chance of so many switches is summed exactly; beyond, its Chernoff bound is taken.
+EXACT_PAIRS = 512
 #: Least p-value at which a test of randomness counts as passed.
 PASSED = 0.001
 LENGTH_CLASSES = (20, 24, 28, 32, 40, 48, 64, 96, 128)
@@ -105,11 +110,27 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike(CANDIDATE_GATE), F.array_distinct(F.filter(F.flatten(runs), odd))).otherwise(F.array().cast("array<struct<start:int,end:int,inside:string>>"))
 
 
+def switch_tail(k: Column, m: Column) -> Column:
+    """P(K >= k) of a binomial K of m pairs with chance SWITCH."""
+    zero = F.struct(F.pow(F.lit(1 - SWITCH), m).alias("term"), F.when(k <= 0, F.pow(F.lit(1 - SWITCH), m)).otherwise(F.lit(0.0)).alias("sum"))
+
+    def step(a: Column, j: Column) -> Column:
+        term = a["term"] * (m - j + 1) / j * (SWITCH / (1 - SWITCH))
+        return F.struct(term.alias("term"), (a["sum"] + F.when(j >= k, term).otherwise(F.lit(0.0))).alias("sum"))
+
+    exact = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(float(EXACT_PAIRS))).cast("int")), zero, step)["sum"]
+    share = k / m
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(F.lit(0.0))
+    bound = F.when(share <= SWITCH, F.lit(1.0)).otherwise(F.exp(-m * (part(share, F.lit(SWITCH)) + part(1 - share, F.lit(1 - SWITCH)))))
+    return F.least(F.lit(1.0), F.when(m <= EXACT_PAIRS, exact).otherwise(bound))
+
+
 def battery(found: DataFrame) -> DataFrame:
     """Rows with `inside`, a candidate, to rows with encoding, length, p_random and p_text.
 
-    p_random is three times the least p-value of the three tests of randomness; p_text the chance of so
-    small a chi-squared statistic if the string were text. Both tails use normal approximations: the
+    p_random is three times the least p-value of the three tests of randomness. p_text is the chance, if the
+    string were text, of so small a chi-squared statistic in encodings of over 36 symbols, of so many switches
+    between letters and digits in those of 16, and of both, joined by Fisher's rule, in those between. Both tails use normal approximations: the
     cube root of chi-squared over its degrees, and the published mean and deviation of the number of
     runs and of the serial correlation. Candidates in no known encoding are left out.
     """
@@ -134,6 +155,7 @@ def battery(found: DataFrame) -> DataFrame:
             "up": F.aggregate("x", F.lit(0.0), lambda a, v: a + (v > 0).cast("double")),
             "runs": F.aggregate("pairs", F.lit(1.0), lambda a, p: a + ((p["a"] > 0) != (p["b"] > 0)).cast("double")),
             "cross": F.aggregate("pairs", F.lit(0.0), lambda a, p: a + p["a"] * p["b"]),
+            "switches": F.aggregate(F.sequence(F.lit(1), F.length("body") - 1), F.lit(0.0), lambda a, i: a + (F.substring("body", i, F.lit(1)).rlike("[0-9]") != F.substring("body", i + 1, F.lit(1)).rlike("[0-9]")).cast("double")),
             "power": F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v),
         }
     )
@@ -148,7 +170,10 @@ def battery(found: DataFrame) -> DataFrame:
         }
     )
     least = F.least(normal_tail(F.col("z_chi")), 2 * normal_tail(F.col("z_runs")), 2 * normal_tail(F.col("z_serial")))
-    return rows.withColumn("p_random", F.least(F.lit(1.0), 3 * least)).withColumn("p_text", normal_tail(F.col("z_text"))).select(
+    chi, switches = F.greatest(normal_tail(F.col("z_text")), F.lit(1e-150)), F.greatest(switch_tail(F.col("switches"), n - 1), F.lit(1e-150))
+    both = chi * switches
+    p_text = F.when(F.col("size") == 16, switches).when(F.col("size") <= 36, both * (1 - F.log(both))).otherwise(normal_tail(F.col("z_text")))
+    return rows.withColumn("p_random", F.least(F.lit(1.0), 3 * least)).withColumn("p_text", F.least(F.lit(1.0), p_text)).select(
         *found.columns, "encoding", "length", "p_random", "p_text"
     )
 
