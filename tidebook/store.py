@@ -11,25 +11,30 @@ _local_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir. Where the session names none, a temporary one on a local master
+    (tests); on a cluster that is an error, as its machines share no temporary folder."""
     global _local_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="spark-tidebook-", dir="/tmp")
     return _local_dir
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """df in at most two partitions a core: for narrow results behind many shuffle partitions, which would
-    be written as thousands of crumbs."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    """df in partitions of about spark.sql.adaptive.advisoryPartitionSizeInBytes: for narrow results of many
+    tasks, which would be written as thousands of crumbs. Their number follows from the size of the data."""
+    return df.hint("rebalance")
 
 
 def stored(df: DataFrame, name: str, narrow: bool = True) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and later plans
-    start from a plain scan whose size the optimizer knows.
+    start from a plain scan whose size the optimizer knows. The tables stay there until whoever runs the
+    job clears the folder, as with checkpoints.
 
     Narrow tables are written in few_files; work over whole texts keeps a task per input split: False.
     """
