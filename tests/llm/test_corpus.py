@@ -48,7 +48,7 @@ def empty(spark):
 
 
 def test_exact_dedup_edges(edges, empty):
-    got = exactdedup.exact_dedup(edges, runs=8, fan_in=2).collect()
+    got = exactdedup.exact_dedup(edges.repartition(8), fan_in=2).collect()
     assert len(got) == len(EDGES)
     groups = {}
     for r in got:
@@ -62,11 +62,12 @@ def test_exact_dedup_edges(edges, empty):
     assert exactdedup.exact_dedup(empty).collect() == []
 
 
-@pytest.mark.parametrize(("runs", "fan_in"), [(1, 8), (5, 2), (64, 8)])
+@pytest.mark.parametrize(("runs", "fan_in"), [(1, 8), (5, 2), (13, 3)])
 def test_exact_dedup_brute_force(spark, runs, fan_in):
     r = random.Random(runs)
     rows = [(i, r.choice(["a b", "ab", "a  b", "c", " c ", prose(i % 7, 5)]), "en", "s", 1) for i in range(200)]
-    got = {x.doc_id: (x.keep_id, x.group_size, x.kept) for x in exactdedup.exact_dedup(spark.createDataFrame(rows, DOCS), runs=runs, fan_in=fan_in).collect()}
+    df = spark.createDataFrame(rows, DOCS).repartition(runs)
+    got = {x.doc_id: (x.keep_id, x.group_size, x.kept) for x in exactdedup.exact_dedup(df, fan_in=fan_in).collect()}
     by = {}
     for i, t, *_ in rows:
         by.setdefault(t.replace(" ", ""), []).append((-len(t), i))
@@ -74,6 +75,14 @@ def test_exact_dedup_brute_force(spark, runs, fan_in):
     assert got == want
 
 
+def test_runs_meet_in_binomial_rounds(spark):
+    """Every run ends in run 0; digests that fail verification never merge."""
+    rows = [(run, b"d%d" % (i % 3), b"x" if run < 9 else b"y", i, 1) for run in range(10) for i in range(6)]
+    level = spark.createDataFrame(rows, "run long, digest binary, check binary, best long, n long")
+    got = {(x.run, bytes(x.digest), bytes(x.check)): (x.best, x.n) for x in exactdedup.merge_rounds(exactdedup.merged(level), 10, 2).collect()}
+    assert got == {(0, b"d%d" % d, c): (d, n) for d in range(3) for c, n in ((b"x", 18), (b"y", 2))}
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
@@ -93,10 +102,45 @@ def test_sharding(spark, edges, empty):
         slots.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert len(sharding.shard_documents(edges, 3).collect()) == len(EDGES) and sharding.shard_documents(empty).collect() == []
+    named = spark.createDataFrame([("a-1", "x"), ("b", "y"), (None, "z"), ("a-1", "w")], "doc_id string, text string")
+    shard = {}
+    for r in sharding.shard_documents(named, 7).collect():
+        shard.setdefault(r.doc_id, set()).add(r.shard)
+        assert 0 <= r.shard < 7
+    assert len(shard["a-1"]) == 1 and shard[None] == {jump(0, 7)}
     with pytest.raises(ValueError):
         sharding.jump(np.array([1]), 0)
 
 
+def gapless(rows):
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    return all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_slots_follow_the_order_of_the_table(spark, tmp_path):
+    df = spark.range(0, 3000).select((F.col("id") * 7919 % 3001).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    df.repartitionByRange(5, F.col("text").cast("long")).sortWithinPartitions(F.col("text").cast("long")).write.parquet(f"{tmp_path}/t")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    at = {r.doc_id: int(r.text) for r in read.collect()}
+    got = sharding.shard_documents(read, 4).collect()
+    assert gapless(got)
+    for shard in range(4):
+        order = [at[r.doc_id] for r in sorted((x for x in got if x.shard == shard), key=lambda x: x.slot)]
+        assert order == sorted(order)
+
+
+def test_rows_without_ids_are_split(spark):
+    """A third of all rows may have no id and the same text."""
+    df = spark.range(0, 100_000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit(None).cast("string").alias("source"))
+    got = sharding.shard_documents(df, 8)
+    assert got.agg(F.countDistinct("slot"), F.max("slot")).first() == (100_000, 99_999)
+    plan = mixing.plan_mix(df)
+    assert tuple(plan.agg(F.count("*"), F.sum("copies"), F.countDistinct(F.get("positions", F.lit(0)))).first()) == (100_000, 100_000, 100_000)
+    assert exactdedup.exact_dedup(df).agg(F.count("*"), F.sum(F.col("kept").cast("int")), F.min("group_size")).first() == (100_000, 1, 100_000)
+
+
 def test_mixing(spark, edges, empty):
     r = random.Random(1)
     rows = [(i, prose(i, r.randint(1, 60)), "en", r.choice("aaaaab") if i % 9 else None, 1) for i in range(400)]
@@ -112,14 +156,29 @@ def test_mixing(spark, edges, empty):
         assert abs(sum(x.taken for x in got if x.source == s) - t) <= longest
     for x in got:
         assert x.taken == x.copies * x.size <= 3 * x.size and len(x.positions) == x.copies and all(0 <= p <= 1 for p in x.positions)
-    order = mixing.mixed_order(mixing.plan_mix(df, blocks=16), 3).collect()
-    assert [x.position for x in order] == sorted(x.position for x in order) and len(order) == sum(x.copies for x in got)
+    order = sorted(mixing.mixed_order(mixing.plan_mix(df, blocks=16), 3).collect(), key=lambda x: x.rank)
+    assert [x.rank for x in order] == list(range(sum(x.copies for x in got)))
+    assert [x.position for x in order] == sorted(x.position for x in order)
     again = {(x.doc_id, x.size): x.positions for x in mixing.plan_mix(df.repartition(7), blocks=16).collect()}
     assert again == {(x.doc_id, x.size): x.positions for x in got}
     assert len(mixing.plan_mix(edges).collect()) == len(EDGES) and mixing.plan_mix(empty).collect() == []
     mixed = mixing.mixed_documents(edges)
-    plan = mixing.plan_mix(edges).groupBy("key").agg(F.sum("copies").alias("n")).collect()
-    assert mixed.columns == edges.columns and mixed.count() == sum(x.n for x in plan)
+    assert mixed.columns == edges.columns and mixed.count() == mixing.plan_mix(edges).agg(F.sum("copies")).first()[0]
+
+
+def test_mixed_documents_come_in_training_order(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(i, prose(i, r.randint(1, 20)), "en", r.choice("aaab"), 1) for i in range(200)]
+    df = spark.createDataFrame(rows, DOCS)
+    mixing.mixed_documents(df, 3).write.parquet(f"{tmp_path}/m")
+    want = [x.doc_id for x in sorted(mixing.mixed_order(mixing.plan_mix(df)).collect(), key=lambda x: x.rank)]
+    read = spark.read.parquet(f"{tmp_path}/m")
+    assert [x.doc_id for x in read.orderBy("_metadata.file_path", "_metadata.row_index").collect()] == want
+    slots = sharding.shard_documents(read, 3).collect()
+    assert gapless(slots)
+    for shard in range(3):
+        mine = [x.doc_id for x in sorted((x for x in slots if x.shard == shard), key=lambda x: x.slot)]
+        assert mine == [i for i in want if jump(i, 3) == shard]
 
 
 def test_curriculum_inverts_its_integral(spark):
@@ -160,11 +219,35 @@ def test_near_duplicates_brute_force(spark):
 
 
 def test_near_duplicates_tiles(spark, monkeypatch):
-    """Groups of several tiles give the same counts as one."""
+    """Groups of several tiles give the same counts as one; rows that repeat come once."""
     rows = [(i, prose(1, 80) + f" tail{i}", "en", "s", 1) for i in range(40)]
-    df = spark.createDataFrame(rows, DOCS)
-    monkeypatch.setattr(neardup, "TILE_DOCS", 7)
-    assert {(x.n_links, x.class_id) for x in neardup.near_duplicates(df).collect()} == {(39, 0)}
+    df = spark.createDataFrame(rows + rows[:1] * 30, DOCS)
+    monkeypatch.setattr(neardup, "PART_DOCS", (7, 7))
+    assert {(x.n_links, x.class_id) for x in neardup.near_duplicates(df).collect()} == {(69, 0)}
+
+
+def test_near_duplicates_recall(spark):
+    """Production settings, pairs just above the threshold."""
+    r = random.Random(12)
+    rows, pairs = [], []
+    for i in range(0, 600, 2):
+        w = prose(i, 110).split()
+        v = list(w)
+        for k in r.sample(range(0, 100, 6), 2):
+            v[k] = "changed"
+        rows += [(i, " ".join(w), "en", "s", 1), (i + 1, " ".join(v), "en", "s", 1)]
+        a, b = shingles(" ".join(w)), shingles(" ".join(v))
+        if len(a & b) / len(a | b) >= 0.8:
+            pairs.append((i, i + 1))
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(pairs) > 250 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_pairs_that_met_before():
+    roots = [[1], [1, 2], [2, 3], [1, 3], [2]]
+    got = neardup.met_before(roots, 3)
+    want = [[bool({x for x in a if x < 3} & {x for x in b if x < 3}) for b in roots] for a in roots]
+    assert got.tolist() == want
 
 
 def test_near_duplicates_edges(spark, edges, empty):
@@ -218,17 +301,28 @@ def contaminated(text, items):
     return sorted(hits), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [64 << 20, 150])
-def test_decontaminate(spark, block_bytes):
+def near(text, items, span=20):
+    w, found = words(text), set()
+    for item, t in items:
+        b = words(t)
+        for k in range(max(1, len(b) - 9) if b else 0):
+            if any(set(b[k : k + 10]) <= set(w[i : i + span]) for i in range(len(w))):
+                found.add(str(item))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("most", [1 << 19, 7])
+def test_decontaminate(spark, most):
     items = [(1, prose(1, 25)), (2, prose(2, 12)), (3, "Anber condor"), (4, None), (5, ""), (1, prose(7, 15)), (20, prose(1, 25))]
     rows = [(i, prose(50 + i, 20), "en", "s", 1) for i in range(20)]
     rows += [(100, prose(60, 9) + " " + prose(1, 25) + " " + prose(61, 9), "en", "s", 1), (101, prose(2, 12).upper(), "en", "s", 1), (102, "x ANBER, CONDOR! anber condor", "en", "s", 1)]
     rows += [(103, " ".join(prose(1, 25).split()[3:14]), "en", "s", 1), (104, " ".join(prose(1, 25).split()[3:12]), "en", "s", 1), (105, None, "en", "s", 1), (None, prose(7, 15), None, None, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {x.doc_id: x for x in decontam.decontaminate(spark.createDataFrame(rows, DOCS).repartition(3), bench, block_bytes=block_bytes).collect()}
+    got = {x.doc_id: x for x in decontam.decontaminate(spark.createDataFrame(rows, DOCS).repartition(3), bench, block_windows=most).collect()}
     for i, t, *_ in rows:
         assert (got[i].hits, got[i].items) == contaminated(t, items) and got[i].n_words == len(words(t))
-    left = decontam.drop_contaminated(spark.createDataFrame(rows, DOCS), bench, block_bytes=block_bytes)
+        assert got[i].near == near(t, items)
+    left = decontam.drop_contaminated(spark.createDataFrame(rows, DOCS), bench, block_windows=most)
     assert sorted(x.doc_id or -1 for x in left.collect()) == sorted(i or -1 for i, t, *_ in rows if not contaminated(t, items)[0])
 
 
@@ -240,12 +334,16 @@ def test_decontaminate_edges(spark, edges, empty):
     assert decontam.decontaminate(edges, none).where(F.size("hits") > 0).count() == 0 and decontam.drop_contaminated(edges, none).count() == len(EDGES)
 
 
-def test_proximity(spark):
-    tests = decontam.Tests.of([(9, "alpha beta gamma")])
-    docs = [(1, "alpha x x beta y gamma"), (2, "alpha " + "x " * 30 + "beta gamma"), (3, "beta gamma"), (4, "gamma beta alpha")]
-    df = spark.createDataFrame([(i, i, t) for i, t in docs], "row long, doc_id long, text string")
-    index = decontam.build_index(df, tests.vocabulary)
-    assert {x.doc_id for x in decontam.near_matches(index, tests, 3, 6).collect()} == {1, 4}
+@pytest.mark.parametrize("span", [3, 6, 20])
+def test_proximity(spark, span):
+    """Texts of few words, so that many terms meet by chance, in segments of several documents."""
+    r = random.Random(span)
+    docs = [(i, " ".join(r.choices("abcdefgh", k=r.randint(0, 60)))) for i in range(60)] + [(100, None)]
+    items = [(i, " ".join(r.choices("abcdefgh", k=k))) for i, k in enumerate((1, 2, 3, 3, 5, 8, 12, 14))] + [(50, "a a a b"), (51, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: x for x in decontam.decontaminate(df, bench, span=span).collect()}
+    for i, t in docs:
+        assert got[i].near == near(t, items, span) and (got[i].hits, got[i].items) == contaminated(t, items)
 
 
 def secrets(text):
@@ -283,6 +381,39 @@ def test_secrets_behind_names_and_in_paths(spark):
     assert [got[i] for i in range(4)] == [[planted[i][1]] for i in range(4)]
 
 
+def test_many_matches_in_one_text(spark):
+    """Positions stay right over many chunks, and overlaps with base spans are seen."""
+    r = random.Random(3)
+    text = " ".join("%016x" % r.getrandbits(64) if r.random() < 0.7 else "token=" + "".join(r.choices("abcKLM019+/", k=24)) for _ in range(3000))
+    df = spark.createDataFrame([(1, text), (2, text + " x")], "doc_id long, text string")
+    got = secretscan.scan_secrets(df).withColumn("base", secretscan.digest_text(F.filter("spans", lambda s: s["kind"] != "random"))).collect()
+    assert {x.doc_id: x.base for x in got} == {1: secrets(text), 2: secrets(text + " x")}
+    for x in got:
+        spans = sorted((s.start, s.end) for s in x.spans if s.kind in ("assign", "random"))
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_overlaps_are_found_by_running_values(spark):
+    r = random.Random(5)
+    for _ in range(3):
+        families, base = [], []
+        for f in (0, 1):
+            at = 0
+            for _ in range(30):
+                at += r.randint(0, 9)
+                families.append((1, at, at + (n := r.randint(1, 15)), f))
+                at += n
+        for _ in range(8):
+            at = r.randint(0, 300)
+            base.append((1, at, at + r.randint(1, 12)))
+        found = spark.createDataFrame(families, "row long, start int, end int, family int")
+        hit = lambda a, b: a[1] < b[2] and b[1] < a[2]
+        beats = lambda o, x: o[3] != x[3] and hit(o, x) and (x[1] - x[2], o[1]) > (o[1] - o[2], x[1]) if x[1] - x[2] != o[1] - o[2] else o[3] != x[3] and hit(o, x) and o[1] < x[1]
+        assert sorted(map(tuple, secretscan.longest(found).collect())) == sorted(x for x in families if not any(beats(o, x) for o in families))
+        free = secretscan.free_of(found, spark.createDataFrame(base, "row long, start int, end int"))
+        assert sorted(map(tuple, free.collect())) == sorted(x for x in families if not any(hit(b, x) for b in base))
+
+
 def test_battery_tells_random_from_text(spark):
     r = random.Random(8)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -332,6 +463,21 @@ def test_url_filter(spark):
             assert got[i].rule is None and got[i].verdict == ("block" if got[i].probability >= 0.5 else "allow")
     assert got[14].verdict == "block" and got[15].verdict == "allow" and got[8].verdict == "allow"
     assert urlfilter.filter_urls(df.limit(0), RULES).collect() == []
+    long = spark.createDataFrame([(1, "http://a.com/" + "x/" * 50_000), (1, "http://a.com/" + "x/" * 50_000), (2, "h" * 100_000)], "page_id long, url string")
+    judged_long = urlfilter.filter_urls(long, RULES, []).collect()
+    assert len(judged_long) == 3 and judged_long[0] == judged_long[1] and {x.verdict for x in judged_long} == {"allow"}
+
+
+def test_url_model_on_held_out_urls():
+    """A fifth of the labelled table is held out, and then words that training never saw."""
+    table = urlfilter.labelled_urls()
+    held = [x for x in table if zlib.crc32(x[0].encode()) % 5 == 0]
+    model = urlfilter.train([x for x in table if zlib.crc32(x[0].encode()) % 5])
+    caught = [model.probability(a) >= 0.5 for a, y in held if y]
+    wrong = [model.probability(a) >= 0.5 for a, y in held if not y]
+    assert np.mean(caught) >= 0.9 and np.mean(wrong) <= 0.01
+    others = ["carpentry.org/tools/12", "www.pottery-wheel.com/en/7", "astronomy.edu/telescope.html", "blog.zebra.net/2021/44/stripes", "lighthouse.co.uk/", "violin.fr/fr/81"]
+    assert not any(model.probability(a) >= 0.5 for a in others)
 
 
 def labelled(n, seed):
@@ -372,6 +518,30 @@ def test_classifiers(spark, training, edges, empty, module, score, which, cut):
     assert {type(x.score) for x in score(edges, blank, keep=["doc_id"]).collect()} == {float}
 
 
+def test_all_usable_labels_are_learned_from(spark):
+    """Labels of other documents, and texts over the bound, take no place of those that fit."""
+    from tidebook.llm._scores import labelled_sample
+
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") != 7, F.when(F.col("id") == 8, F.repeat(F.lit("x"), 5000)).otherwise(F.concat(F.lit("text "), "id"))).alias("text"))
+    labels = spark.range(200_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    usable = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 and i != 8]
+    got = labelled_sample(docs, labels, "toxic", 8000, 1000, "doc_id", "text")
+    assert sorted(got) == sorted((b"" if i == 7 else f"text {i}".encode(), i % 2) for i in usable)
+    assert len(labelled_sample(docs, labels, "toxic", 50, 1000, "doc_id", "text")) == 50
+
+
+def test_terms_that_tell_only_in_pairs():
+    """Two terms, each as frequent in either label; toxic where they meet."""
+    r = random.Random(1)
+    sample = []
+    for i in range(1600):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        sample.append(((prose(i, 8) + " insultium" * a + " groupala" * b).encode(), int(a == b)))
+    sets = [np.fromiter(toxicity.hashed(t), np.uint32) for t, _ in sample]
+    chosen = toxicity.chosen_buckets(sets, np.array([y for _, y in sample], float), 1024, 3, 3.0, 6.0)
+    assert {zlib.crc32(w) % toxicity.BUCKETS for w in (b"insultium", b"groupala")} <= set(chosen.tolist())
+
+
 def test_held_out_labels_are_never_learned(spark, training):
     docs, labels, _ = training
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

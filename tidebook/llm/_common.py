@@ -6,12 +6,13 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..store import stored
 
-__all__ = ["held_out", "pieces", "read", "row_key", "stored", "text_bytes", "words"]
+__all__ = ["filed", "held_out", "pieces", "place", "read", "stored", "text_bytes", "words"]
 
 #: Words of a lower-cased UTF-8 text: ASCII letters, digits, and everything beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -50,9 +51,26 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
             yield batch.slice(start)
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """What a row is known by: its id and its whole text. Rows that repeat in both share it."""
-    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(text_col).cast("string"), F.octet_length(text_col).cast("string"))
+def place(docs: DataFrame) -> Column:
+    """Where a row of a table that is read from files stands: struct(file, row). It tells rows apart that
+    repeat in every column, is the same in every scan, and orders a table as it was written."""
+    about = docs.metadataColumn("_metadata")
+    return F.struct(about["file_path"].alias("file"), about["row_index"].alias("row"))
+
+
+def filed(docs: DataFrame) -> DataFrame:
+    """docs as a scan of files, so that each row has a place of its own: itself if it is no more than columns
+    and filters of one, else a stored copy."""
+    node = docs._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    if node.nodeName() == "LogicalRelation":
+        try:
+            docs.select(place(docs))
+            return docs
+        except AnalysisException:
+            pass  # a relation of another kind than files
+    return stored(docs, "filed", narrow=False)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -15,17 +15,19 @@ from ._common import held_out, text_bytes
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int, id_col: str, text_col: str) -> list[tuple[bytes, int]]:
     """At most `rows` (text, label) pairs to learn from, in a fixed order.
 
-    Rows of labels whose id is held out or null, and null labels, are left out; of an id that repeats
-    the largest label and the first text in order count. The ids are chosen by their hash, and only they, a table of `rows` rows
-    at most, are broadcast. Texts over `longest` bytes are not learned from.
+    Left out are labels that are null or whose id is held out, null, or of no document, and documents
+    whose text is over `longest` bytes. Of the ids that are left, `rows` are chosen by their hash, so all
+    are used where they are no more than that; only the chosen ones are broadcast. Of an id that
+    repeats, the largest label and the first text in order count; null texts count as empty.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("labelled"), "y")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= longest)
-    found = texts.join(F.broadcast(ids), F.col("id") == F.col("labelled"))
+    ids = ids.groupBy(F.col("doc_id").alias("labelled")).agg(F.max(label).cast("int").alias("y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    usable = texts.select("id").join(ids, F.col("id") == F.col("labelled")).select("labelled", "y").distinct()
+    chosen = usable.orderBy(F.xxhash64("labelled"), "labelled").limit(rows)
+    found = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled"))
     found = found.groupBy("id").agg(F.min("text").cast("binary").alias("text"), F.max("y").alias("y"))
-    table = found.toArrow().sort_by("id").slice(0, rows)
+    table = found.toArrow().sort_by("id")
     return list(zip((bytes(x) for x in table["text"].to_pylist()), table["y"].to_pylist(), strict=True))
 
 

@@ -1,107 +1,115 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is cut by documents, as search clusters do: a segment holds some documents' postings, term
-by term, with sorted positions, and is stored as one row of a Parquet table. Terms that no test item
-has are left out. Searching a segment needs no shuffle: for every test window the list of its rarest
-term (by the counts of the whole index) gives the candidates, which are cut down by the lists of the
-other terms, adjusted by their offsets, rarest first. Phrases and proximity are exact.
+The index holds the postings of every term of the documents, and does not depend on the test set. It is
+cut by documents, as search clusters do: a segment holds some documents' postings, term by term, with
+sorted positions, and is stored as one row of a Parquet table. Searching a segment needs no shuffle: the
+list of a test window's rarest term in the segment gives the candidates, which are cut down by the lists
+of the other terms, rarest first: adjusted by their offsets for exact phrases, within a span for
+proximity matches. Test windows are searched in blocks of bounded number over the one index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import pieces, stored, text_bytes, words
+from ._common import filed, pieces, place, stored, text_bytes, words
 
 WINDOW = 10
+#: Words of a document among which all terms of a window make a proximity match.
+SPAN = 20
 SEGMENT_BYTES = 2 << 20
+#: Test windows that are searched at once: what a task holds of the test set.
+BLOCK_WINDOWS = 1 << 19
+#: Candidates whose surroundings are looked at at once.
+CHUNK = 1 << 15
+POSTINGS = ("n_words", "firsts", "terms", "counts", "postings")
 
 
-@dataclass
-class Tests:
-    """Test items: their terms, and their windows with the items that have them."""
+class Terms:
+    """Words as 64-bit values."""
 
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    windows: dict[tuple[int, ...], list[int]] = field(default_factory=dict)
-    ids: list[str] = field(default_factory=list)
-    item_terms: list[list[int]] = field(default_factory=list)
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
 
-    @classmethod
-    def of(cls, items: Iterable[tuple[object, str | None]], window: int = WINDOW) -> Tests:
-        """Items without words have no window; a null id is kept as an empty string."""
-        out = cls()
-        for item_id, text in items:
-            terms = [out.vocabulary.setdefault(w, len(out.vocabulary)) for w in words(text)]
-            if terms:
-                number = len(out.ids)
-                out.ids.append("" if item_id is None else str(item_id))
-                out.item_terms.append(terms)
-                for i in range(max(1, len(terms) - window + 1)):
-                    out.windows.setdefault(tuple(terms[i : i + window]), []).append(number)
-        return out
+    def of(self, text: bytes | None) -> np.ndarray:
+        if len(self.known) > 500_000:
+            self.known.clear()
+        known = self.known
+        return np.array([known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words(text)], np.uint64).view(np.int64)
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int], segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """The segments of docs (row, doc_id, text): per segment the documents' rows, ids, word counts and
     first slots, and per term (sorted) the sorted slots where it stands. Each document is followed by a
     free slot, so that no window runs from one into the next. A text is never cut."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
-    kind = docs.schema["doc_id"].dataType
     schema = T.StructType(
-        [T.StructField("rows", T.ArrayType(T.LongType())), T.StructField("doc_ids", T.ArrayType(kind))]
-        + [T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("n_words", "firsts", "terms", "counts", "postings")]
+        [T.StructField("rows", T.ArrayType(docs.schema["row"].dataType)), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType))]
+        + [T.StructField(x, T.ArrayType(T.LongType() if x == "terms" else T.IntegerType())) for x in POSTINGS]
     )
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        known = shared.value
-        for piece in pieces(batches, "text", segment_bytes):
-            lengths, slots = [], []
-            for raw in text_bytes(piece, "text"):
-                found = [known.get(w, -1) for w in words(raw)]
-                lengths.append(len(found))
-                found.append(-1)
-                slots.append(np.array(found, np.int32))
-            at = np.concatenate(slots)
-            n = np.array(lengths, np.int32)
-            firsts = np.concatenate([[0], np.cumsum(n + 1)[:-1]]).astype(np.int32)
-            where = np.flatnonzero(at >= 0).astype(np.int32)
-            order = np.argsort(at[where], kind="stable")
-            terms, counts = np.unique(at[where], return_counts=True)
-            columns = [piece.column("row").to_numpy(zero_copy_only=False), piece.column("doc_id").to_pylist(), n, firsts, terms, counts.astype(np.int32), where[order]]
-            into = to_arrow_schema(schema)
-            yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(columns, into, strict=True)], schema=into)
+        into, terms_of = to_arrow_schema(schema), Terms()
+        for batch in batches:
+            for piece in pieces([batch], "text", segment_bytes):
+                found = [terms_of.of(raw) for raw in text_bytes(piece, "text")]
+                n = np.array([len(x) for x in found], np.int32)
+                firsts = np.concatenate([[0], np.cumsum(n + 1)[:-1]]).astype(np.int32)
+                slots = np.concatenate([np.arange(k, dtype=np.int32) + f for k, f in zip(n, firsts, strict=True)])
+                every = np.concatenate(found)
+                order = np.argsort(every, kind="stable")
+                terms, counts = np.unique(every, return_counts=True)
+                columns = [n, firsts, terms, counts.astype(np.int32), slots[order]]
+                lists = [pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column(k)).cast(into.field(i).type) for i, k in enumerate(("row", "doc_id"))]
+                yield pa.RecordBatch.from_arrays([*lists, *[pa.array([x], type=f.type) for x, f in zip(columns, list(into)[2:], strict=True)]], schema=into)
 
     return docs.select("row", "doc_id", "text").mapInArrow(segments, schema)
 
 
-def term_counts(index: DataFrame) -> dict[int, int]:
-    """Occurrences of each test term in the whole index; as many rows as the block's vocabulary."""
-    pairs = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x"))
-    return {r[0]: r[1] for r in pairs.groupBy("x.terms").agg(F.sum("x.counts")).collect()}
+def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Items (id, text) to rows (item, window): every `window` words in a row as an array of 64-bit terms; all
+    of them where an item has fewer. Items without words have no window."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms_of = Terms()
+        for batch in batches:
+            for item, text in zip(batch.column("id").to_pylist(), text_bytes(batch, "text"), strict=True):
+                own = terms_of.of(text)
+                for start in range(0, max(1, len(own) - window + 1) if len(own) else 0, 4096):
+                    some = [own[i : i + window] for i in range(start, min(start + 4096, max(1, len(own) - window + 1)))]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(some), pa.string()), pa.array(some, pa.list_(pa.int64()))], names=["item", "window"])
+
+    return items.select("id", "text").mapInArrow(cut, "item string, window array<bigint>")
 
 
 class Segment:
-    """A segment's lists, and the view of them by slot."""
+    """A segment's lists, and the view of them by slot. Terms are numbered within the segment."""
 
-    def __init__(self, row: dict, n_terms: int):
+    def __init__(self, row: dict[str, np.ndarray]):
         self.n_words, self.firsts = np.asarray(row["n_words"], np.int64), np.asarray(row["firsts"], np.int64)
-        self.counts, self.begin = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
-        terms, counts = np.asarray(row["terms"], np.int64), np.asarray(row["counts"], np.int64)
-        self.counts[terms], self.begin[terms] = counts, np.cumsum(counts) - counts
+        self.terms, self.counts = np.asarray(row["terms"], np.int64), np.asarray(row["counts"], np.int64)
+        self.begin = np.cumsum(self.counts) - self.counts
         self.postings = np.asarray(row["postings"], np.int64)
         self.size = int((self.n_words + 1).sum())
-        self.at = np.full(self.size, -1, np.int64)
-        self.at[self.postings] = np.repeat(terms, counts)
+        self.at = np.full(self.size, -1, np.int32)
+        self.at[self.postings] = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.counts)
+
+    def number(self, terms: np.ndarray) -> np.ndarray:
+        """The segment's numbers of some terms, -1 for those that are not in it."""
+        if not len(self.terms):
+            return np.full(len(terms), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1).astype(np.int32)
 
     def lists(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The postings of several terms one after the other, and whose each is."""
@@ -114,109 +122,163 @@ class Segment:
         return np.searchsorted(self.firsts, slot, side="right") - 1
 
 
-class Phrases:
-    """Windows as a matrix, each with the order of its terms from the rarest on."""
-
-    def __init__(self, tests: Tests, counts: dict[int, int], window: int = WINDOW):
-        keys = list(tests.windows)
-        self.items = [tests.windows[k] for k in keys]
-        self.length = np.array([len(k) for k in keys], np.int64)
-        self.terms = np.full((len(keys), window), -1, np.int64)
-        for i, k in enumerate(keys):
-            self.terms[i, : len(k)] = k
-        often = np.array([counts.get(t, 0) for t in range(len(tests.vocabulary))] or [0], np.int64)
-        self.order = np.argsort(np.where(self.terms >= 0, often[self.terms], np.iinfo(np.int64).max), axis=1, kind="stable")
-
-    def find(self, seg: Segment) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first slot) of every occurrence."""
-        have = np.flatnonzero(((seg.counts[self.terms] > 0) | (self.terms < 0)).all(axis=1))
-        if not len(have):
-            return have, have
-        offset = self.order[have, 0]
-        slots, owner = seg.lists(self.terms[have, offset])
-        window, start = have[owner], slots - offset[owner]
-        ok = (start >= 0) & (start + self.length[window] <= seg.size)
-        window, start = window[ok], start[ok]
-        for j in range(1, self.terms.shape[1]):
-            if not len(window):
-                break
-            offset = self.order[window, j]
-            term = self.terms[window, offset]
-            ok = (term < 0) | (seg.at[np.minimum(start + offset, seg.size - 1)] == term)
-            window, start = window[ok], start[ok]
-        return window, start
-
-
-def search(index: DataFrame, tests: Tests, window: int = WINDOW) -> DataFrame:
-    """One row per document of the index: (row, doc_id, n_words, hits, items): the positions of its
-    words inside any occurrence of a window, and the sorted distinct items with occurring windows."""
-    shared = index.sparkSession.sparkContext.broadcast((Phrases(tests, term_counts(index), window), tests.ids, len(tests.vocabulary)))
-    kind = index.schema["doc_ids"].dataType.elementType
+@dataclass
+class Block:
+    """Test windows as a matrix of term numbers, -1 after the end of shorter ones; the terms; and the items
+    of each window."""
+
+    terms: np.ndarray
+    windows: np.ndarray
+    items: list[list[str]]
+
+    @classmethod
+    def of(cls, rows: DataFrame, window: int) -> Block:
+        """Of rows (window, items): a block of them, which the driver holds for a while."""
+        table = rows.toArrow()
+        lists = table["window"].combine_chunks()
+        length = lists.value_lengths().to_numpy()
+        terms, number = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        windows = np.full((len(length), window), -1, np.int32)
+        windows[np.arange(window)[None, :] < length[:, None]] = number
+        return cls(terms, windows, table["items"].to_pylist())
+
+    def inside(self, seg: Segment) -> tuple[np.ndarray, np.ndarray]:
+        """The windows all of whose terms are in the segment, and those terms by the segment's numbers, the
+        rarest in it first; -1 after the last."""
+        number = np.append(seg.number(self.terms), -2).astype(np.int32)  # -1 stays apart from absent terms
+        have = np.arange(len(self.windows))
+        for j in range(self.windows.shape[1]):
+            column = self.windows[have, j]
+            have = have[(column < 0) | (number[column] >= 0)]
+        local = np.where(self.windows[have] < 0, -1, number[self.windows[have]])
+        return have, local
+
+    @staticmethod
+    def rarest_first(local: np.ndarray, seg: Segment) -> np.ndarray:
+        often = np.where(local < 0, np.iinfo(np.int64).max, seg.counts[local] if len(seg.counts) else 0)
+        return np.argsort(often, axis=1, kind="stable")
+
+
+def phrases(have: np.ndarray, local: np.ndarray, order: np.ndarray, seg: Segment) -> tuple[np.ndarray, np.ndarray]:
+    """(window, first slot) of every occurrence of the windows with all their terms in the segment."""
+    if not len(have):
+        return have, have
+    each = np.arange(len(have))
+    slots, owner = seg.lists(local[each, order[:, 0]])
+    start = slots - order[owner, 0]
+    ok = (start >= 0) & (start + (local >= 0).sum(axis=1)[owner] <= seg.size)
+    owner, start = owner[ok], start[ok]
+    for j in range(1, local.shape[1]):
+        offset = order[owner, j]
+        term = local[owner, offset]
+        ok = (term < 0) | (seg.at[np.minimum(start + offset, seg.size - 1)] == term)
+        owner, start = owner[ok], start[ok]
+    return owner, start
+
+
+def near(local: np.ndarray, order: np.ndarray, seg: Segment, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, slot of its rarest term) of every proximity match: `span` words of one document in a row, that
+    slot among them, hold all terms of the window, in any order.
+
+    Each slot p of the rarest term has `span` stretches that hold it, from p - span + 1 on. A term's
+    occurrences around p mark the stretches that hold it too; what is marked for all terms is a match. Of
+    windows with the same two rarest terms, the candidates are looked for once.
+    """
+    width = 2 * span - 1
+    around = np.full(seg.size + 2 * (span - 1), -1, np.int32)
+    around[span - 1 : span - 1 + seg.size] = seg.at
+    view = np.lib.stride_tricks.sliding_window_view(around, width)
+    first = np.take_along_axis(local, order[:, :1], 1)[:, 0].astype(np.int64)
+    second = np.take_along_axis(local, order[:, 1:2], 1)[:, 0].astype(np.int64) if local.shape[1] > 1 else np.full(len(local), -1)
+    _, lead, member = np.unique(first * (len(seg.terms) + 1) + second + 1, return_index=True, return_inverse=True)
+    slots, pair = seg.lists(first[lead])
+
+    step = np.arange(-(span - 1), span, dtype=np.int32)[None, :]
+
+    def stretches(terms: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the stretches around the slots hold the terms, inside the slot's document; all, for no term."""
+        there = view[at] == terms[:, None].astype(np.int32)
+        out = np.repeat((terms < 0)[:, None], span, axis=1)
+        some = np.flatnonzero(there.any(axis=1) & (terms >= 0))
+        doc = seg.document(at[some])
+        left, right = seg.firsts[doc] - at[some], seg.firsts[doc] + seg.n_words[doc] - at[some]
+        inside = there[some] & (step >= left[:, None].astype(np.int32)) & (step < right[:, None].astype(np.int32))
+        sums = np.concatenate([np.zeros((len(some), 1), np.int32), np.cumsum(inside, axis=1, dtype=np.int32)], axis=1)
+        out[some] = sums[:, span:] > sums[:, :-span]
+        return out
+
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(0, len(slots), CHUNK):
+        at, who = slots[i : i + CHUNK], pair[i : i + CHUNK]
+        marks = stretches(second[lead][who], at)
+        ok = marks.any(axis=1)
+        kept.append((at[ok], who[ok], marks[ok]))
+    if not kept:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at, who, marks = (np.concatenate(x) for x in zip(*kept, strict=True))
+    by_pair = np.argsort(member, kind="stable")
+    many = np.bincount(member, minlength=len(lead))
+    begin = np.cumsum(many) - many
+    window: list[np.ndarray] = []
+    found: list[np.ndarray] = []
+    for i in range(0, len(at), CHUNK):
+        rows = np.arange(i, min(i + CHUNK, len(at)))
+        n = many[who[rows]]
+        own = np.repeat(rows, n)
+        w = by_pair[np.repeat(begin[who[rows]], n) + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)]
+        for k in range(0, len(own), CHUNK):
+            o, v = own[k : k + CHUNK], w[k : k + CHUNK]
+            m = marks[o]
+            for j in range(2, local.shape[1]):
+                m = m & stretches(local[v, order[v, j]], at[o])
+                ok = m.any(axis=1)
+                o, v, m = o[ok], v[ok], m[ok]
+            window.append(v)
+            found.append(at[o])
+    return (np.concatenate(window), np.concatenate(found)) if window else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def search(index: DataFrame, shared: Broadcast[Block], span: int = SPAN) -> DataFrame:
+    """One row per document of the index: (row, doc_id, n_words, hits, items, near): the positions of its
+    words inside any occurrence of a window of the block, the sorted distinct items with occurring windows,
+    and those with proximity matches."""
     schema = T.StructType(
-        [T.StructField("row", T.LongType()), T.StructField("doc_id", kind), T.StructField("n_words", T.LongType())]
-        + [T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
+        [T.StructField(k, index.schema[c].dataType.elementType) for k, c in (("row", "rows"), ("doc_id", "doc_ids"))]
+        + [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType()))]
+        + [T.StructField(k, T.ArrayType(T.StringType())) for k in ("items", "near")]
     )
 
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        phrases, ids, n_terms = shared.value
+        block, into = shared.value, to_arrow_schema(schema)
+
+        def items_of(seg: Segment, windows: np.ndarray, slots: np.ndarray) -> list[list[str]]:
+            of: dict[int, set[str]] = {}
+            pairs = np.unique(seg.document(slots) * len(block.windows) + windows) if len(slots) else []
+            for d, w in ((int(x) // len(block.windows), int(x) % len(block.windows)) for x in pairs):
+                of.setdefault(d, set()).update(block.items[w])
+            return [sorted(of.get(d, ())) for d in range(len(seg.n_words))]
+
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in ("n_words", "firsts", "terms", "counts", "postings")}
-                seg = Segment(row, n_terms)
-                found, start = phrases.find(seg)
-                n = len(seg.n_words)
-                hits, items = [[]] * n, [[]] * n
-                if len(found):
-                    cover = np.bincount(start, minlength=seg.size + 1) - np.bincount(start + phrases.length[found], minlength=seg.size + 1)
+                seg = Segment({k: batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in POSTINGS})
+                have, local = block.inside(seg)
+                order = block.rarest_first(local, seg)
+                owner, start = phrases(have, local, order, seg)
+                hits: list = [[]] * len(seg.n_words)
+                if len(owner):
+                    length = (local >= 0).sum(axis=1)[owner]
+                    cover = np.bincount(start, minlength=seg.size + 1) - np.bincount(start + length, minlength=seg.size + 1)
                     slots = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
                     doc = seg.document(slots)
-                    cuts = np.searchsorted(doc, np.arange(n + 1))
-                    of: dict[int, set[str]] = {}
-                    for d, w in set(zip(seg.document(start).tolist(), found.tolist(), strict=True)):
-                        of.setdefault(d, set()).update(ids[x] for x in phrases.items[w])
-                    for d, got in of.items():
+                    cuts = np.searchsorted(doc, np.arange(len(hits) + 1))
+                    for d in np.unique(doc):
                         hits[d] = slots[cuts[d] : cuts[d + 1]] - seg.firsts[d]
-                        items[d] = sorted(got)
-                into = to_arrow_schema(schema)
-                columns = [batch.column("rows")[i].values, batch.column("doc_ids")[i].values, seg.n_words, hits, items]
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(columns, into, strict=True)], schema=into)
-
-    return index.mapInArrow(matches, schema)
-
-
-def near_matches(index: DataFrame, tests: Tests, rarest: int = 3, within: int = 20) -> DataFrame:
-    """Exact proximity matches: (doc_id, item_id, position) where an item's rarest term stands and each
-    of its next rarest terms, `rarest` in all, has an occurrence at most `within` words away in the
-    same document. An item with fewer distinct terms needs all it has."""
-    counts = term_counts(index)
-    wanted = [sorted(set(x), key=lambda t: (counts.get(t, 0), t))[:rarest] for x in tests.item_terms]
-    shared = index.sparkSession.sparkContext.broadcast((wanted, tests.ids, len(tests.vocabulary)))
-    schema = T.StructType([T.StructField("doc_id", index.schema["doc_ids"].dataType.elementType), T.StructField("item_id", T.StringType()), T.StructField("position", T.LongType())])
-
-    def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        wanted, ids, n_terms = shared.value
-        into = to_arrow_schema(schema)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                seg = Segment({k: batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in ("n_words", "firsts", "terms", "counts", "postings")}, n_terms)
-                doc_ids = batch.column("doc_ids")[i].values
-                for item, terms in enumerate(wanted):
-                    if min(seg.counts[t] for t in terms) == 0:
-                        continue
-                    slots, _ = seg.lists(np.array(terms[:1]))
-                    for t in terms[1:]:
-                        other, _ = seg.lists(np.array([t]))
-                        doc = seg.document(slots)
-                        low = np.maximum(slots - within, seg.firsts[doc])
-                        high = np.minimum(slots + within, seg.firsts[doc] + seg.n_words[doc] - 1)
-                        slots = slots[np.searchsorted(other, low) < np.searchsorted(other, high, side="right")]
-                    if len(slots):
-                        doc = seg.document(slots)
-                        yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(doc)), pa.array([ids[item]] * len(slots)), pa.array(slots - seg.firsts[doc])], schema=into)
+                about, spots = near(local, order, seg, span) if len(have) else (have, have)
+                columns = [seg.n_words, hits, items_of(seg, have[owner], start), items_of(seg, have[about], spots)]
+                made = [pa.array(x, type=f.type) for x, f in zip(columns, list(into)[2:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("rows")[i].values, batch.column("doc_ids")[i].values, *made], schema=into)
 
     return index.mapInArrow(matches, schema)
 
@@ -224,43 +286,52 @@ def near_matches(index: DataFrame, tests: Tests, rarest: int = 3, within: int =
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
-    id_col: str = "doc_id",
+    id_col: str | None = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    block_bytes: int = 64 << 20,
+    span: int = SPAN,
+    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
-    """One row per row of docs: (doc_id, n_words, hits, items).
+    """One row per row of docs: (row, doc_id, n_words, hits, items, near); row is its place.
+
+    Exact phrases: hits are the positions of its words inside any occurrence of a window of an item,
+    `window` words in a row; items those with such windows. Proximity: near are the items of which all
+    terms of one window stand among `span` words in a row, in any order; with a span of the window's
+    length or more, items of phrases are among them. Words are told by 64-bit values; id_col None gives null ids.
 
     Null and empty texts have no words; an item of fewer words than a window, but not none, is one
-    window. Items that repeat an id count once; a null id counts as an empty string. The test set is
-    searched in blocks of about block_bytes of text, so that what the executors hold of it is bounded;
-    it is small, and mostly one block. Empty documents or benchmarks give no rows or no hits. Other
-    columns are not read.
+    window. Items that repeat an id count once; a null id counts as an empty string. The one index is
+    searched for `block_windows` distinct windows at a time, so that what the driver and the tasks hold
+    of the test set is bounded; test sets are small, and mostly one block. Empty documents or benchmarks
+    give no rows or no hits. Other columns are not read.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
-    if blocks > 1:
-        rows = stored(rows, "rows", narrow=False)  # the row numbers must agree between blocks
+    docs = filed(docs.select(*dict.fromkeys([c for c in (id_col, text_col) if c is not None])))
+    doc_id = F.lit(None).cast("long") if id_col is None else F.col(id_col)
+    rows = docs.select(place(docs).alias("row"), doc_id.alias("doc_id"), F.col(text_col).alias("text"))
+    index = stored(build_index(rows), "index", narrow=False)
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(item_text_col).alias("text"))
+    windows = item_windows(items, window).groupBy("window").agg(F.collect_set("item").alias("items"))
+    windows = stored(windows, "windows")
+    share = docs.sparkSession.sparkContext.broadcast
+    blocks = -(-windows.count() // block_windows) or 1
+    if blocks == 1:
+        return search(index, share(Block.of(windows, window)), span)
     found: DataFrame | None = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        tests = Tests.of(((r[0], r[1]) for r in part.toLocalIterator()), window)
-        one = search(stored(build_index(rows, tests.vocabulary), "index", narrow=False), tests, window)
+    for b in range(blocks):  # the results of one block are stored before the next is made
+        shared = share(Block.of(windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b), window))
+        one = stored(search(index, shared, span), "found", narrow=False)
+        shared.destroy()
         found = one if found is None else found.unionByName(one)
-    if blocks > 1:
-        merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(x)))).alias(x) for x in ("hits", "items")]
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *merged)
-    return found.drop("row")
+    merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(x)))).alias(x) for x in ("hits", "items", "near")]
+    return found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *merged)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs, all columns, without the rows whose text has a word inside an occurrence of a test window.
-    Rows are told by their text alone, so repeated rows go or stay together."""
-    text = lambda: F.concat_ws(":", F.xxhash64(text_col).cast("string"), F.octet_length(text_col).cast("string"))
-    found = decontaminate(docs.select(text().alias("doc_id"), F.col(text_col).alias("text")), benchmark, **options)
-    found = stored(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
-    return docs.withColumn("__text_key", text()).join(found, F.col("__text_key") == F.col("__hit"), "left_anti").select(*docs.columns)
+    Rows are told by their place; repeated rows have the same text, and go or stay together."""
+    docs = filed(docs)
+    found = decontaminate(docs.select(text_col), benchmark, id_col=None, text_col=text_col, **options)
+    gone = stored(found.where(F.size("hits") > 0).select(F.col("row").alias("__gone")), "contaminated")
+    return docs.join(gone, place(docs) == F.col("__gone"), "left_anti")

@@ -1,10 +1,12 @@
 """Exact dedup by a tree-merge of sorted digest runs.
 
-Every row becomes (digest, smallest identifier, count) in one of `runs` runs. In round r, runs whose
-numbers agree after dropping r digits to the base `fan_in` meet: the runs are shuffled on (new run,
-digest), sorted, and equal digests merge, keeping the smallest identifier of those verified to be
-equal. After log(runs) rounds one run is left, spread over all tasks by digest, never in one task. A
-digest reaches a round at most fan_in times, however many copies there are.
+Each input partition makes one run: its digests, sorted, each with its smallest identifier and count.
+Runs are merged along a binomial tree to the base `fan_in`: in round r a run goes to the partner whose
+number has digit r, and all below it, at 0, so that up to fan_in runs meet there. A level is dealt by range over (run,
+digest), sorted, and merged: equal digests that are verified by a second full digest become one row
+with the smallest identifier. After log(runs) rounds one run is left, spread over all tasks by ranges
+of digests, never in one task. A digest reaches a round at most fan_in times, however many copies there
+are, and every level is a stored table, from which a lost executor's work is done again.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from ._common import stored
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
+RUN = ["run", "digest", "check"]
 
 
 def normalised(text: Column) -> Column:
@@ -22,23 +25,25 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE, "")
 
 
-def merge_rounds(level: DataFrame, runs: int, fan_in: int) -> DataFrame:
-    """Rows (run, digest, check, best, n) of sorted runs, merged until each digest is there once.
+def merged(runs: DataFrame) -> DataFrame:
+    """Rows (run, digest, check, best, n) of sorted runs with equal digests of a run merged. `check`, a
+    second digest and the length, verifies that they come from equal texts: only rows that agree in it
+    merge."""
+    return runs.groupBy(*RUN).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
 
-    `check` verifies that equal digests come from equal texts (length and a second hash): only rows
-    that agree in it merge.
-    """
-    while runs > 1:
-        runs = -(-runs // fan_in)
-        level = (
-            level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .groupBy("run", "digest", "check")
-            .agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-        )
+
+def merge_rounds(level: DataFrame, runs: int, fan_in: int) -> DataFrame:
+    """The runs 0 to runs - 1, merged until run 0 has every digest once."""
+    reach = 1
+    while reach < runs:
+        reach *= fan_in
+        partner = F.col("run") - F.col("run") % reach
+        met = level.withColumn("run", partner).repartitionByRange("run", "digest").sortWithinPartitions(*RUN)
+        level = stored(merged(met), "run", narrow=False)
     return level
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
     """One row per row of docs: (doc_id, keep_id, group_size, kept, text_sha256).
 
     Texts are equal when identical without ASCII whitespace; null counts as empty, so nulls, empty and
@@ -46,20 +51,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays, then the smallest id (null ids last). Of rows that repeat in id and text one is kept, the
     others are dropped like any copy. No rows give no rows. Other columns are not read.
     """
+    if fan_in < 2:
+        raise ValueError("a round merges two runs at least")
     text, slim = F.coalesce(F.col(text_col), F.lit("")), normalised(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("chars"), slim.alias("slim"))
     rows = rows.select(
         "doc_id",
         "chars",
         F.unhex(F.sha2("slim", 256)).alias("digest"),
-        F.struct(F.length("slim").alias("len"), F.xxhash64("slim").alias("hash")).alias("check"),
+        F.struct(F.octet_length("slim").alias("len"), F.unhex(F.md5("slim")).alias("md5")).alias("check"),
         F.monotonically_increasing_id().alias("row"),
     )
     # stored once: the row numbers stay what they are, and whole texts are read once
-    rows = stored(rows, "digests", narrow=False).withColumn("run", F.pmod(F.xxhash64("row"), F.lit(runs)).cast("int"))
+    rows = stored(rows, "digests", narrow=False).withColumn("run", F.shiftright("row", 33))
     best = F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    first = rows.groupBy("run", "digest", "check").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))
-    kept = merge_rounds(first, runs, fan_in).select("digest", "check", "best", "n")
+    runs = rows.agg(F.max("run")).first()[0]
+    # a partition's copies are merged before anything is shuffled
+    first = stored(rows.groupBy(*RUN).agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n")), "runs", narrow=False)
+    kept = merge_rounds(first, (runs or 0) + 1, fan_in).select("digest", "check", "best", "n")
     # Down again: only copies need their group's row. Both sides are plain scans, so that adaptive
     # execution can split a digest that holds a large part of all rows.
     groups = stored(kept.where("n > 1"), "groups").withColumnRenamed("check", "g_check").withColumnRenamed("digest", "g_digest")

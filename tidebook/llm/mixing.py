@@ -14,13 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import row_key, stored
+from ._common import filed, place, stored
 
 WORD_RUN = r"[^\x20\x09-\x0D]+"
 #: Time knots and, for each kind of source in turn, weights there; each kind's weights are scaled to
 #: integrate to 1. Heavy sources come early, light ones late.
 KNOTS = (0.0, 0.25, 0.75, 1.0)
 SCHEDULES = ((1.5, 1.25, 0.75, 0.5), (1.0, 1.0, 1.0, 1.0), (0.5, 0.75, 1.25, 1.5))
+#: Rows of a file, at most, that are one line of a source's order if they are equal.
+CHUNK_ROWS = 1 << 16
+LINE = ["src", "mix", "file", "chunk"]
 
 
 def integrals(weights: Sequence[float], knots: Sequence[float] = KNOTS) -> tuple[list[float], list[float]]:
@@ -82,64 +85,85 @@ def plan_mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    blocks: int = 1024,
+    blocks: int = 16_384,
 ) -> DataFrame:
-    """One row per row of docs: (doc_id, key, size, source, source_size, target, taken, copies,
-    positions); positions are the training times of its copies.
+    """One row per row of docs: (doc_id, file, row, mix, size, source, source_size, target, taken, copies,
+    positions); file and row are its place, positions the training times of its copies.
 
     Size counts runs of non-whitespace (null and blank texts: 0; such rows are never due and are taken
-    0 times). A source's rows stand in the order of their id's md5, then id, size and the key (id and text hash); rows
-    that agree in all of them are interchangeable. Passes over the source follow one another until its
+    0 times). A source's rows stand in the order of mix, the md5 of id and text (null ones as empty); rows that
+    repeat in both follow one another by their place. Passes over the source follow one another until its
     target is met, to within half a document; cap bounds the passes. A null source is a source. Empty
     input gives no rows.
     """
-    text = F.col(text_col)
+    docs = filed(docs.select(*dict.fromkeys([id_col, text_col, source_col])))
+    text, source = F.coalesce(F.col(text_col), F.lit("")), F.col(source_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD_RUN)), F.lit(0)).cast("long").alias("size"),
-        F.col(source_col).alias("source"),
-        row_key(id_col, text_col).alias("key"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("mix"),
+        F.regexp_count(text, F.lit(WORD_RUN)).cast("long").alias("size"),
+        source.alias("source"),
+        F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("src"),  # never null
+        F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))).alias("mix"),
+        place(docs).alias("place"),
     )
-    # a source is too large for one task: running sums go within a block of its order, and blocks are
-    # offset by the sums of those before
-    block = F.floor(F.conv(F.substring("mix", 1, 6), 16, 10).cast("long") * blocks / (1 << 24)).cast("int")
-    rows = stored(rows.withColumn("block", block), "sizes", narrow=False)
-    sums = stored(rows.groupBy("source", "block").agg(F.sum("size").alias("in_block")), "blocks")
+    chunk = F.floor(F.col("row") / CHUNK_ROWS)
+    rows = stored(rows.select("doc_id", "size", "source", "src", "mix", "place.*").withColumn("chunk", chunk), "sizes", narrow=False)
+    # A source is too large for one task, and so may be the rows of one id and text. Equal rows of one chunk
+    # of a file are one line of the order; running sums go within a block of the order, and blocks are
+    # offset by the sums of those before.
+    block = F.floor(F.conv(F.hex(F.substring("mix", 1, 3)), 16, 10).cast("long") * blocks / (1 << 24)).cast("int")
+    lines = rows.groupBy(*LINE).agg(F.first("source").alias("source"), F.sum("size").alias("in_line")).withColumn("block", block)
+    lines = stored(lines, "lines")
+    sums = stored(lines.groupBy("src", "block").agg(F.first("source").alias("source"), F.sum("in_line").alias("in_block")), "blocks")
     targets = source_targets(sums.groupBy("source").agg(F.sum("in_block").alias("source_size")), weights, cap)
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("base", F.coalesce(F.sum("in_block").over(before), F.lit(0)))
-    t = targets.withColumnRenamed("source", "t_source")
-    sums = sums.join(t, sums["source"].eqNullSafe(t["t_source"])).select(
-        F.col("source").alias("s_source"), F.col("block").alias("s_block"), "base", "source_size", "target", "kind"
-    )
-    within = Window.partitionBy("source", "block").orderBy("mix", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(sums, rows["source"].eqNullSafe(sums["s_source"]) & (rows["block"] == sums["s_block"]))
-    middle = lambda k: F.lit(k) * F.col("source_size") + F.col("base") + F.col("ahead") + F.col("size") / 2
+    targets = targets.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    before = Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("base", F.coalesce(F.sum("in_block").over(before), F.lit(0))).join(targets, "src")
+    within = Window.partitionBy("src", "block").orderBy("mix", "file", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("ahead", F.coalesce(F.sum("in_line").over(within), F.lit(0)))
+    lines = lines.join(sums.drop("source", "in_block"), ["src", "block"]).withColumn("ahead", F.col("base") + F.col("ahead"))
+    nth = F.row_number().over(Window.partitionBy(*LINE).orderBy("row")) - 1
+    rows = rows.withColumn("nth", nth).join(lines.select(*LINE, "ahead", "source_size", "target", "kind"), LINE)
+    middle = lambda k: F.lit(k) * F.col("source_size") + F.col("ahead") + F.col("nth") * F.col("size") + F.col("size") / 2
     due = F.array(*[F.when((F.col("size") > 0) & (middle(k) <= F.col("target")), invert(F.col("kind"), middle(k) / F.col("target"), knots, schedules)) for k in range(cap)])
     rows = rows.withColumn("positions", F.array_compact(due)).withColumn("copies", F.size("positions"))
     return rows.select(
-        "doc_id", "key", "size", "source", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "positions"
+        "doc_id", "file", "row", "mix", "size", "source", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "positions"
     )
 
 
+#: Copies due at one time stand by the order of their rows in the mix.
+ORDER = ["position", "mix", "file", "row", "copy"]
+
+
+def in_order(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """df range-sorted by training position."""
+    dealt = df.repartitionByRange(partitions, *ORDER) if partitions else df.repartitionByRange(*ORDER)
+    return dealt.sortWithinPartitions(*ORDER)
+
+
 def mixed_order(plan: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The taken copies of plan_mix, range-sorted by training position: (position, doc_id, key,
-    copy, size, source). Copies with one position stand by id."""
-    copies = plan.select("doc_id", "key", "size", "source", F.posexplode("positions").alias("copy", "position"))
-    by = ["position", "doc_id", "key", "copy"]
-    dealt = copies.repartitionByRange(partitions, *by) if partitions else copies.repartitionByRange(*by)
-    return dealt.sortWithinPartitions(*by).select("position", "doc_id", "key", "copy", "size", "source")
+    """The taken copies of plan_mix in training order: (rank, position, doc_id, mix, file, row, copy,
+    size, source). Ranks run gapless from 0: sorted ranges are numbered by themselves, and offset by the
+    sizes of those before."""
+    copies = plan.select("doc_id", "mix", "file", "row", "size", "source", F.posexplode("positions").alias("copy", "position"))
+    sorted_ = stored(in_order(copies, partitions).withColumn("n", F.monotonically_increasing_id()), "order", narrow=False)
+    part = F.shiftright("n", 33).alias("part")
+    ends = sorted_.groupBy(part).agg(F.count(F.lit(1)).alias("many"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    ends = ends.select("part", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("base"))
+    ranked = sorted_.withColumn("part", F.shiftright("n", 33)).join(ends, "part")
+    inside = F.col("n").bitwiseAND((1 << 33) - 1)
+    return ranked.select((F.col("base") + inside).alias("rank"), "position", "doc_id", "mix", "file", "row", "copy", "size", "source")
 
 
 def mixed_documents(docs: DataFrame, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, all columns, each row as often as the mix takes it, in training order. Rows that repeat in
-    id and text share out the copies planned for them."""
-    plan = plan_mix(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("key").alias("__plan")).agg(F.collect_list("positions").alias("__positions"))
-    plan = stored(plan, "plan")
-    keyed = docs.withColumn("__key", row_key(id_col, text_col)).join(plan, F.col("__key") == F.col("__plan"))
-    turn = F.row_number().over(Window.partitionBy("__key").orderBy("__plan"))
-    copies = keyed.withColumn("__turn", turn).withColumn("__position", F.explode(F.get("__positions", F.col("__turn") - 1)))
-    dealt = copies.repartitionByRange(partitions, "__position", "__key") if partitions else copies.repartitionByRange("__position", "__key")
-    return dealt.sortWithinPartitions("__position", "__key").select(*docs.columns)
+    """docs, all columns, each row as often as the mix takes it, in training order. Rows that repeat are
+    told apart by their place."""
+    docs = filed(docs)
+    plan = plan_mix(docs, id_col=id_col, text_col=text_col, **options).where("copies > 0")
+    plan = stored(plan.select(F.struct("file", "row").alias("__at"), "mix", "positions"), "plan")
+    inner = [F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)]
+    copies = docs.select(place(docs).alias("__place"), *inner).join(plan, F.col("__place") == F.col("__at"))
+    copies = copies.select(*[f"__c{i}" for i in range(len(inner))], "mix", "__at.file", "__at.row", F.posexplode("positions").alias("copy", "position"))
+    return in_order(copies, partitions).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])

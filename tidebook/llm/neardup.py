@@ -3,10 +3,11 @@
 Documents with equal n-gram sets are one class from the start. Classes that agree in all rows of a band
 meet in a bucket; band and row counts are chosen for the target recall at the threshold. A bucket's
 members are not paired there: they are sent to the bucket's leader, its smallest class, and groups
-whose leaders meet elsewhere are joined under one of them, so that a class, with its text, travels to
-few groups however many bands agree. A group is cut into tiles of bounded size; a tile verifies its
-pairs on the full n-gram sets with matrix products, and returns counts and spanning links, never the
-pairs themselves. Components of the links are the duplicate classes.
+whose leaders meet elsewhere are joined under one of them, so that a class travels to few groups however
+many bands agree. The full n-gram sets of the members are made once, from one text each, and stored. A
+group is cut into parts of bounded size; a tile, two parts, verifies its pairs on the full sets with
+matrix products, and returns counts and spanning links, never the pairs themselves. Components of the
+links are the duplicate classes.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import row_key, stored, text_bytes, words
+from ._common import filed, place, stored, text_bytes, words
 
-TILE_DOCS = 128
-TILE_GRAMS = 250_000
+#: Least and most classes and n-grams of a part. In between, a group has up to about PARTS parts, so that a
+#: set travels to no more tiles than that until parts are as large as a task should hold.
+PART_DOCS, PART_GRAMS = (128, 1024), (250_000, 2_000_000)
+PARTS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,13 +79,15 @@ def band_hashes(grams: np.ndarray, factors: np.ndarray, shifts: np.ndarray, band
 
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 11) -> DataFrame:
-    """(doc_id, row, key) to + (grams, digest, buckets): the number of n-grams, a digest of the
+    """(doc_id, row, file, file_row) to + (grams, digest, buckets): the number of n-grams, a digest of the
     set, and its bucket in each band. Texts without words get a digest of their own and no bucket."""
     rng = np.random.default_rng(seed)
     factors = rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     shifts = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
+    kept = ("doc_id", "row", "file", "file_row")
     schema = T.StructType(
-        [docs.schema["doc_id"], docs.schema["row"], docs.schema["key"], T.StructField("grams", T.LongType())]
+        [docs.schema[k] for k in kept]
+        + [T.StructField("grams", T.LongType())]
         + [T.StructField("digest", T.BinaryType()), T.StructField("buckets", T.ArrayType(T.LongType()))]
     )
 
@@ -96,12 +101,24 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 11) ->
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else b"none%d" % row)
                 buckets.append(band_hashes(own, factors, shifts, bands) if len(own) else [])
             new = [pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
-            kept = [batch.column(k) for k in ("doc_id", "row", "key")]
-            yield pa.RecordBatch.from_arrays([*kept, *new], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *new], names=schema.names)
 
     return docs.mapInArrow(sketch, schema)
 
 
+def gram_sets(members: DataFrame, n: int) -> DataFrame:
+    """(row, copies, roots, text) to (row, copies, roots, set): the n-grams of the text as 64-bit values."""
+    schema = T.StructType([*[members.schema[k] for k in ("row", "copies", "roots")], T.StructField("set", T.BinaryType())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = grams_of(n)
+        for batch in batches:
+            made = pa.array([grams(text).tobytes() for text in text_bytes(batch, "text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in schema.names[:-1]], made], names=schema.names)
+
+    return members.mapInArrow(sets, schema)
+
+
 def linked_pairs(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which of the sets have a Jaccard similarity of the threshold or more, as a matrix."""
     sizes = np.array([len(s) for s in sets], np.float64)
@@ -141,8 +158,17 @@ def spanning(ok: np.ndarray) -> np.ndarray:
     return low
 
 
-def verified(tiles: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Rows (root, a, b, part, row, copies, roots, text), dealt and sorted by tile (root, a, b), to
+def met_before(roots: list[list[int]], root: int) -> np.ndarray:
+    """Which members meet under a smaller root than this one, as a matrix."""
+    smaller = {r: i for i, r in enumerate(sorted({r for own in roots for r in own if r < root}))}
+    x = np.zeros((len(roots), len(smaller)), np.float32)
+    for i, own in enumerate(roots):
+        x[i, [smaller[r] for r in own if r < root]] = 1
+    return x @ x.T > 0
+
+
+def verified(tiles: DataFrame, threshold: float) -> DataFrame:
+    """Rows (root, a, b, part, row, copies, roots, set), dealt and sorted by tile (root, a, b), to
     (row, links, low): the documents its class links to in this tile, and the smallest class of its
     component there. Tiles a < b compare part a with part b only. A pair of classes that meet under
     several roots counts under the smallest."""
@@ -154,18 +180,13 @@ def verified(tiles: DataFrame, n: int, threshold: float) -> DataFrame:
         part = np.array([members[r][0] for r in rows])
         if a != b:
             ok &= part[:, None] != part[None, :]
-        several = [i for i, r in enumerate(rows) if len(members[r][2]) > 1]
-        for i in several:
-            for j in several:
-                if ok[i, j] and min(set(members[rows[i]][2]) & set(members[rows[j]][2])) != root:
-                    ok[i, j] = False
+        ok &= ~met_before([members[r][2] for r in rows], root)
         links = ok @ np.array([members[r][1] for r in rows], np.int64)
         have = np.flatnonzero(ok.any(axis=1))
         low = spanning(ok)
         return [rows[i] for i in have], [int(links[i]) for i in have], [rows[low[i]] for i in have]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = grams_of(n)
         key, members = None, {}
         out: tuple[list, list, list] = ([], [], [])
 
@@ -175,13 +196,12 @@ def verified(tiles: DataFrame, n: int, threshold: float) -> DataFrame:
                     into.extend(got)
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("root", "a", "b", "part", "row", "copies", "roots")]
-            for *at, part, row, copies, roots, text in zip(*columns, text_bytes(batch, "text"), strict=True):
+            columns = [batch.column(k).to_pylist() for k in ("root", "a", "b", "part", "row", "copies", "roots", "set")]
+            for *at, part, row, copies, roots, grams in zip(*columns, strict=True):
                 if at != key:
                     close()
                     key, members = at, {}
-                if row not in members:  # rows that repeat in id and text come more than once
-                    members[row] = (part, copies, roots, grams(text))
+                members[row] = (part, copies, roots, np.frombuffer(grams, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["row", "links", "low"])
             out = ([], [], [])
         close()
@@ -215,7 +235,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, hashes: int = 224
 ) -> DataFrame:
-    """One row per row of docs: (doc_id, key, class_id, rep_id, n_links, kept).
+    """One row per row of docs: (doc_id, file, file_row, class_id, rep_id, n_links, kept); file and file_row
+    are its place.
 
     Two documents are linked if the Jaccard similarity of their sets of n words in a row is at least
     the threshold; words are A-Z lower-cased. rep_id is the smallest id with the same set, class_id the
@@ -226,9 +247,11 @@ def near_duplicates(
     text, one is kept. No rows give no rows; other columns are not read.
     """
     bands, rows = choose_bands(threshold, recall, hashes)
-    text = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    sketch = stored(sketches(text.withColumn("row", F.monotonically_increasing_id()), n, bands, rows), "sketches", narrow=False)
-    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "key", "grams", "buckets")
+    docs = filed(docs.select(*dict.fromkeys([id_col, text_col])))
+    text = docs.select(F.col(id_col).alias("doc_id"), place(docs).alias("place"), F.col(text_col).alias("text"))
+    numbered = text.select("doc_id", F.monotonically_increasing_id().alias("row"), "place.file", F.col("place.row").alias("file_row"), "text")
+    sketch = stored(sketches(numbered, n, bands, rows), "sketches", narrow=False)
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "file", "file_row", "grams", "buckets")
     classes = sketch.where("grams > 0").groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes.select("digest", "copies", "best.*"), "classes")
 
@@ -240,20 +263,24 @@ def near_duplicates(
     hop = stored(led.groupBy("row").agg(F.min("leader").alias("root")).select(F.col("row").alias("leader"), "root"), "hops")
     rooted = stored(led.join(hop, "leader").groupBy("row").agg(F.collect_set("root").alias("roots")), "roots")
 
-    # groups and their tiles
-    members = rooted.join(classes.select("row", "key", "copies", "grams"), "row")
+    # groups, their parts and tiles
+    members = rooted.join(classes.select("row", "file", "file_row", "copies", "grams"), "row")
     members = stored(members, "members")
     groups = members.select(F.explode("roots").alias("root"), "grams").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("all"))
-    groups = stored(groups.select("root", F.greatest(F.ceil(F.col("n") / TILE_DOCS), F.ceil(F.col("all") / TILE_GRAMS)).cast("int").alias("parts"), "n").where("n > 1"), "groups")
-    split = members.withColumn("root", F.explode("roots")).join(groups.select("root", "parts"), "root")
+    size = lambda whole, ends: F.least(F.lit(ends[1]), F.greatest(F.lit(ends[0]), F.col(whole) / PARTS))
+    parts = F.greatest(F.ceil(F.col("n") / size("n", PART_DOCS)), F.ceil(F.col("all") / size("all", PART_GRAMS)))
+    groups = stored(groups.select("root", parts.cast("int").alias("parts"), "n").where("n > 1"), "groups")
+    split = members.select("row", F.explode("roots").alias("root")).join(groups.select("root", "parts"), "root")
     split = split.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    split = split.groupBy("row", "key", "copies", "roots").agg(F.collect_list(F.struct("root", "part", "parts")).alias("places"))
-    tiles = split.join(text.select(F.col("key").alias("t_key"), "text"), F.col("key") == F.col("t_key"))
-    tiles = tiles.withColumn("place", F.explode("places")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("place.parts") - 1)))
+    split = split.groupBy("row").agg(F.collect_list(F.struct("root", "part", "parts")).alias("places"))
+    wanted = members.select(F.struct("file", F.col("file_row").alias("row")).alias("m_place"), "row", "copies", "roots")
+    texts = text.select("place", "text").join(wanted, F.col("place") == F.col("m_place")).select("row", "copies", "roots", "text")
+    sets = stored(gram_sets(texts, n), "sets", narrow=False)
+    tiles = sets.join(split, "row").withColumn("place", F.explode("places")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("place.parts") - 1)))
     low, high = F.least("place.part", "other"), F.greatest("place.part", "other")
-    tiles = tiles.select("place.root", low.alias("a"), high.alias("b"), "place.part", "row", "copies", "roots", "text")
+    tiles = tiles.select("place.root", low.alias("a"), high.alias("b"), "place.part", "row", "copies", "roots", "set")
     tiles = tiles.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
-    found = stored(verified(tiles, n, threshold), "links", narrow=False)
+    found = stored(verified(tiles, threshold), "links", narrow=False)
 
     # classes of linked documents
     root = components(found.select(F.col("row").alias("u"), F.col("low").alias("v")))
@@ -272,11 +299,12 @@ def near_duplicates(
         (F.col("links") + F.col("copies") - 1).alias("n_links"),
     )
     results = stored(results, "results")
-    out = sketch.select("doc_id", "row", "key", "digest").join(results, F.col("digest") == F.col("r_digest"), "left")
+    out = sketch.select("doc_id", "row", "file", "file_row", "digest").join(results, F.col("digest") == F.col("r_digest"), "left")
     alone = F.col("r_digest").isNull()
     return out.select(
         "doc_id",
-        "key",
+        "file",
+        "file_row",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("rep_id")).alias("rep_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -285,9 +313,9 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, all columns, with one row of each class of near duplicates. Of rows that repeat in id and
-    text any one stays."""
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, **options).where("kept")
-    found = stored(found.select(F.col("key").alias("__keep")).distinct(), "kept")
-    keyed = docs.withColumn("__key", row_key(id_col, text_col)).join(found, F.col("__key") == F.col("__keep"), "left_semi")
-    return keyed.dropDuplicates(["__key"]).select(*docs.columns)
+    """docs, all columns, with one row of each class of near duplicates. Rows that repeat are told apart by
+    their place."""
+    docs = filed(docs)
+    found = near_duplicates(docs.select(*dict.fromkeys([id_col, text_col])), id_col, text_col, **options).where(~F.col("kept"))
+    gone = stored(found.select(F.struct("file", F.col("file_row").alias("row")).alias("__gone")), "dropped")
+    return docs.join(gone, place(docs) == F.col("__gone"), "left_anti")

@@ -78,11 +78,14 @@ def calibrated(a: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
 
 def train(sample: list[tuple[bytes, int]], size: int = 256 << 10, level: int = 3) -> CompressionClassifier:
     """Dictionaries from two thirds of the sample, calibration on the other third. Without both labels
-    the score is the share of good texts."""
+    the score is the share of good texts. Empty texts have no size to compare: they score the share of good
+    ones among labelled empty texts, with one bad one more, so that nothing is held good for lack of text."""
     base = float(np.clip(np.mean([y for _, y in sample]) if sample else 0.5, 1e-3, 1 - 1e-3))
+    blank = [y for t, y in sample if not t]
+    empty = sum(blank) / (len(blank) + 1)
     fitted, rest = [x for i, x in enumerate(sample) if i % 3], [x for x in sample[::3] if x[0]]
     good, bad = ([t for t, y in fitted if y == k and t] for k in (1, 0))
-    model = CompressionClassifier(dictionary(good, size), dictionary(bad, size), level, np.array([0.0, 0.0, np.log(base / (1 - base))]), base)
+    model = CompressionClassifier(dictionary(good, size), dictionary(bad, size), level, np.array([0.0, 0.0, np.log(base / (1 - base))]), empty)
     if good and bad and 0 < sum(y for _, y in rest) < len(rest):
         of = model.features()
         model.weights = calibrated(np.array([of(t) for t, _ in rest]), np.array([float(y) for _, y in rest]))
@@ -95,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, longest: int = 32
 
 
 def score_quality(docs: DataFrame, model: CompressionClassifier, text_col: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """docs, every row and all columns or those of `keep`, with the score of its whole text (0 to 1). Null and empty texts score the share
-    of good texts in training; a column called like the score is replaced; equal texts score alike; no
+    """docs, every row and all columns or those of `keep`, with the score of its whole text (0 to 1). Null and empty texts score as
+    labelled empty ones do, 0 without any; a column called like the score is replaced; equal texts score alike; no
     rows give no rows."""
     return with_score(docs, model.scorer, text_col, name, keep)

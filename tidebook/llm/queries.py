@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..store import few_files
 from . import quality, toxicity
-from ._common import held_out, read
+from ._common import held_out, read, stored
 from .decontam import decontaminate
 from .exactdedup import exact_dedup
 from .licenses import LEAST, TEMPLATES, scan_licenses
-from .mixing import plan_mix
+from .mixing import mixed_order, plan_mix
 from .neardup import near_duplicates
 from .secretscan import digest_text, scan_secrets
 from .sharding import shard_documents
@@ -58,8 +58,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = plan_mix(read(spark, sf_dir, "documents"))
-    return few_files(plan).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(F.get("positions", F.lit(0)), 9).alias("first_position"))
+    """Each document's share in the mix, and when and where its first copy stands in training."""
+    plan = stored(plan_mix(read(spark, sf_dir, "documents")), "mix")
+    first = mixed_order(plan).where("copy = 0").select("file", "row", F.col("rank").alias("first_rank"))
+    position = F.round(F.get("positions", F.lit(0)), 9).alias("first_position")
+    return few_files(plan.join(first, ["file", "row"], "left")).select("doc_id", "size", "source_size", "target", "taken", "copies", position, "first_rank")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +82,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"),
     )
 
 
@@ -181,7 +185,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_curriculum_mix": r"""
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                 md5(CAST(doc_id AS VARCHAR)) AS mix
+                 md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))) AS mix
           FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         k AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind FROM s),
@@ -197,24 +201,28 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT f.source, source_size, kind,
                      CASE WHEN l.level IS NULL THEN most ELSE least(most, l.level * weight) END AS target FROM f, l),
         p AS (
-          SELECT d.doc_id, d.size, g.source_size, g.target, g.kind,
+          SELECT d.doc_id, d.mix, d.size, g.source_size, g.target, g.kind,
                  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY mix, doc_id
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2 AS mid
           FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
         c AS (
           SELECT *, CASE WHEN size = 0 THEN 0 ELSE CAST(mid <= target AS INT) + CAST(source_size + mid <= target AS INT)
-                    + CAST(2 * source_size + mid <= target AS INT) END AS copies, mid / target AS share
+                    + CAST(2 * source_size + mid <= target AS INT) END AS copies
           FROM p),
         v AS (  -- the three schedules: weight at the knots 0, 1/4, 3/4, 1 and the integral up to them
           SELECT * FROM (VALUES (0, 0.0, 0.25, 1.5, 1.25, 0.0, 0.34375), (0, 0.25, 0.75, 1.25, 0.75, 0.34375, 0.84375),
                                 (0, 0.75, 1.0, 0.75, 0.5, 0.84375, 1.0), (1, 0.0, 1.0, 1.0, 1.0, 0.0, 1.0),
                                 (2, 0.0, 0.25, 0.5, 0.75, 0.0, 0.15625), (2, 0.25, 0.75, 0.75, 1.25, 0.15625, 0.65625),
-                                (2, 0.75, 1.0, 1.25, 1.5, 0.65625, 1.0)) t(kind, k0, k1, a, b, u0, u1))
-        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
-               CAST(copies AS INT) AS copies,
-               round((SELECT k0 + 2 * (share - u0) / (a + sqrt(a * a + 2 * (b - a) / (k1 - k0) * (share - u0)))
-                FROM v WHERE v.kind = c.kind AND copies > 0 AND share > u0 AND share <= u1), 9) AS first_position
-        FROM c""",
+                                (2, 0.75, 1.0, 1.25, 1.5, 0.65625, 1.0)) t(kind, k0, k1, a, b, u0, u1)),
+        o AS (  -- every copy at its time, in training order
+          SELECT doc_id, copy, row_number() OVER (ORDER BY position, mix, copy) - 1 AS rank, position
+          FROM (SELECT c.doc_id, c.mix, copy,
+                  (SELECT k0 + 2 * (s - u0) / (a + sqrt(a * a + 2 * (b - a) / (k1 - k0) * (s - u0)))
+                   FROM v WHERE v.kind = c.kind AND s > u0 AND s <= u1) AS position
+                FROM (SELECT *, (copy * source_size + mid) / target AS s FROM c, unnest(range(copies)) u(copy)) c))
+        SELECT c.doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
+               CAST(copies AS INT) AS copies, round(o.position, 9) AS first_position, o.rank AS first_rank
+        FROM c LEFT JOIN o ON o.doc_id = c.doc_id AND o.copy = 0""",
     "op8_benchmark_decontamination": r"""
         WITH dw AS (
           SELECT row_number() OVER () AS r, doc_id,
@@ -234,8 +242,16 @@ ORACLE_SQL: dict[str, str] = {
           FROM dw, (SELECT DISTINCT n AS ln FROM win) l, unnest(range(1, len(w) - ln + 2)) t(i)),
         occ AS (SELECT s.r, s.i, s.n, win.item FROM spots s JOIN win USING (g, n)),
         hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM occ, unnest(range(i, i + n)) u(p) GROUP BY r),
-        it AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY r)
+        it AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY r),
+        -- proximity: all terms of a window among 20 words in a row, in any order
+        wt AS (SELECT DISTINCT g, unnest(string_split(g, ' ')) AS t FROM win),
+        wn AS (SELECT g, count(*) AS n FROM wt GROUP BY g),
+        dt AS (SELECT r, i AS pos, w[i] AS t FROM dw, unnest(range(1, len(w) + 1)) u(i) WHERE w[i] IN (SELECT t FROM wt)),
+        held AS (SELECT r, g FROM (SELECT DISTINCT r, t FROM dt) JOIN wt USING (t) JOIN wn USING (g) GROUP BY r, g, wn.n HAVING count(*) = wn.n),
+        spread AS (SELECT r, g, count(DISTINCT t) OVER (PARTITION BY r, g ORDER BY pos RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS k
+                   FROM held JOIN wt USING (g) JOIN dt USING (r, t)),
+        nr AS (SELECT r, count(DISTINCT item) AS n_near FROM (SELECT DISTINCT r, g FROM spread JOIN wn USING (g) WHERE k = n) JOIN win USING (g) GROUP BY r)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-        FROM dw LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""",
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM dw LEFT JOIN hit USING (r) LEFT JOIN it USING (r) LEFT JOIN nr USING (r)""",
 }

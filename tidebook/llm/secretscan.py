@@ -11,6 +11,8 @@ Everything is built from column functions; no Python runs on the executors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,6 +59,8 @@ PASSED = 0.001
 LENGTH_CLASSES = (20, 24, 28, 32, 40, 48, 64, 96, 128)
 #: p-values are counted on a grid of -log10(p), in steps of 1/20 up to 20.
 GRID, GRID_TOP = 20, 400
+#: Matches of a text that are located together.
+CHUNK = 512
 _SPAN = "array<struct<kind:string,rank:int,start:int,end:int>>"
 
 
@@ -70,15 +74,20 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(F.lit(1.0) - tail)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def matches(text: Column, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches whose group has `least` characters, as structs (start, end,
     inside): code points, end exclusive, and the group's text. The gaps between matches give the
-    positions."""
+    positions. The result grows by chunks of matches, as every growth copies it."""
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     inside = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1)) if group else whole
     gaps = F.split(text, pattern, -1)
     zipped = F.arrays_zip(whole.alias("w"), inside.alias("i"), F.slice(gaps, F.lit(1), F.size(whole)).alias("g"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,inside:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,inside:string>>").alias("out")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
@@ -86,7 +95,15 @@ def matches(text: Column, pattern: str, group: int, least: int) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), x["i"].alias("inside"))
         return F.struct(end.alias("at"), F.when(F.length(x["i"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(zipped, empty, step)["out"]
+    def located(every: Column) -> Column:
+        def chunk(acc: Column, i: Column) -> Column:
+            part = F.aggregate(F.slice(every, i * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), none), step)
+            return let(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], p["out"]).alias("out")))
+
+        chunks = F.sequence(F.lit(0), F.floor(F.size(every) / CHUNK).cast("int"))
+        return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), none), chunk)["out"]
+
+    return let(zipped, located)
 
 
 def base_spans(text: Column) -> Column:
@@ -100,14 +117,16 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Runs of encoding characters, or their parts if the whole is in no encoding, with their positions.
-    Numbers, and words of one case without digits, are in no encoding that could be told from text, and are
-    left out."""
+    """Runs of encoding characters, or their parts if the whole is in no encoding, as structs (start, end,
+    inside, family): parts of one family do not overlap. Numbers, and words of one case without digits, are in
+    no encoding that could be told from text, and are left out."""
     odd = lambda m: m["inside"].rlike("[0-9]") & m["inside"].rlike("[A-Za-z]") | m["inside"].rlike("[a-z]") & m["inside"].rlike("[A-Z]")
-    moved = lambda m, x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["inside"].alias("inside"))
-    parts = lambda m: F.concat(*[F.transform(matches(m["inside"], p, 0, 20), lambda x: moved(m, x)) for p in PARTS])
-    runs = F.transform(matches(text, CANDIDATE, 0, 20), lambda m: F.when(m["inside"].rlike(MIXED), parts(m)).otherwise(F.array(m)))
-    return F.when(text.rlike(CANDIDATE_GATE), F.array_distinct(F.filter(F.flatten(runs), odd))).otherwise(F.array().cast("array<struct<start:int,end:int,inside:string>>"))
+    moved = lambda m, x, f: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["inside"].alias("inside"), F.lit(f).alias("family"))
+    family = lambda m, f: F.transform(matches(m["inside"], PARTS[f], 0, 20), lambda x: moved(m, x, f))
+    parts = lambda m: F.concat(*[family(m, f) for f in range(len(PARTS))])
+    whole = lambda m: F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), m["inside"].alias("inside"), F.lit(0).alias("family")))
+    runs = F.transform(matches(text, CANDIDATE, 0, 20), lambda m: F.when(m["inside"].rlike(MIXED), parts(m)).otherwise(whole(m)))
+    return F.when(text.rlike(CANDIDATE_GATE), F.filter(F.flatten(runs), odd)).otherwise(F.array().cast("array<struct<start:int,end:int,inside:string,family:int>>"))
 
 
 def switch_tail(k: Column, m: Column) -> Column:
@@ -202,30 +221,60 @@ def discoveries(tested: DataFrame, rate: float) -> DataFrame:
     return placed.where(F.col("p_random") >= PASSED).join(F.broadcast(limits), "class").where("step >= limit").select(*tested.columns)
 
 
+def longest(found: DataFrame) -> DataFrame:
+    """Spans (row, start, end, family) without those that overlap a larger one, or one as large and further left,
+    of the other family of parts. Only the parts of the other family that hold a span's first or last
+    character can be larger, so running values find them."""
+    at = F.struct("start", "end")
+    other = lambda f: F.last(F.when(F.col("family") == 1 - f, at), ignorenulls=True)
+    ahead = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("row").orderBy(F.desc("end"), F.desc("start")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for side, w in (("left", ahead), ("right", back)):
+        found = found.withColumn(side, F.when(F.col("family") == 0, other(0).over(w)).otherwise(other(1).over(w)))
+    size = F.col("end") - F.col("start")
+
+    def beats(o: str) -> Column:
+        s, e = F.col(f"{o}.start"), F.col(f"{o}.end")
+        larger = (e - s > size) | ((e - s == size) & (s < F.col("start")))
+        return F.coalesce((s < F.col("end")) & (F.col("start") < e) & larger, F.lit(False))
+
+    return found.where(~beats("left") & ~beats("right")).drop("left", "right")
+
+
+def free_of(found: DataFrame, base: DataFrame) -> DataFrame:
+    """Spans (row, start, end) that overlap none of base (row, start, end), by running values over both in order."""
+    both = found.withColumn("own", F.lit(True)).unionByName(base.withColumn("own", F.lit(False)), allowMissingColumns=True)
+    by = Window.partitionBy("row").orderBy("start", "own")
+    before = F.max(F.when(~F.col("own"), F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("own")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = F.min(F.when(~F.col("own"), F.col("start"))).over(back)
+    both = both.withColumn("before", before).withColumn("after", after)
+    clear = (F.coalesce("before", F.lit(-1)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
+    return both.where(F.col("own") & clear).drop("own", "before", "after")
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01) -> DataFrame:
     """One row per row of docs: (doc_id, spans): all spans as structs (kind, rank, start, end) in order.
 
     Whole texts are searched; null counts as empty and has no spans. Base kinds: assign, access, hex.
     Kind random: candidates that pass the tests of randomness and the false-discovery control, unless
-    they overlap a base span. Repeated rows are judged alike, but each counts as a candidate. No rows
-    give no rows; other columns are not read.
+    they overlap a base span; of overlapping parts of one run the longest stays. Repeated rows are judged
+    alike, but each counts as a candidate. The work grows with a text's matches, and the spans of a text are
+    sorted in one task. No rows give no rows; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), base_spans(text).alias("base"), candidates(text).alias("candidates"))
     found = stored(found, "secrets", narrow=False)
-    each = found.where(F.size("candidates") > 0).select("row", "base", F.explode("candidates").alias("c")).select("row", "base", "c.*")
+    each = found.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).select("row", "c.*")
     tested = stored(battery(each), "tested")
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    good = stored(discoveries(tested, rate).select("row", "start", "end", "family"), "discovered")
+    base = found.join(good.select("row").distinct(), "row", "left_semi").select("row", F.explode("base").alias("b")).select("row", "b.start", "b.end")
     span = F.struct(F.lit("random").alias("kind"), F.lit(len(BASE)).alias("rank"), "start", "end")
-    more = discoveries(tested, rate).where(free).groupBy(F.col("row").alias("m_row")).agg(F.collect_list(span).alias("more"))
-    # parts of one run can overlap: the longest stays
-    size = lambda x: x["end"] - x["start"]
-    beats = lambda o, x: (o["start"] < x["end"]) & (x["start"] < o["end"]) & ((size(o) > size(x)) | (size(o) == size(x)) & (o["start"] < x["start"]))
-    more = more.withColumn("more", F.filter("more", lambda x: ~F.exists("more", lambda o: beats(o, x))))
+    more = longest(free_of(good, base)).groupBy(F.col("row").alias("m_row")).agg(F.collect_list(span).alias("more"))
     out = found.join(more, F.col("row") == F.col("m_row"), "left")
     spans = F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))
-    by = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
-    return out.select("doc_id", by.alias("spans"))
+    placed = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    return out.select("doc_id", F.transform(placed, lambda x: F.struct(x["kind"].alias("kind"), x["rank"].alias("rank"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
 
 
 def digest_text(spans: Column) -> Column:

@@ -5,15 +5,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import stored
+from ._common import filed, place, stored
 
 #: Fixed values of the published hash: the multiplier of its generator.
 MULTIPLIER = 2862933555777941757
+#: Rows of a file that are numbered together.
+BLOCK_ROWS = 1 << 16
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -39,35 +41,44 @@ def jump_udf(shards: int):
     return shard_of
 
 
+def key_of(docs: DataFrame, id_col: str) -> Column:
+    """64-bit key: integers as they are, other ids by their hash; null as 0."""
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    key = F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    return F.coalesce(key, F.lit(0).cast("long"))
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (doc_id, size, text_crc32, law, shard, slot, grown_shard).
 
     The law is `key`: id and shard count decide the shard, so repeated rows and rows of one id share
-    it; null ids are keyed by 0, as id 0 is. Size: UTF-8 bytes of the text (null: none) plus 16.
-    Slots run gapless from 0 in each shard, ordered by the id's md5, id, checksum and size; rows equal
-    in all of these are interchangeable. grown_shard is the shard with one shard more. Empty input
-    gives no rows; other columns are not read.
+    it. Integer ids are keys themselves, others are hashed to 64 bits; null ids are keyed by 0, as id 0 is.
+    Size: UTF-8 bytes of the text (null: none) plus 16. Slots run gapless from 0 in each shard, in the
+    order of the rows in docs: by file and index in it, so a table that was written in training order
+    is numbered in that order. grown_shard is the shard with one shard more. Empty input gives no rows;
+    other columns are not read.
     """
+    docs = filed(docs.select(id_col, text_col))
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 16
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         size.alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("key"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("mix"),
+        key_of(docs, id_col).alias("key"),
+        place(docs).alias("place"),
     )
     rows = rows.select(
-        "doc_id", "size", "text_crc32", "mix", jump_udf(shards)("key").alias("shard"), jump_udf(shards + 1)("key").alias("grown_shard")
+        "doc_id", "size", "text_crc32", "place.file", "place.row", jump_udf(shards)("key").alias("shard"), jump_udf(shards + 1)("key").alias("grown_shard")
     )
-    # Slots in two steps, as a shard is too large for one task: rows are numbered within (shard, block
-    # of the order), and blocks are offset by the sizes of those before. 4096 blocks of md5 prefixes.
-    rows = stored(rows.withColumn("block", F.substring("mix", 1, 3)), "shards", narrow=False)
-    block = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    block = block.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("shard", "block").orderBy("mix", "doc_id", "text_crc32", "size")
+    # Slots in two steps, as a shard is too large for one task: rows are numbered within (shard, block of
+    # a file), whatever their ids, and blocks are offset by the sizes of those before.
+    rows = stored(rows.withColumn("block", F.floor(F.col("row") / BLOCK_ROWS)), "shards", narrow=False)
+    block = rows.groupBy("shard", "file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    block = block.select("shard", "file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("shard", "file", "block").orderBy("row")
     numbered = rows.withColumn("at", F.row_number().over(within) - 1)
-    return numbered.join(block, ["shard", "block"]).select(
+    return numbered.join(block, ["shard", "file", "block"]).select(
         "doc_id",
         "size",
         "text_crc32",

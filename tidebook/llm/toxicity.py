@@ -32,7 +32,8 @@ def hashed(text: bytes) -> set[int]:
 
 @dataclass
 class FactorizationMachine:
-    """bias + sum of weights + sum over pairs of the vectors' products, as a probability. Buckets that
+    """bias + sum of weights + sum over pairs of the vectors' products, as a probability. The pairs' sum is
+    divided by the number of chosen terms, so that it grows with the text as the weights' sum does. Buckets that
     were not chosen in training weigh nothing, so long texts gather no noise from their many terms."""
 
     place: dict[int, int]
@@ -43,34 +44,54 @@ class FactorizationMachine:
     def score(self, text: bytes) -> float:
         at = [p for x in hashed(text) if (p := self.place.get(x)) is not None]
         v = self.vectors[at]
-        margin = self.bias + self.weights[at].sum() + 0.5 * float((v.sum(axis=0) ** 2).sum() - (v**2).sum())
+        margin = self.bias + self.weights[at].sum() + 0.5 * float((v.sum(axis=0) ** 2).sum() - (v**2).sum()) / max(1, len(at))
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
-def chosen_buckets(sets: list[np.ndarray], y: np.ndarray, most: int, least: int, z: float) -> np.ndarray:
-    """Buckets in at least `least` texts whose share differs between the labels by z standard errors, the
-    clearest first."""
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    every = np.concatenate(sets) if sets else np.empty(0, np.uint32)
-    bucket, index, total = np.unique(every, return_inverse=True, return_counts=True)
-    a = np.bincount(index, weights=np.repeat(y, [len(s) for s in sets]), minlength=len(bucket))
+def gaps(with_1: np.ndarray, total: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """By how many standard errors the shares of texts that have something differ between the labels."""
     share = total / (n1 + n0)
-    gap = np.abs(a / n1 - (total - a) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    return np.abs(with_1 / n1 - (total - with_1) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+
+
+def chosen_buckets(sets: list[np.ndarray], y: np.ndarray, most: int, least: int, z: float, pair_z: float) -> np.ndarray:
+    """Buckets in at least `least` texts that differ between the labels by z standard errors, the clearest
+    first, and then both buckets of pairs that meet in texts of one label by pair_z errors. Pairs are
+    looked for among the `most` buckets that vary most: there, a term need not tell anything alone."""
+    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bucket, index, total = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint32), return_inverse=True, return_counts=True)
+    gap = gaps(np.bincount(index, weights=y[owner], minlength=len(bucket)), total, n1, n0)
     gap[total < least] = 0
     order = np.lexsort((bucket, -gap))[:most]
-    return bucket[order[gap[order] >= z]]
+    alone = order[gap[order] >= z]
+    share = total / len(sets) if sets else total
+    varied = np.lexsort((bucket, -share * (1 - share)))[:most]
+    varied = varied[total[varied] >= least]
+    column = np.full(len(bucket), -1)
+    column[varied] = np.arange(len(varied))
+    seen = column[index] >= 0
+    x = np.zeros((len(sets), len(varied)), np.float32)
+    x[owner[seen], column[index[seen]]] = 1
+    both, toxic = x.T @ x, x[y > 0].T @ x[y > 0]
+    pair = gaps(toxic, both, n1, n0)
+    pair[(both < least) | np.tri(len(varied), dtype=bool)] = 0
+    a, b = np.nonzero(pair >= pair_z)
+    met = varied[np.unique(np.concatenate([a, b]))] if len(a) else varied[:0]
+    return bucket[np.concatenate([alone, met[~np.isin(met, alone)]])]
 
 
 def train(
-    sample: list[tuple[bytes, int]], factors: int = 4, most: int = 1024, least: int = 4, z: float = 4.5, steps: int = 1280, batch: int = 256, rate: float = 0.03, decay: float = 1e-6, seed: int = 7
-) -> FactorizationMachine:
-    """Logistic loss, the rarer label weighted up, minimised by Adam over mini-batches. Without both
-    labels the score is constant."""
+    sample: list[tuple[bytes, int]], factors: int = 4, most: int = 1024, least: int = 3, z: float = 3.0, pair_z: float = 6.0, steps: int = 1280, batch: int = 256,
+    rate: float = 0.03, decay: float = 1e-3, seed: int = 7,
+) -> FactorizationMachine:
+    """Logistic loss, the rarer label weighted up, with ridge terms, minimised by Adam over mini-batches.
+    Without both labels the score is constant."""
     y = np.array([label for _, label in sample], np.float64)
     base = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     start = float(np.log(base / (1 - base)))
     sets = [np.fromiter(hashed(t), np.uint32) for t, _ in sample]
-    chosen = chosen_buckets(sets, y, most, least, z) if 0 < y.sum() < len(y) else np.empty(0, np.uint32)
+    chosen = chosen_buckets(sets, y, most, least, z, pair_z) if 0 < y.sum() < len(y) else np.empty(0, np.uint32)
     place = {x: i for i, x in enumerate(chosen.tolist())}
     weight = np.where(y > 0, np.sqrt((1 - base) / base), 1.0)
     rng = np.random.default_rng(seed)
@@ -78,6 +99,7 @@ def train(
     params = [np.array([start]), np.zeros(n), rng.normal(0, 0.01, (n, factors))]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     rows = [[place[x] for x in s[np.isin(s, chosen)].tolist()] for s in sets]
+    size = np.maximum(1.0, np.array([len(r) for r in rows], np.float64))
     while n and step < steps:
         order = rng.permutation(len(rows))
         for i in range(0, len(order), batch):
@@ -86,9 +108,10 @@ def train(
             for k, r in enumerate(part):
                 x[k, rows[r]] = 1.0
             xv = x @ params[2]
-            margin = params[0][0] + x @ params[1] + 0.5 * ((xv**2).sum(1) - (x @ params[2] ** 2).sum(1))
+            margin = params[0][0] + x @ params[1] + 0.5 * ((xv**2).sum(1) - (x @ params[2] ** 2).sum(1)) / size[part]
             err = weight[part] * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[part]) / len(part)
-            of_v = x.T @ (err[:, None] * xv) - (x.T @ err)[:, None] * params[2]
+            pair = err / size[part]
+            of_v = x.T @ (pair[:, None] * xv) - (x.T @ pair)[:, None] * params[2]
             step += 1
             for p, g, m, s in zip(params, (np.array([err.sum()]), x.T @ err + decay * params[1], of_v + decay * params[2]), first, second, strict=True):
                 m += 0.1 * (g - m)
