@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidebook.operators import asof, blocks, events, features, risk, stats
+from tidebook.functions import book, tails
+from tidebook.operators import asof, blocks, events, features, ranks, risk, stats, study
 
 DAY = 86_400_000
 
@@ -153,3 +154,93 @@ def test_risk_report(spark):
     d = np.diff(equity)
     assert r.max_drawdown == pytest.approx(-20 / 110) and r.value_at_risk == pytest.approx(-np.percentile(d, 5)) and r.expected_shortfall == pytest.approx(20.0)
     assert r.sharpe == pytest.approx(d.mean() / d.std() * np.sqrt(4 / 4 * 365 * 86400))
+
+
+@pytest.mark.parametrize("share", [0.05, 0.5, 0.75])
+def test_quantile_is_exact(spark, share):
+    rng = np.random.default_rng(int(share * 100))
+    rows = [(g, None if rng.random() < 0.1 else float(v)) for g, n in (("a", 1), ("b", 2), ("c", 997)) for v in rng.normal(size=n).round(1)]
+    rows += [("d", None), ("e", -0.0), ("e", 0.0), ("e", 1.0)]
+    got = {r.g: r.quantile for r in ranks.quantile(spark.createDataFrame(rows, "g string, v double"), "v", share, ["g"]).collect()}
+    want = {g: np.percentile([v for k, v in rows if k == g and v is not None], share * 100) for g in {k for k, v in rows if v is not None}}
+    assert got == pytest.approx(want)
+
+
+def test_sigma_brute_force(spark):
+    rng = np.random.default_rng(4)
+    times = np.cumsum(rng.choice([5, 40, 300, 900], 150)).tolist()
+    mids = (100 + rng.integers(-8, 8, 150) / 4).tolist()
+    df = spark.createDataFrame([("A", t, m) for t, m in zip(times, mids, strict=True)], "coin string, exch_time_ms long, mid double")
+    for r in features.with_sigma(df, 700, block_ms=500).collect():
+        inside = [m for t, m in zip(times, mids, strict=True) if r.exch_time_ms - 700 <= t <= r.exch_time_ms]
+        assert r.sigma == pytest.approx(np.std(np.diff(inside)) if len(inside) >= 3 else 0.0, abs=1e-12)
+
+
+@pytest.mark.parametrize("scheme", ["linear_decay", "uniform", "exp_decay"])
+@pytest.mark.parametrize("short", ["truncate", "pad"])
+def test_depth_imbalance_of_ragged_ladders(spark, scheme, short):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.integers(1, 30, rng.integers(0, 9)).astype(float).tolist(), rng.integers(1, 30, rng.integers(0, 9)).astype(float).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, b array<double>, a array<double>")
+    for r in df.select("i", book.depth_imbalance("b", "a", 6, scheme, short).alias("x")).collect():
+        _, b, a = rows[r.i]
+        width = 6 if short == "pad" else max(len(b[:6]), len(a[:6]))
+        weight = {"linear_decay": lambda k: width - k, "uniform": lambda k: 1.0, "exp_decay": lambda k: 0.5**k}[scheme]
+        x, y = (sum(v * weight(k) for k, v in enumerate(side[:6])) for side in (b, a))
+        assert r.x == pytest.approx((x - y) / (x + y) if x + y else 0.0, abs=1e-12)
+
+
+def test_positions_follow_the_account(spark):
+    """Over batches, by coin, in order, against the fold of one array."""
+    rng = np.random.default_rng(2)
+    rows = [(c, t, t, str(rng.choice(["buy", "sell"])), float(rng.integers(90, 110)), float(rng.integers(1, 9)) / 8, 0.25) for c in "XY" for t in range(300)]
+    df = spark.createDataFrame(rows, "coin string, timestamp_ms long, tid long, side string, price double, size double, fee double")
+    ordered = F.array_sort(F.collect_list(F.struct("timestamp_ms", "tid", "side", "price", "size", "fee")))
+    want = {r.coin: r.p for r in df.groupBy("coin").agg(risk.position(ordered).alias("p")).collect()}
+    last = {r.coin: r for r in risk.positions(df.repartition(5), order=["timestamp_ms", "tid"]).where("timestamp_ms = 299").collect()}
+    for coin, p in want.items():
+        r = last[coin]
+        assert (r.inventory, r.avg_price, r.realized, r.fees) == pytest.approx((p.inventory, p.avg_price, p.realized, p.fees))
+        assert df.limit(1).select(risk.unrealized(F.struct(F.lit(r.inventory).alias("inventory"), F.lit(r.avg_price).alias("avg_price")), F.lit(101.0)).alias("u")).first().u == pytest.approx((101.0 - p.avg_price) * p.inventory)
+
+
+def test_p_values_of_published_tables():
+    """Fixed results: two-sided tails of Student's t, of the standard normal and of a fair coin."""
+    assert tails.t_two_sided(2.228, 10) == pytest.approx(0.05, abs=2e-5) and tails.t_two_sided(4.587, 10) == pytest.approx(0.001, abs=2e-6)
+    assert tails.normal_two_sided(1.959963985) == pytest.approx(0.05, abs=1e-9)
+    assert tails.binomial_two_sided(8, 10) == pytest.approx(112 / 1024) and tails.binomial_two_sided(5, 10) == 1.0
+    assert tails.correlation_p(0.632, 10) == pytest.approx(0.05, abs=2e-4)  # the 5 % point of r for 8 degrees
+
+
+def test_study_against_a_plain_one(spark):
+    """Every cell's figures, told again over arrays."""
+    rng = np.random.default_rng(11)
+    n, h = 120, 2000
+    ticks = 400 + np.cumsum(rng.choice([-1, 0, 1], n))
+    sizes = rng.integers(1, 40, (2, n, 5)).astype(float)
+    rows = [("Z", i * 1000, i * 10**9, [float(ticks[i] - k) for k in range(5)], sizes[0, i].tolist(), [float(ticks[i] + 1 + k) for k in range(5)], sizes[1, i].tolist()) for i in range(n)]
+    ladder = "array<double>"
+    books = spark.createDataFrame(rows, f"coin string, exch_time_ms long, recv_ts_ns long, bid_px {ladder}, bid_sz {ladder}, ask_px {ladder}, ask_sz {ladder}")
+    books = books.withColumns({c: F.array().cast("array<bigint>") for c in ("bid_n", "ask_n")})
+    got = study.study(books, ["tob_imbalance", "imbalance_d5"], ["spread_bps"], [h], 4.5).collect()
+    mid, spread = ticks + 0.5, 1e4 / (ticks + 0.5)
+    y = np.log(mid[2:] / mid[:-2])
+    w = np.arange(5, 0, -1)
+    top = lambda a, b: (a - b) / (a + b)
+    xs = {"tob_imbalance": top(sizes[0, :, 0], sizes[1, :, 0]), "imbalance_d5": top(sizes[0] @ w, sizes[1] @ w)}
+    times = np.arange(n) * 1000
+    train = times <= 0.7 * times[-1]
+    test = np.flatnonzero(~train[: n - 2])
+    assert {r.feature for r in got} == set(xs)
+    for r in got:
+        x, out = xs[r.feature][test], y[test]
+        assert r.n == len(test) and r.pearson == pytest.approx(np.corrcoef(x, out)[0, 1])
+        beta = np.polyfit(x, out, 1)
+        assert r.ols_beta == pytest.approx(beta[0]) and r.ols_r2 == pytest.approx(np.corrcoef(x, out)[0, 1] ** 2)
+        both = np.linalg.lstsq(np.column_stack([np.ones(len(x)), x, spread[test]]), out, rcond=None)[0]
+        assert r.ols_beta_ctrl == pytest.approx(both[1])
+        limit = np.percentile(np.abs(xs[r.feature][train]), 75)
+        net = (out * 1e4 * np.sign(x) - (spread[test] + 9))[np.abs(x) > limit]
+        assert r.threshold == pytest.approx(limit) and r.net_n == len(net) and r.net_mean_bps == pytest.approx(net.mean())
+        moved = (x != 0) & (out != 0)
+        assert r.hit_rate == pytest.approx(np.mean(np.sign(x[moved]) == np.sign(out[moved]))) and r.hit_rate_p == pytest.approx(tails.binomial_two_sided(int((np.sign(x[moved]) == np.sign(out[moved])).sum()), int(moved.sum())))

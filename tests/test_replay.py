@@ -33,28 +33,36 @@ def trade(side, px, sz, t=1):
     return {"kind": 1, "coin": "A", "ts_ms": t, "side": side, "px": px, "sz": sz}
 
 
-def test_queue_share_is_consumed_first():
-    q = Resting()
-    q.place(100.0, 10.0, 1.0)
-    assert q.hit(100.0, 4.0, 0.5) == 0.0 and q.hit(99.0, 9.0, 0.5) == 0.0 and q.hit(100.0, 3.0, 0.5) == 2.0 and q.consumed == 0.0
-    q.hit(100.0, 4.0, 0.5)
-    q.place(100.0, 20.0, 1.0)
-    assert q.consumed == 4.0  # the same price keeps its place
-    q.place(101.0, 20.0, 1.0)
-    assert q.consumed == 0.0
-    q.place(101.0, 0.0, 1.0)
-    assert q.hit(101.0, 50.0, 0.5) == 0.0  # no depth known, no fill
-    q.place(101.0, 10.0, 1.0)
-    assert q.hit(101.0, 5.0, 0.5) == 0.0 and q.consumed == 0.0  # just reached: nothing, and back in the queue
+@pytest.mark.parametrize("seed", range(5))
+def test_queue_share_is_consumed_first(seed):
+    """Random trades and quotes against the rule told as totals since the last change: what traded at our price beyond a
+    share of the depth is ours, and the count starts anew at a new price and after each time the share is reached."""
+    r = random.Random(seed)
+    q, at, since = Resting(), None, 0.0
+    for _ in range(400):
+        if r.random() < 0.3:
+            price, depth = r.choice([None, 7.5, 8.0]), r.choice([0.0, 12.0, 30.0])
+            since = since if price == at else 0.0
+            at = price
+            q.place(price, depth, 1.0)
+            continue
+        price, size, share = r.choice([7.5, 8.0]), float(r.randint(1, 9)), 0.4
+        want = 0.0
+        if at is not None and price == at and q.depth > 0:
+            since += size
+            if since >= share * q.depth:
+                want, since = since - share * q.depth, 0.0
+        assert q.hit(price, size, share) == pytest.approx(want) and q.consumed == since
 
 
 def test_fill_to_equity():
-    s = Session(AtTouch(), Backtest(starting_cash=10_000.0), 1.5)
+    s = Session(AtTouch(0.25), Backtest(fill_fraction=0.3, starting_cash=2_000.0), 4.0)
     list(s.feed(dict(BOOK)))
-    fills = list(s.feed(trade("A", 100.0, 6.0)))
-    assert [(f["side"], f["price"], f["size"]) for f in fills] == [("buy", 100.0, 1.0)]
-    assert s.row("final", None)["equity"] == pytest.approx(10_000 - 100 - 0.015 + 100.5)
-    assert list(s.feed(trade("A", 100.0, 60.0))) == []  # open size is spent until the next book
+    fills = list(s.feed(trade("A", 100.0, 3.2)))  # 0.2 beyond 0.3 of 10
+    assert [(f["side"], f["price"], round(f["size"], 9)) for f in fills] == [("buy", 100.0, 0.2)]
+    assert s.row("final", None)["equity"] == pytest.approx(2_000 + 0.2 * 0.5 - 0.2 * 100 * 4e-4)
+    more = list(s.feed(trade("A", 100.0, 40.0)))
+    assert more[0]["size"] == pytest.approx(0.05) and list(s.feed(trade("A", 100.0, 40.0))) == []  # open size is spent until the next book
 
 
 def test_account_average_cost():
@@ -167,7 +175,7 @@ def test_stream_replay_equals_batch(spark, tape, tmp_path):
     from tidebook.streaming import keyed
 
     batch = sorted((r.coin, r.n, r.row, round(r.equity, 6)) for r in replay.replay(*tape, {"live": lambda: AtTouch(0.5)}).where("row <> 'final'").collect())
-    all_ = merged_events(*tape).select("coin", *[c for c in replay.EVENT_COLUMNS if c not in ("run", "coin")])
+    all_ = merged_events(*tape).select("coin", *[c for c in replay.EVENT_COLUMNS if c != "coin"])
     for i, (lo, hi) in enumerate(((0, 100_000), (100_000, 10**9))):
         all_.where((F.col("ts_ms") >= lo) & (F.col("ts_ms") < hi)).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(all_.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")

@@ -33,8 +33,9 @@ def microprice(best_bid: Column | str, bid_size: Column, best_ask: Column | str,
 
 
 def imbalance(bid: Column, ask: Column) -> Column:
-    """(bid - ask) / (bid + ask), 0 where both are 0."""
-    return ratio(bid - ask, bid + ask, F.lit(0.0))
+    """(bid - ask) / (bid + ask), 0 where both are 0. The two are computed once."""
+    both = F.array(F.struct(bid.alias("b"), ask.alias("a")))
+    return F.get(F.transform(both, lambda x: ratio(x["b"] - x["a"], x["b"] + x["a"], F.lit(0.0))), F.lit(0))
 
 
 def level_weight(i: Column, n: int | Column, scheme: str) -> Column:
@@ -53,19 +54,35 @@ def level_weights(n: int | Column, scheme: str = "linear_decay") -> Column:
     return F.transform(levels, lambda i: level_weight(i, n, scheme))
 
 
-def weighted(sizes: Column | str, n: int | Column, scheme: str) -> Column:
-    """Sum of the sizes weighed by their level."""
-    return F.aggregate(F.transform(col(sizes), lambda s, i: s * level_weight(i, n, scheme)), F.lit(0.0), lambda a, x: a + x)
+def weighted(sizes: Column | str, n: int, scheme: str) -> Column:
+    """Sum of the first n sizes weighed by their level of n: one fold over the levels there are. Linear decay is the
+    sum of the running sums, and what it still adds for levels that are missing."""
+    first = F.slice(col(sizes), 1, n)
+    zero = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+    if scheme == "uniform":
+        return F.aggregate(first, F.lit(0.0), lambda a, x: a + x)
+    if scheme == "exp_decay":
+        halved = F.struct(F.lit(1.0).alias("run"), F.lit(0.0).alias("total"))
+        return F.aggregate(first, halved, lambda a, x: F.struct((a["run"] / 2).alias("run"), (a["total"] + a["run"] * x).alias("total")), lambda a: a["total"])
+    if scheme != "linear_decay":
+        raise ValueError(f"unknown weighting {scheme!r}, one of {SCHEMES}")
+    step = lambda a, x: F.struct((a["run"] + x).alias("run"), (a["total"] + a["run"] + x).alias("total"))
+    missing = F.greatest(F.lit(0), n - F.size(col(sizes)))
+    return F.aggregate(first, zero, step, lambda a: a["total"] + a["run"] * missing)
 
 
 def depth_imbalance(bid_sizes: Column | str, ask_sizes: Column | str, n: int, scheme: str = "linear_decay", short_book: str = "truncate") -> Column:
     """Imbalance of the weighted sizes of the first n levels. A book with fewer is weighed as one of its
     own width (`truncate`), or as if the missing levels held nothing (`pad`)."""
-    bid, ask = F.slice(col(bid_sizes), 1, n), F.slice(col(ask_sizes), 1, n)
-    width = F.lit(n) if short_book == "pad" else F.greatest(F.size(bid), F.size(ask))
     if short_book not in ("pad", "truncate"):
         raise ValueError(f"unknown short_book {short_book!r}")
-    return imbalance(weighted(bid, width, scheme), weighted(ask, width, scheme))
+    bid, ask = weighted(bid_sizes, n, scheme), weighted(ask_sizes, n, scheme)
+    if short_book == "truncate" and scheme == "linear_decay":
+        # weights of a narrower book are smaller by what its width lacks, on every level
+        lacks = F.greatest(F.lit(0), n - F.greatest(F.size(col(bid_sizes)), F.size(col(ask_sizes))))
+        held = lambda c: F.aggregate(F.slice(col(c), 1, n), F.lit(0.0), lambda a, x: a + x)
+        bid, ask = (F.when(lacks > 0, x - lacks * held(c)).otherwise(x) for x, c in ((bid, bid_sizes), (ask, ask_sizes)))
+    return imbalance(bid, ask)
 
 
 def with_spread(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..store import once
 from .blocks import BLOCK, BLOCK_MS, with_block
 
 
@@ -22,6 +23,7 @@ def asof(queries: DataFrame, observed: DataFrame, values: list[str], key: str, a
         raise ValueError(f"unknown direction {direction!r}")
     ties, ahead = ties or [], direction == "forward"
     found = F.struct(*[F.col(v).alias(v) for v in values])
+    queries, observed = once(queries, "queries"), once(observed, "observed")
     q = with_block(queries.withColumn("_at", F.col(at)), "_at", block_ms)
     o = with_block(observed.select(key, F.col(time).alias("_at"), *[F.col(t).alias(f"_tie_{t}") for t in ties], found.alias("_found")), "_at", block_ms)
     # ahead: from the latest on, so that the observation is met first; at one time before the query
@@ -42,6 +44,7 @@ def asof(queries: DataFrame, observed: DataFrame, values: list[str], key: str, a
 def forward_returns(df: DataFrame, horizons_ms: list[int], prices: tuple[str, ...] = ("mid", "microprice"), block_ms: int = BLOCK_MS) -> DataFrame:
     """df with fwd_logret_{price}_{h}ms: log of the first price at or after t + h over the price now; null
     where no book is that late. All horizons go through one match."""
+    df = once(df, "priced")
     h = F.array(*[F.lit(int(x)).cast("long") for x in horizons_ms])
     slim = df.select("coin", "exch_time_ms", F.explode(h).alias("_h")).withColumn("_target", F.col("exch_time_ms") + F.col("_h"))
     later = df.select("coin", "exch_time_ms", *[F.col(p).alias(f"_fwd_{p}") for p in prices])

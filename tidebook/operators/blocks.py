@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from ..store import once
+
 BLOCK_MS = 86_400_000
 BLOCK, BORROWED = "_block", "_borrowed"
 
@@ -45,7 +47,7 @@ def over_history(
 ) -> DataFrame:
     """compute(df, window) with window = (key, block) in order, for frames of at most `rows` rows back."""
     order = order or [time]
-    spread = borrowed_rows(df, rows, key, order, time, block_ms)
+    spread = borrowed_rows(once(df, "history"), rows, key, order, time, block_ms)
     done = compute(spread, Window.partitionBy(key, BLOCK).orderBy(*order))
     return done.where(~F.col(BORROWED)).drop(BLOCK, BORROWED)
 
@@ -68,7 +70,7 @@ def running(
     """Running sums (or maxima, with how=F.max) over a key's whole history, this row included: within
     the block, and on top of it that of the blocks before."""
     order = order or [time]
-    df = with_block(df, time, block_ms).withColumns({f"_v_{k}": v for k, v in sums.items()})
+    df = with_block(once(df, "running"), time, block_ms).withColumns({f"_v_{k}": v for k, v in sums.items()})
     totals = df.groupBy(key, BLOCK).agg(*[how(F.col(f"_v_{k}")).alias(f"_t_{k}") for k in sums])
     before = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(key, BLOCK, *[how(F.col(f"_t_{k}")).over(before).alias(f"_b_{k}") for k in sums])

@@ -10,6 +10,7 @@ from ..functions.book import top, with_imbalance, with_microprice, with_spread
 from ..functions.liquidity import with_depth
 from ..store import stored
 from .blocks import BLOCK_MS, over_history, over_lookback
+from .ranks import quantile
 
 
 def dedup_books(books: DataFrame) -> DataFrame:
@@ -68,17 +69,17 @@ def with_liquidity(books: DataFrame, bps: float = 10.0, window_rows: int = 300,
 
 def with_sigma(df: DataFrame, lookback_ms: int, block_ms: int = BLOCK_MS) -> DataFrame:
     """sigma: population deviation of the steps of the mid among books of the last lookback_ms, this one
-    included; 0 below three books. The step into the window is not among them."""
+    included; 0 below three books. The step into the window is not among them. Books are one per time.
+
+    A step is kept with the book it leaves, so that those from the first book of the window to this one are the frame up
+    to a millisecond ago; nothing is collected per row.
+    """
 
     def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
-        mids = F.collect_list("mid").over(w.rangeBetween(-lookback_ms, 0))
-        df = df.withColumn("_mids", mids).withColumn("_n", F.size("_mids"))
-        steps = F.zip_with(F.slice("_mids", F.lit(2), F.greatest(F.lit(0), F.col("_n") - 1)), F.slice("_mids", F.lit(1), F.greatest(F.lit(0), F.col("_n") - 1)), lambda b, a: b - a)
-        df = df.withColumn("_steps", steps)
-        total = lambda f: F.aggregate("_steps", F.lit(0.0), lambda a, x: a + f(x))
-        df = df.withColumn("_mean", total(lambda x: x) / F.greatest(F.lit(1), F.size("_steps")))
-        spread = F.sqrt(total(lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))) / F.greatest(F.lit(1), F.size("_steps")))
-        return df.withColumn("sigma", F.when(F.col("_n") < 3, F.lit(0.0)).otherwise(spread)).drop("_mids", "_steps", "_mean", "_n")
+        frame = w.rangeBetween(-lookback_ms, -1)
+        df = df.withColumn("_step", F.lead("mid").over(w) - F.col("mid"))
+        sigma = F.when(F.count("_step").over(frame) < 2, F.lit(0.0)).otherwise(F.stddev_pop("_step").over(frame))
+        return df.withColumn("sigma", sigma).drop("_step")
 
     return over_lookback(df, lookback_ms, compute, block_ms=block_ms)
 
@@ -106,4 +107,5 @@ def gaps(messages: DataFrame, threshold_ms: int, key: str = "coin", time: str =
 def median_interval(df: DataFrame, time: str = "exch_time_ms", block_ms: int = BLOCK_MS) -> DataFrame:
     """Median step of a coin's times; 1.0 with a single row."""
     steps = over_history(df.select("coin", time), 1, lambda d, w: d.withColumn("_step", F.col(time) - F.lag(time).over(w)), "coin", [time], time, block_ms)
-    return steps.groupBy("coin").agg(F.coalesce(F.percentile("_step", F.lit(0.5)), F.lit(1.0)).alias("median_interval_ms"))
+    middle = quantile(steps.where("_step is not null"), "_step", 0.5, ["coin"])
+    return steps.select("coin").distinct().join(middle, "coin", "left").select("coin", F.coalesce("quantile", F.lit(1.0)).alias("median_interval_ms"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..store import stored
 from .blocks import BLOCK_MS, over_history, running
 from .features import rolling
+from .ranks import quantile
 
+POSITION = ("inventory", "avg_price", "realized", "fees")
 YEAR_MS = 365 * 24 * 3_600_000
 
 
@@ -37,6 +44,29 @@ def position(fills: Column | str) -> Column:
     return F.aggregate(fills, zero, apply)
 
 
+def positions(fills: DataFrame, key: str = "coin", time: str = "timestamp_ms", order: list[str] | None = None) -> DataFrame:
+    """fills (side, price, size, fee) with the average-cost position after each: inventory, avg_price, realized, fees. A
+    key's fills are one sequence: they are sorted and streamed through the account in batches, with only its state
+    carried over."""
+    from .replay import Account  # not at the top: the replay reports risk
+
+    schema = T.StructType([*fills.schema.fields, *[T.StructField(n, T.DoubleType()) for n in POSITION]])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, account = None, Account(0.0)
+        for batch in batches:
+            out: list[tuple] = []
+            for k, side, price, size, fee in zip(*[batch.column(c).to_pylist() for c in (key, "side", "price", "size", "fee")], strict=True):
+                if k != now:
+                    now, account = k, Account(0.0)
+                account.fill(size if side == "buy" else -size, price, fee)
+                out.append((account.inventory, account.average, account.realized, account.fees))
+            made = [pa.array(x, pa.float64()) for x in zip(*out, strict=True)] or [pa.array([], pa.float64())] * len(POSITION)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+
+    return fills.repartition(key).sortWithinPartitions(key, *(order or [time])).mapInArrow(fold, schema)
+
+
 def unrealized(position: Column, mark: Column) -> Column:
     return (mark - position["avg_price"]) * position["inventory"]
 
@@ -56,15 +86,16 @@ def drawdowns(curve: DataFrame, key: str = "coin", time: str = "timestamp_ms", b
 def risk_report(curve: DataFrame, key: str = "coin", time: str = "timestamp_ms", confidence: float = 0.95) -> DataFrame:
     """Per key: updates, sharpe (population deviation, annualized by the updates per year), max_drawdown,
     value_at_risk and expected_shortfall of the changes, as losses. 0 where there are too few rows."""
-    changed = equity_changes(curve, key, time)
+    curve = stored(curve.select(key, time, "equity"), "curve")
+    changed = stored(equity_changes(curve, key, time), "changes")
     stats = changed.groupBy(key).agg(
         F.count("change").alias("n"),
         F.avg("change").alias("_mean"),
         F.stddev_pop("change").alias("_sd"),
         F.greatest((F.max(time) - F.min(time)) / 1000, F.lit(1.0)).alias("_seconds"),
-        F.percentile("change", F.lit(1 - confidence)).alias("_q"),
     )
-    tail = changed.join(F.broadcast(stats.select(key, "_q")), key).where(F.col("change") <= F.col("_q")).groupBy(key).agg(F.avg("change").alias("_tail"))
+    stats = stored(stats.join(quantile(changed, "change", 1 - confidence, [key]).withColumnRenamed("quantile", "_q"), key, "left"), "risk")
+    tail = changed.join(stats.select(key, "_q"), key).where(F.col("change") <= F.col("_q")).groupBy(key).agg(F.avg("change").alias("_tail"))
     deepest = drawdowns(curve, key, time).groupBy(key).agg(F.min("drawdown").alias("max_drawdown"))
     all_ = stats.join(deepest, key).join(tail, key, "left")
     per_year = F.col("n") / F.col("_seconds") * (YEAR_MS / 1000)

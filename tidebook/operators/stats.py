@@ -13,7 +13,9 @@ from pyspark.sql.window import Window
 
 from ..functions.tails import binomial_two_sided, correlation_p, normal_two_sided, t_two_sided
 from ..store import stored
+from . import ranks
 from .blocks import running
+from .ranks import value_ranks
 
 CELL = ["coin", "feature", "horizon_ms"]
 
@@ -46,34 +48,21 @@ def _corr(x: str, y: str) -> Column:
 
 def information_coefficient(cells: DataFrame) -> DataFrame:
     """n, pearson and spearman per cell, over pairs without nulls; null below 10 pairs or without spread.
-
-    Average ranks come from the counts of the distinct values, by range-partitioned running sums: a
-    cell's values are ordered in blocks, never in one task.
-    """
-    pairs = stored(cells.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*CELL, "x", "y"), "pairs")
-    ranked = average_rank(stored(average_rank(pairs, "x"), "ranks"), "y")
+    Ranks of a cell's values come from their counts, in blocks."""
+    pairs = stored(cells.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*CELL, plain("x").alias("x"), plain("y").alias("y")), "pairs")
+    ranked = average_rank(average_rank(pairs, "x"), "y")
     return ranked.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), _corr("x", "y").alias("pearson"), _corr("x_rank", "y_rank").alias("spearman"))
 
 
-def average_rank(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
-    """df with {value}_rank: the mean rank of equal values within a cell, from 1.
+def plain(value: str) -> Column:
+    """The value with -0.0 as 0.0."""
+    return F.when(F.col(value) == 0, F.lit(0.0)).otherwise(F.col(value))
 
-    Values are counted first; the counts are cut at the cell's approximate quantiles, and ranks are
-    running sums within a bucket on top of those of the buckets below.
-    """
-    # -0.0 and 0.0 are one value
-    df = df.withColumn(value, F.when(F.col(value) == 0, F.lit(0.0)).otherwise(F.col(value)))
-    counts = df.groupBy(*CELL, value).agg(F.count(F.lit(1)).alias("_n"))
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*CELL).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))
-    counts = counts.join(cuts, CELL).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    sums = counts.groupBy(*CELL, "_bucket").agg(F.sum("_n").alias("_sum"))
-    below = Window.partitionBy(*CELL).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*CELL, "_bucket", F.coalesce(F.sum("_sum").over(below), F.lit(0)).alias("_below"))
-    within = Window.partitionBy(*CELL, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(sums, [*CELL, "_bucket"])
-    ranks = counts.select(*CELL, value, (F.col("_below") + F.col("_before") + (F.col("_n") + 1) / 2).alias(f"{value}_rank"))
-    return df.join(ranks, [*CELL, value])
+
+def average_rank(df: DataFrame, value: str) -> DataFrame:
+    """df with {value}_rank: the mean rank of equal values within a cell, from 1. -0.0 and 0.0 are one value."""
+    ranks = value_ranks(df, value, CELL).select(*CELL, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"{value}_rank"))
+    return df.withColumn(value, plain(value)).join(ranks, [*CELL, value])
 
 
 def directional_accuracy(cells: DataFrame) -> DataFrame:
@@ -85,13 +74,14 @@ def directional_accuracy(cells: DataFrame) -> DataFrame:
 
 def thresholds(train: DataFrame, quantile: float = 0.75) -> DataFrame:
     """The quantile of |x| per (coin, feature), exact and interpolated, nulls left out."""
-    return train.groupBy("coin", "feature").agg(F.percentile(F.abs("x"), F.lit(quantile)).alias("threshold"))
+    size = train.select("coin", "feature", F.abs("x").alias("size"))
+    return ranks.quantile(size, "size", quantile, ["coin", "feature"]).withColumnRenamed("quantile", "threshold")
 
 
 def net_of_cost(cells: DataFrame, limits: DataFrame, taker_bps: float) -> DataFrame:
     """Entering with the sign of x where |x| exceeds the threshold: net_n, mean net_bps after spread and
     two taker fees, its share above 0 and t statistic (null below two rows or without spread)."""
-    taken = cells.join(F.broadcast(limits), ["coin", "feature"]).where((F.abs("x") > F.col("threshold")) & F.col("y").isNotNull() & F.col("spread_bps").isNotNull())
+    taken = cells.join(limits, ["coin", "feature"]).where((F.abs("x") > F.col("threshold")) & F.col("y").isNotNull() & F.col("spread_bps").isNotNull())
     net = F.col("y") * 10_000 * F.signum("x") - (F.col("spread_bps") + 2 * taker_bps)
     out = taken.withColumn("_net", net).groupBy(*CELL).agg(
         F.count(F.lit(1)).alias("net_n"),
@@ -135,7 +125,7 @@ def hac_regression(cells: DataFrame, controls: list[str], lags: DataFrame) -> li
     known = [(*key, o["n"], [float(v) for v in o["beta"]]) for key, o in solved.items() if o["beta"] is not None]
     if known:
         betas = cells.sparkSession.createDataFrame(known, "coin string, feature string, horizon_ms long, _n long, _beta array<double>")
-        scored = rows.join(F.broadcast(betas), CELL).join(F.broadcast(lags), ["coin", "horizon_ms"])
+        scored = rows.join(betas, CELL).join(lags, ["coin", "horizon_ms"])
         error = F.col("y") - F.aggregate(F.zip_with("_d", "_beta", lambda d, c: d * c), F.lit(0.0), lambda acc, v: acc + v)
         scored = scored.withColumn("_e", error).withColumn("_cell", F.concat_ws("|", *CELL))
         scores = {f"c{i}": F.col("_d")[i] * F.col("_e") for i in range(k)}

@@ -232,13 +232,27 @@ ORACLE_SQL: dict[str, str] = {
         SIGMA,
     ),
     "cash_and_inventory": _sql(
-        "SELECT tid, coin, round(100000 - sum(signed * px + fee) OVER w, 0) AS cash, sum(signed) OVER w AS inventory FROM fl WINDOW w AS (PARTITION BY coin ORDER BY exch_time_ms, tid)", SIGNED
+        "SELECT tid, coin, round(100000 - sum(signed * px + fee) OVER w + 2e-7, 6) AS cash, sum(signed) OVER w AS inventory FROM fl WINDOW w AS (PARTITION BY coin ORDER BY exch_time_ms, tid)", SIGNED
     ),
     "inventory_volatility": _sql(
         """SELECT tid, coin, round(CASE WHEN count(*) OVER w >= 7 THEN stddev_samp(signed) OVER w END, 7) AS inventory_vol
            FROM fl WINDOW w AS (PARTITION BY coin ORDER BY exch_time_ms ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
         SIGNED,
     ),
+    "average_cost": BASE.replace("WITH base", "WITH RECURSIVE base", 1)
+    + SIGNED
+    + """,
+        f AS (SELECT coin, exch_time_ms // 86400000 AS day, px, signed, fee, row_number() OVER (PARTITION BY coin ORDER BY exch_time_ms, tid) AS n FROM fl),
+        pos(coin, n, inv, avg, got, paid) AS (
+          SELECT coin, n, signed, px, 0.0::DOUBLE, fee FROM f WHERE n = 1
+          UNION ALL
+          SELECT f.coin, f.n, inv + signed,
+                 CASE WHEN inv = 0 THEN px WHEN inv * signed > 0 THEN (avg * abs(inv) + px * abs(signed)) / abs(inv + signed)
+                      WHEN (inv + signed) * inv < 0 THEN px ELSE avg END,
+                 got + CASE WHEN inv * signed < 0 THEN sign(inv) * (px - avg) * least(abs(signed), abs(inv)) ELSE 0 END, paid + fee
+          FROM pos JOIN f ON f.coin = pos.coin AND f.n = pos.n + 1)
+        SELECT coin, day, inv AS inventory, round(avg, 5) AS avg_price, round(got, 4) + 0.0 AS realized, round(paid, 4) AS fees_paid, round((px - avg) * inv, 4) + 0.0 AS unrealized
+        FROM (SELECT *, row_number() OVER (PARTITION BY coin, day ORDER BY n DESC) AS k FROM pos JOIN f USING (coin, n)) WHERE k = 1""",
     "turnover": _sql("SELECT coin, count(*) AS n_fills, round(sum(px * sz), 4) AS turnover_usd, round(sum(fee), 4) AS fees_paid FROM fl GROUP BY coin", SIGNED),
     "drawdown": _sql("SELECT event_id, coin, round((equity - peak) / CASE WHEN peak = 0 THEN 2.220446049250313e-16 ELSE peak END, 8) + 0.0 AS drawdown FROM ch", CURVE),
     "sharpe_var_es": _sql(

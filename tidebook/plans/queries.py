@@ -345,7 +345,7 @@ def _lags(m: Market) -> DataFrame:
 
 
 def _regression(m: Market, controls: list[str]) -> DataFrame:
-    cells = _cells(m, False).where(F.col("horizon_ms").isin(HORIZONS[0], HORIZONS[4])).where(F.col("feature").isin("tob_imbalance", "ofi"))
+    cells = _cells(m, False)
     solved = stats.hac_regression(cells, controls, _lags(m))
     rows = [(o["coin"], o["feature"], o["horizon_ms"], o["n"], None if o["beta"] is None else float(o["beta"][1]), None if o["beta"] is None else float(o["t"][1]), None if o["beta"] is None else float(o["p"][1]), o["r2"]) for o in solved]
     return cells.sparkSession.createDataFrame(rows, "coin string, feature string, horizon_ms long, n long, beta double, t double, p double, r2 double")
@@ -403,7 +403,8 @@ def _signed_fills(m: Market) -> DataFrame:
 @query
 def cash_and_inventory(m: Market) -> DataFrame:
     out = risk.cash_and_inventory(_signed_fills(m), 100_000.0, order=["timestamp_ms", "tid"])
-    return out.select("tid", "coin", r("cash", 0).alias("cash"), "inventory")
+    # fees are whole multiples of 0.000009375: a hair more keeps exact halves from falling by the noise of a running sum
+    return out.select("tid", "coin", r(F.col("cash") + 2e-7, 6).alias("cash"), "inventory")
 
 
 @query
@@ -434,11 +435,13 @@ def sharpe_var_es(m: Market) -> DataFrame:
 
 @query
 def average_cost(m: Market) -> DataFrame:
-    """Positions after each coin's fills of a day, folded in order."""
+    """The position at the end of each day, carried over from the coin's first fill on, and what it would gain at that
+    day's last price."""
     day = F.floor(F.col("timestamp_ms") / 86_400_000).alias("day")
-    ordered = F.array_sort(F.collect_list(F.struct("timestamp_ms", "tid", "side", "price", "size", "fee")))
-    p = _signed_fills(m).groupBy("coin", day).agg(risk.position(ordered).alias("p"))
-    return p.select("coin", "day", "p.inventory", r("p.avg_price", 5).alias("avg_price"), r("p.realized", 4).alias("realized"), r("p.fees", 4).alias("fees"))
+    p = risk.positions(_signed_fills(m), order=["timestamp_ms", "tid"])
+    last = p.groupBy("coin", day).agg(F.max_by(F.struct("price", *risk.POSITION), F.struct("timestamp_ms", "tid")).alias("p"))
+    gain = risk.unrealized(F.col("p"), F.col("p.price"))
+    return last.select("coin", "day", "p.inventory", r("p.avg_price", 5).alias("avg_price"), r("p.realized", 4).alias("realized"), r("p.fees", 4).alias("fees_paid"), r(gain, 4).alias("unrealized"))
 
 
 def _replayed(m: Market) -> DataFrame:

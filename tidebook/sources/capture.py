@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import importlib
 import json
+import logging
 import random
 import time
 import urllib.request
@@ -21,6 +22,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .raw import CONTEXT_CHANNEL, L2_CHANNEL, PREDICTED_CHANNEL, TRADE_CHANNEL
 
+log = logging.getLogger(__name__)
+
 LOG_SCHEMA = "recv_ts_ns long, channel string, data string"
 #: Replies of the server that carry no data.
 CONTROL = frozenset({"pong", "subscriptionResponse"})
@@ -42,8 +45,9 @@ class Backoff:
 
 @dataclass
 class Feed:
-    """Messages of a socket that is opened again whenever it breaks: subscriptions are sent on every
-    connection, a ping every ping_s, control replies are dropped. Counts what happened."""
+    """Messages of a socket that is opened again whenever it breaks, however it does: subscriptions are sent on
+    every connection, a ping every ping_s; control replies and what is no JSON object are dropped. Counts
+    messages, reconnects, malformed ones, and gaps: times of a channel and coin over gap_ms apart."""
 
     connect: Callable[[str], object]
     url: str
@@ -52,8 +56,12 @@ class Feed:
     backoff: Backoff = field(default_factory=Backoff)
     clock: Callable[[], int] = time.time_ns
     sleep: Callable[[float], None] = time.sleep
+    gap_ms: int = 15_000
     messages: int = 0
     reconnects: int = 0
+    gaps: int = 0
+    malformed: int = 0
+    _seen: dict[tuple[str, str], int] = field(default_factory=dict)
     _socket: object = None
     _pinged: float = 0.0
 
@@ -81,15 +89,42 @@ class Feed:
                 text = socket.recv(timeout_s)
             except TimeoutError:
                 return
-            except (OSError, EOFError):
-                self._socket, self.reconnects = None, self.reconnects + 1
+            except Exception as e:  # every client closes with an exception of its own
+                log.warning("reconnecting after %r", e)
+                self._close()
+                self.reconnects += 1
                 self.sleep(self.backoff.wait())
                 continue
             self.backoff.attempt = 0
-            message = json.loads(text)
-            if message.get("channel") not in CONTROL:
+            try:
+                message = json.loads(text)
+                channel, data = message.get("channel"), message.get("data")
+            except (ValueError, AttributeError):  # no JSON, or no object
+                self.malformed += 1
+                continue
+            if channel is not None and channel not in CONTROL:
                 got, self.messages = got + 1, self.messages + 1
-                yield self.clock(), message.get("channel"), json.dumps(message.get("data"))
+                self._count_gap(channel, data)
+                yield self.clock(), channel, json.dumps(data)
+
+    def _close(self) -> None:
+        socket, self._socket = self._socket, None
+        self._seen.clear()  # gaps are those of one connection
+        try:
+            if hasattr(socket, "close"):
+                socket.close()
+        except Exception as e:
+            log.debug("closing a broken socket: %r", e)
+
+    def _count_gap(self, channel: str, data: object) -> None:
+        if isinstance(data, dict) and isinstance(data.get("coin"), str) and isinstance(data.get("time"), int):
+            key, at = (channel, data["coin"]), data["time"]
+            self.gaps += key in self._seen and at - self._seen[key] > self.gap_ms
+            self._seen[key] = at
+
+    def status(self) -> str:
+        """One line of what happened so far."""
+        return f"messages={self.messages} reconnects={self.reconnects} gaps={self.gaps} malformed={self.malformed}"
 
 
 def _factory(name: str) -> Callable:
@@ -105,11 +140,13 @@ def websocket(url: str):
 
 
 class FeedReader(SimpleDataSourceStreamReader):
-    """A batch is what came since the last one. The socket cannot be read again: exactly-once begins at
-    the raw log, which the query writes with its own checkpoint."""
+    """A batch is what came since the last one. The socket cannot be read again, so received rows are held until
+    the query commits them, and a batch that is planned again within the process gets the same rows. What was received
+    but not yet in the log when the process ends is lost: at most once up to the log, exactly once from there."""
 
     def __init__(self, options: dict[str, str]):
         self.options, self.feed = options, None
+        self.held: list[tuple[int, tuple]] = []
 
     def initialOffset(self) -> dict:
         return {"n": 0}
@@ -118,19 +155,24 @@ class FeedReader(SimpleDataSourceStreamReader):
         if self.feed is None:
             o = self.options
             connect = _factory(o.get("connect", "tidebook.sources.capture:websocket"))
-            self.feed = Feed(connect, o["url"], o["coins"].split(","), float(o.get("ping_s", 20)))
+            backoff = Backoff(float(o.get("backoff_base_s", 1)), float(o.get("backoff_max_s", 60)), float(o.get("jitter_s", 1)))
+            gap_ms = int(1000 * float(o.get("gap_s", 15)))
+            self.feed = Feed(connect, o["url"], o["coins"].split(","), float(o.get("ping_s", 20)), backoff, gap_ms=gap_ms)
         rows = list(self.feed.poll(int(self.options.get("most", 10_000)), float(self.options.get("timeout_s", 1))))
+        log.info("%s", self.feed.status())
+        self.held += [(start["n"] + i, row) for i, row in enumerate(rows)]
         return iter(rows), {"n": start["n"] + len(rows)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(())
+        return iter([row for n, row in self.held if start["n"] <= n < end["n"]])
 
     def commit(self, end: dict) -> None:
-        pass
+        self.held = [(n, row) for n, row in self.held if n >= end["n"]]
 
 
 class MarketFeed(DataSource):
-    """spark.readStream.format("market_feed") with options url, coins, ping_s, connect."""
+    """spark.readStream.format("market_feed") with options url, coins, ping_s, connect, backoff_base_s,
+    backoff_max_s, jitter_s, gap_s."""
 
     @classmethod
     def name(cls) -> str:
@@ -160,8 +202,33 @@ class PollReader(DataSourceReader):
         yield time.time_ns(), PREDICTED_CHANNEL, json.dumps(data)
 
 
+class PollStream(SimpleDataSourceStreamReader):
+    """A poll every every_s seconds; micro-batches in between are empty."""
+
+    def __init__(self, options: dict[str, str]):
+        self.reader, self.every, self.next_ = PollReader(options), float(options.get("every_s", 60)), 0.0
+        self.held: dict[int, list[tuple]] = {}
+
+    def initialOffset(self) -> dict:
+        return {"n": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        if time.monotonic() < self.next_:
+            return iter(()), start
+        self.next_ = time.monotonic() + self.every
+        self.held[start["n"]] = list(self.reader.read(None))
+        return iter(self.held[start["n"]]), {"n": start["n"] + 1}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([row for n in range(start["n"], end["n"]) for row in self.held.get(n, [])])
+
+    def commit(self, end: dict) -> None:
+        self.held = {n: rows for n, rows in self.held.items() if n >= end["n"]}
+
+
 class FundingPoll(DataSource):
-    """spark.read.format("funding_poll") with options url, coins, fetch: one poll per read."""
+    """format("funding_poll") with options url, coins, fetch: one poll per spark.read, and one every every_s
+    seconds on spark.readStream."""
 
     @classmethod
     def name(cls) -> str:
@@ -173,6 +240,9 @@ class FundingPoll(DataSource):
     def reader(self, schema) -> PollReader:
         return PollReader(dict(self.options))
 
+    def simpleStreamReader(self, schema) -> PollStream:
+        return PollStream(dict(self.options))
+
 
 def log_lines(messages: DataFrame) -> DataFrame:
     """Messages as raw log lines with their UTC date and hour."""

@@ -7,15 +7,19 @@ and replace their partitions in all tables; an hour that has become empty loses
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import stored
 from . import raw as raw_tables
 from .schemas import TABLES
 
 MANIFEST = "_manifest.json"
+#: `YYYYMMDD/HH.jsonl`, or what a streaming query writes below `date=YYYYMMDD/hour=HH`.
+RAW_FILE = re.compile(r"\d{8}/\d{2}\.jsonl$|date=\d{8}/hour=\d{2}/part-[^/]*$")
 
 
 @dataclass
@@ -30,7 +34,8 @@ class Files:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def listing(self, path: str) -> dict[str, tuple[int, int]]:
-        """Relative paths of the *.jsonl files below path, with size and modification time."""
+        """Relative paths of the raw files below path, *.jsonl or the text files of a recorded stream, with size and
+        modification time; hidden files and folders are left out."""
         fs, p = self._fs(path)
         if not fs.exists(p):
             return {}
@@ -38,8 +43,9 @@ class Files:
         while it.hasNext():
             f = it.next()
             name = f.getPath().toString()
-            if name.endswith(".jsonl"):
-                found[name[len(root) + 1 :]] = (f.getLen(), f.getModificationTime())
+            path_in = name[len(root) + 1 :]
+            if RAW_FILE.search(name) and not any(x.startswith(("_", ".")) for x in path_in.split("/")):
+                found[path_in] = (f.getLen(), f.getModificationTime())
         return found
 
     def text(self, path: str) -> str | None:
@@ -94,13 +100,16 @@ def normalize(spark: SparkSession, raw_dir: str, out_dir: str) -> Outcome:
     lines = raw_tables.read_raw(spark, [f"{raw_dir}/{k}" for k in redo])
     place = F.regexp_replace(F.regexp_replace("file", r"^.*/(?:date=)?(\d{8})/", "$1/"), r"/(?:hour=)?(\d{2})[./].*$", "/$1")
     lines = lines.withColumn("date", F.split_part(place, F.lit("/"), F.lit(1))).withColumn("hour", F.split_part(place, F.lit("/"), F.lit(2))).drop("file")
+    lines = stored(lines, "raw", narrow=False)  # text and envelopes are read once for all tables
     for name, parse in raw_tables.PARSERS.items():
         table = parse(lines, "date", "hour").repartition("date", "hour").sortWithinPartitions("coin", "recv_ts_ns")
+        written = Observation(name)
+        table = table.observe(written, F.count(F.lit(1)).alias("n"))
         path = f"{out_dir}/{name}"
         for date, hour in hours:
             fs.drop(f"{path}/date={date}/hour={hour}")
         table.write.mode("append").partitionBy("date", "hour").parquet(path)
-        out.rows[name] = read_table(spark, out_dir, name).where(F.concat("date", "hour").isin([d + h for d, h in hours])).count()
+        out.rows[name] = written.get["n"]
     fs.put(f"{out_dir}/{MANIFEST}", json.dumps({k: list(v) for k, v in sorted(have.items())}))
     return out
 

@@ -31,6 +31,19 @@ def few_files(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is no more than columns and filters of a table read from files."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """df for plans that read it several times: itself if it is a scan, else stored."""
+    return df if is_scan(df) else stored(df, name, narrow=False)
+
+
 def stored(df: DataFrame, name: str, narrow: bool = True) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and later plans
     start from a plain scan whose size the optimizer knows. The tables stay there until whoever runs the

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -20,6 +21,8 @@ NONE = GroupStateTimeout.NoTimeout
 
 
 def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """A key's rows of one micro-batch, which are held: the source's limit on a trigger (maxFilesPerTrigger,
+    maxOffsetsPerTrigger) bounds them."""
     parts = list(batches)
     return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame(columns=by)
 
@@ -100,12 +103,12 @@ def replay(events: DataFrame, strategy: Callable[[], Strategy], backtest: Backte
         session = cloudpickle.loads(state.get[0]) if state.exists else Session(strategy(), backtest, fees.maker_bps)
         out = []
         for e in _in_order(batches, ["ts_ms", "kind", "recv_ts_ns", "seq"]).to_dict("records"):
-            e = {k: None if not hasattr(v, "__len__") and pd.isna(v) else v for k, v in e.items()}
+            e = {k: list(v) if isinstance(v, np.ndarray) else None if not hasattr(v, "__len__") and pd.isna(v) else v for k, v in e.items()}
             out += [{"run": run, "coin": key[0]} | r for r in session.feed(e)]
         state.update((cloudpickle.dumps(session),))
         yield pd.DataFrame(out, columns=names)
 
-    columns = [c for c in EVENT_COLUMNS if c not in ("run", "coin")]
+    columns = [c for c in EVENT_COLUMNS if c != "coin"]
     return events.select("coin", *columns).groupBy("coin").applyInPandasWithState(step, OUT, "session binary", "append", NONE)
 
 
