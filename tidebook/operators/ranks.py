@@ -16,9 +16,16 @@ def value_ranks(df: DataFrame, value: str, by: list[str], buckets: int = 64) ->
     -0.0 and 0.0 are one value."""
     plain = F.when(F.col(value) == 0, F.lit(0).cast(df.schema[value].dataType)).otherwise(F.col(value))
     counts = df.select(*by, plain.alias(value)).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    if buckets & (buckets - 1):
+        raise ValueError("buckets are halved, so their number is a power of 2")
     shares = [i / buckets for i in range(1, buckets)]
     cuts = df.groupBy(*by).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))
-    counts = counts.join(cuts, by).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    # how many cuts are smaller, by halving
+    counts, step = counts.join(cuts, by).withColumn("_bucket", F.lit(0)), buckets // 2
+    while step:
+        more = F.when(F.get("_cuts", F.col("_bucket") + (step - 1)) < F.col(value), F.lit(step)).otherwise(F.lit(0))
+        counts, step = counts.withColumn("_bucket", F.col("_bucket") + more), step // 2
+    counts = counts.drop("_cuts")
     sums = counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_sum"))
     below = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "_bucket", F.coalesce(F.sum("_sum").over(below), F.lit(0)).alias("_below"))

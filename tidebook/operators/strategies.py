@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from dataclasses import dataclass, field
-from statistics import pstdev
 from typing import Any, Protocol
 
 from ..config import InventoryAware, Settings, Symmetric
@@ -62,8 +62,12 @@ class InventoryMaker(SymmetricMaker):
             self.mids.popleft()
 
     def sigma(self) -> float:
+        if len(self.mids) < 3:
+            return 0.0
         m = [x for _, x in self.mids]
-        return pstdev([b - a for a, b in zip(m, m[1:], strict=False)]) if len(m) >= 3 else 0.0
+        steps = [b - a for a, b in zip(m, m[1:], strict=False)]
+        mean = sum(steps) / len(steps)
+        return math.sqrt(sum((x - mean) ** 2 for x in steps) / len(steps))
 
     def quotes(self, book: dict[str, Any]) -> tuple[float | None, float, float | None, float]:
         if book["liquidity_drought"]:
