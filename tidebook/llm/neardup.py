@@ -274,7 +274,8 @@ def near_duplicates(
     split = split.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     split = split.groupBy("row").agg(F.collect_list(F.struct("root", "part", "parts")).alias("places"))
     wanted = members.select(F.struct("file", F.col("file_row").alias("row")).alias("m_place"), "row", "copies", "roots")
-    texts = text.select("place", "text").join(wanted, F.col("place") == F.col("m_place")).select("row", "copies", "roots", "text")
+    # members grow with the documents: the same join at every size, not one that is broadcast while they are few
+    texts = text.select("place", "text").join(wanted.hint("merge"), F.col("place") == F.col("m_place")).select("row", "copies", "roots", "text")
     sets = stored(gram_sets(texts, n), "sets", narrow=False)
     tiles = sets.join(split, "row").withColumn("place", F.explode("places")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("place.parts") - 1)))
     low, high = F.least("place.part", "other"), F.greatest("place.part", "other")
