@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+#: Settings of the Parquet writer for rows of very many bytes.
+WIDE_ROWS = {"parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,15 +46,17 @@ def once(df: DataFrame, name: str) -> DataFrame:
     return df if is_scan(df) else stored(df, name, narrow=False)
 
 
-def stored(df: DataFrame, name: str, narrow: bool = True) -> DataFrame:
+def stored(df: DataFrame, name: str, narrow: bool = True, wide_rows: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and later plans
     start from a plain scan whose size the optimizer knows. The tables stay there until whoever runs the
     job clears the folder, as with checkpoints.
 
     Narrow tables are written in few_files; work over whole texts keeps a task per input split: False.
+    wide_rows is for rows of very many bytes, whose size the writer would look at only after a hundred: it looks
+    after each, and row groups are small, so that neither writers nor readers hold many rows at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df = few_files(df) if narrow else df
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(WIDE_ROWS if wide_rows else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
