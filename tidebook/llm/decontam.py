@@ -26,7 +26,7 @@ from ._common import filed, pieces, place, stored, text_bytes, words
 WINDOW = 10
 #: Words of a document among which all terms of a window make a proximity match.
 SPAN = 20
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 512 << 10
 #: Test windows that are searched at once: what a task holds of the test set.
 BLOCK_WINDOWS = 1 << 19
 #: Candidates whose surroundings are looked at at once.
@@ -310,7 +310,7 @@ def decontaminate(
     docs = filed(docs.select(*dict.fromkeys([c for c in (id_col, text_col) if c is not None])))
     doc_id = F.lit(None).cast("long") if id_col is None else F.col(id_col)
     rows = docs.select(place(docs).alias("row"), doc_id.alias("doc_id"), F.col(text_col).alias("text"))
-    index = stored(build_index(rows), "index", narrow=False)
+    index = stored(build_index(rows), "index", narrow=False, wide_rows=True)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(item_text_col).alias("text"))
     windows = item_windows(items, window).groupBy("window").agg(F.collect_set("item").alias("items"))
     windows = stored(windows, "windows")
