@@ -50,7 +50,7 @@ def information_coefficient(cells: DataFrame) -> DataFrame:
     """n, pearson and spearman per cell, over pairs without nulls; null below 10 pairs or without spread.
     Ranks of a cell's values come from their counts, in blocks."""
     pairs = stored(cells.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*CELL, plain("x").alias("x"), plain("y").alias("y")), "pairs")
-    ranked = average_rank(average_rank(pairs, "x"), "y")
+    ranked = average_rank(average_rank(pairs, "x"), "y", pairs)
     return ranked.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), _corr("x", "y").alias("pearson"), _corr("x_rank", "y_rank").alias("spearman"))
 
 
@@ -59,9 +59,10 @@ def plain(value: str) -> Column:
     return F.when(F.col(value) == 0, F.lit(0.0)).otherwise(F.col(value))
 
 
-def average_rank(df: DataFrame, value: str) -> DataFrame:
-    """df with {value}_rank: the mean rank of equal values within a cell, from 1. -0.0 and 0.0 are one value."""
-    ranks = value_ranks(df, value, CELL).select(*CELL, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"{value}_rank"))
+def average_rank(df: DataFrame, value: str, among: DataFrame | None = None) -> DataFrame:
+    """df with {value}_rank: the mean rank of equal values within a cell, from 1. -0.0 and 0.0 are one value.
+    among: a table with the same cells and values that is cheaper to read than df, if there is one."""
+    ranks = value_ranks(df if among is None else among, value, CELL).select(*CELL, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"{value}_rank"))
     return df.withColumn(value, plain(value)).join(ranks, [*CELL, value])
 
 
