@@ -13,18 +13,23 @@ from pyspark.sql import functions as F
 
 from ..store import stored
 
-__all__ = ["filed", "held_out", "pieces", "place", "read", "stored", "text_bytes", "words"]
+__all__ = ["filed", "held_out", "lowered", "pieces", "place", "read", "stored", "text_bytes", "words"]
 
 #: Words of a lower-cased UTF-8 text: ASCII letters, digits, and everything beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
+def lowered(raw: bytes) -> bytes:
+    """UTF-8 with A-Z lower-cased, and nothing else."""
+    return raw.translate(_LOWER)
+
+
 def words(text: str | bytes | None) -> list[bytes]:
     """A-Z lower-cased words, as UTF-8. None and empty texts have none."""
     if not text:
         return []
     raw = text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
-    return WORD.findall(raw.translate(_LOWER))
+    return WORD.findall(lowered(raw))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

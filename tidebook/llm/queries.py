@@ -18,6 +18,7 @@ from .neardup import near_duplicates
 from .secretscan import digest_text, scan_secrets
 from .sharding import shard_documents
 from .urlfilter import filter_urls
+from .variants import spelling_variants
 
 #: The filter list of op3: verdict and `host/path`.
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -100,6 +101,10 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return few_files(spelling_variants(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_jump_sharding": op2_jump_sharding,
@@ -111,10 +116,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_toxicity_fm": op9_toxicity_fm,
     "op10_compression_quality": op10_compression_quality,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 _TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*t) for t in TEMPLATES)
 
+
+def _checksum_step(x: int) -> int:
+    """What crc32 makes of the lowest four bits."""
+    for _ in range(4):
+        x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+    return x
+
+
+def crc32_sql(blob: str) -> str:
+    """The unsigned crc32 of a blob in SQL: over the hexadecimal digits, the lower one of a byte first."""
+    digits = f"list_transform(range(2 * octet_length({blob})), lambda i: strpos('0123456789ABCDEF', hex({blob})[xor(i, 1) + 1]) - 1)"
+    steps = [_checksum_step(i) for i in range(16)]
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda c, x: xor(c >> 4, {steps}[(xor(c, x) & 15) + 1])), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": rf"""
         WITH tpl AS (SELECT license, t AS term, count(*) AS c
@@ -254,4 +275,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near
         FROM dw LEFT JOIN hit USING (r) LEFT JOIN it USING (r) LEFT JOIN nr USING (r)""",
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE run AS (
+          SELECT doc_id, w, encode(concat(doc_id, ':', w)) AS b, count(*) AS c
+          FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents)
+          GROUP BY ALL),
+        h AS (SELECT w, c, {crc32_sql("b")} AS h FROM run),
+        v AS MATERIALIZED (
+          SELECT * FROM (SELECT CASE WHEN h % 97 = 0 THEN concat(w[1:h % length(w)], w[h % length(w) + 2:]) ELSE w END AS word, CAST(sum(c) AS BIGINT) AS n
+                         FROM h GROUP BY ALL) WHERE length(word) >= 5 AND n >= 3),
+        del AS MATERIALIZED (SELECT word, n, i, concat(word[1:i], word[i + 2:]) AS rest FROM v, unnest(range(length(word))) t(i)),
+        near AS (
+          SELECT a.word, b.word AS other, b.n FROM del a JOIN del b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT v.word, d.word, d.n FROM v JOIN del d ON d.rest = v.word
+          UNION SELECT d.word, v.word, v.n FROM v JOIN del d ON d.rest = v.word),
+        best AS (SELECT word, count(*) AS n_near, min((-n, other)) AS b FROM near GROUP BY word),
+        f AS MATERIALIZED (
+          SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * n THEN b[2] END AS form, CASE WHEN -b[1] >= 2 * n THEN -b[1] END AS form_n
+          FROM v LEFT JOIN best USING (word)),
+        up(word, root) AS (SELECT word, word FROM f UNION SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n
+        FROM f JOIN up USING (word) JOIN f last ON last.word = up.root WHERE last.form IS NULL""",
 }
