@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..store import few_files
 from . import quality, toxicity
 from ._common import held_out, read, stored
+from .codes import vector_codes
 from .decontam import decontaminate
 from .exactdedup import exact_dedup
 from .licenses import LEAST, TEMPLATES, scan_licenses
@@ -105,6 +106,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few_files(spelling_variants(read(spark, sf_dir, "documents")))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return few_files(vector_codes(read(spark, sf_dir, "embeddings"))).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_jump_sharding": op2_jump_sharding,
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity_fm": op9_toxicity_fm,
     "op10_compression_quality": op10_compression_quality,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*t) for t in TEMPLATES)
@@ -136,6 +142,36 @@ def crc32_sql(blob: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda c, x: xor(c >> 4, {steps}[(xor(c, x) & 15) + 1])), 4294967295)"
 
 
+def vector_codes_sql(rounds: int = 4) -> str:
+    """The codes in SQL: every part against every entry of its codebook, round by round."""
+    steps = """
+        WITH e AS MATERIALIZED (
+          SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+        p AS MATERIALIZED (SELECT r, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS x FROM e, range(4) t(part)),
+        b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x FROM p WHERE r <= 256)"""
+    for i in range(rounds + 1):
+        steps += f""",
+        a{i} AS MATERIALIZED (
+          SELECT r, p.part, min((CAST(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), entry)) AS near
+          FROM p JOIN b{i} b ON b.part = p.part GROUP BY ALL)"""
+        if i < rounds:
+            steps += f""",
+        m{i} AS (
+          SELECT part, entry, list(mean ORDER BY i) AS x
+          FROM (SELECT part, near[2] AS entry, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS mean
+                FROM a{i} JOIN p USING (r, part), unnest(range(1, len(x) + 1)) t(i) GROUP BY ALL)
+          GROUP BY part, entry),
+        b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m USING (part, entry))"""
+    return f"""{steps},
+        c AS (
+          SELECT r, string_agg(lpad(lower(to_hex(near[2])), 2, '0'), '' ORDER BY part) AS code, CAST(sum(near[1]) AS BIGINT) AS error
+          FROM a{rounds} GROUP BY r)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+        FROM e JOIN c USING (r)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": rf"""
         WITH tpl AS (SELECT license, t AS term, count(*) AS c
@@ -297,4 +333,5 @@ ORACLE_SQL: dict[str, str] = {
         up(word, root) AS (SELECT word, word FROM f UNION SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
         SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n
         FROM f JOIN up USING (word) JOIN f last ON last.word = up.root WHERE last.form IS NULL""",
+    "op13_vector_codes": vector_codes_sql(),
 }
