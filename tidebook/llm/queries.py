@@ -16,6 +16,7 @@ from .exactdedup import exact_dedup
 from .licenses import LEAST, TEMPLATES, scan_licenses
 from .mixing import mixed_order, plan_mix
 from .neardup import near_duplicates
+from .rules import judge_quality
 from .secretscan import digest_text, scan_secrets
 from .sharding import shard_documents
 from .urlfilter import filter_urls
@@ -106,6 +107,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few_files(spelling_variants(read(spark, sf_dir, "documents")))
 
 
+def op12_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(read(spark, sf_dir, "documents"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", "votes"]
+    return few_files(judged).select(*columns)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few_files(vector_codes(read(spark, sf_dir, "embeddings"))).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
@@ -122,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity_fm": op9_toxicity_fm,
     "op10_compression_quality": op10_compression_quality,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_weak_quality": op12_weak_quality,
     "op13_vector_codes": op13_vector_codes,
 }
 
