@@ -47,6 +47,70 @@ def test_normalize_is_incremental(spark, tmp_path):
     assert normalize.read_table(spark, out, "asset_ctx").count() == 0
 
 
+def test_a_dead_job_leaves_the_tables_as_they_were(spark, tmp_path):
+    """Killed between any two steps, readers see the old tables, never half of the new ones; run again, all of them."""
+    log, out = tmp_path / "raw", str(tmp_path / "out")
+    rows = lambda: {t: sorted(map(str, normalize.read_table(spark, out, t).collect())) for t in normalize.TABLES}
+    put(log / "20240101" / "00.jsonl", L2, TRADES)
+    normalize.normalize(spark, str(log), out)
+    for n in range(1, 4):
+        put(log / "20240101" / "00.jsonl", *[L2] * (n + 1), TRADES, CTX)
+        put(log / "20240101" / f"0{n}.jsonl", L2, POLL)
+        before, kept, step, seen = rows(), normalize.read_table(spark, out, "l2book"), 0, []
+        while "commit" not in seen[-1:]:
+            step, seen = step + 1, []
+            for name in normalize.steps(spark, str(log), out, normalize.Outcome()):
+                seen.append(name)
+                if len(seen) == step:
+                    break  # the job dies here
+            if seen[-1] != "commit":
+                assert rows() == before
+        assert seen == ["raw", "l2book", "trades", "asset_ctx", "predicted_funding", "commit"]
+        now = rows()
+        assert {t: len(v) for t, v in now.items()} == {"l2book": n + 1 + n, "trades": 3, "asset_ctx": 1, "predicted_funding": n}
+        assert kept.count() == len(before["l2book"])  # a reader that began before goes on with what it saw
+    assert normalize.vacuum(spark, out, keep=1) > 0 and rows() == now
+    assert normalize.vacuum(spark, out, keep=1) == 0 and normalize.commits(normalize.Files(spark), out) == [4]
+
+
+def test_two_jobs_do_not_make_the_same_commit(spark, tmp_path):
+    log, out = tmp_path / "raw", str(tmp_path / "out")
+    put(log / "20240101" / "00.jsonl", L2)
+    slow = normalize.steps(spark, str(log), out, normalize.Outcome())
+    next(slow)
+    normalize.normalize(spark, str(log), out)
+    with pytest.raises(RuntimeError):
+        list(slow)
+    assert normalize.read_table(spark, out, "l2book").count() == 1
+
+
+def test_statistics_of_row_groups_skip_other_coins(spark, tmp_path):
+    """An hour is many tasks and is sorted by coin: a scan for one coin has its filter pushed down and reads a part of the rows."""
+    coins, n = [f"C{i:02d}" for i in range(16)], 400
+    times = 1_704_067_200_000
+    book = lambda c, i: {"recv_ts_ns": (times + i) * 1_000_000, "channel": "l2Book", "data": {"coin": c, "time": times + i, "levels": [[{"px": str(100 - k + i / 7), "sz": "1", "n": 1} for k in range(20)]] * 2}}
+    put(tmp_path / "raw" / "20240101" / "00.jsonl", *[book(c, i) for i in range(n) for c in coins])
+    out = str(tmp_path / "out")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        normalize.normalize(spark, str(tmp_path / "raw"), out)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    files = list((tmp_path / "out" / "l2book").rglob("*.parquet"))
+    assert len(files) > 1
+    df = normalize.read_table(spark, out, "l2book", ["C03"])
+    plan = df._jdf.queryExecution().executedPlan()
+    assert "EqualTo(coin,C03)" in plan.toString() and df.collect() and df.count() == n
+    scan = plan
+    df._jdf.queryExecution().toRdd().count()
+    while not scan.children().isEmpty():
+        scan = scan.children().head()
+    read = scan.metrics().get("numOutputRows").get().value()
+    assert n <= read < n * len(coins) / 3, (read, len(files))
+
+
 class Socket:
     """Breaks after each list of replies but the last, which times out."""
 
@@ -117,6 +181,54 @@ def test_a_batch_that_is_planned_again_has_its_rows():
     assert list(reader.readBetweenOffsets({"n": 0}, end)) == [] and list(reader.readBetweenOffsets(end, last)) == list(more)
 
 
+def trade(i):
+    return json.dumps({"channel": "trades", "data": [i]})
+
+
+def test_a_new_process_gets_every_synced_row_once(tmp_path):
+    options = {"url": "ws://x", "coins": "BTC", "connect": f"{__name__}:Socket", "most": "4", "journal": str(tmp_path)}
+    Socket.script = [[trade(i) for i in range(10)]]
+    reader = capture.FeedReader(options)
+    first, end = reader.read(reader.initialOffset())
+    planned, last = reader.read(end)  # planned, and then the process dies before it is committed
+    first, planned = list(first), list(planned)
+    reader.commit(end)
+    reader._receive(100)  # received and synced, but in no batch yet
+    Socket.script = [[trade(i) for i in range(10, 12)]]
+    again = capture.FeedReader(options)
+    assert list(again.readBetweenOffsets(end, last)) == planned
+    left, upto = again.read(last)
+    left = list(left)
+    new, _ = again.read(upto)
+    assert [json.loads(r[2])[0] for r in first + planned + left + list(new)] == list(range(12))
+
+
+def test_journal_cuts_torn_rows_and_forgets_files(tmp_path):
+    now = [0.0]
+    j = capture.Journal(str(tmp_path / "a"), sync_rows=3, sync_s=5.0, file_rows=4, clock=lambda: now[0])
+    for i in range(9):
+        assert j.append((i, "é")) == i + 1
+    assert j.syncs == 2 + 2  # every third row, and when a file is full
+    now[0] = 6.0
+    j.append((9, "é"))
+    assert j.syncs == 5 and j.unsynced == 0
+    with open(tmp_path / "a" / f"{8:020d}.jsonl", "ab") as f:
+        f.write(b'[10, "torn')
+    k = capture.Journal(str(tmp_path / "a"))
+    assert (k.first, k.next) == (0, 10) and list(k.rows(3, 10)) == [(i, "é") for i in range(3, 10)]
+    k.append((10, "ü"))
+    k.forget(8)
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == [f"{8:020d}.jsonl", f"{10:020d}.jsonl"] and list(k.rows(8, 11))[-1] == (10, "ü")
+    with pytest.raises(RuntimeError):
+        list(k.rows(7, 9))
+    k.forget(11)
+    k.close()
+    assert capture.Journal(str(tmp_path / "a")).next == 11  # the numbers go on
+    (tmp_path / "a" / f"{20:020d}.jsonl").write_text("[20]\n")
+    with pytest.raises(RuntimeError):
+        capture.Journal(str(tmp_path / "a"))
+
+
 def test_polls_are_due_after_a_while():
     reader = capture.PollStream({"url": "u", "coins": "BTC", "fetch": f"{__name__}:fetched", "every_s": "3600"})
     rows, end = reader.read({"n": 0})

@@ -26,11 +26,13 @@ CONTROLS = ["spread_bps", "realized_vol", "momentum"]
 
 def collect(spark: SparkSession, s: config.Settings, rest_url: str, seconds: float | None = None, **options: str) -> list[dict]:
     """Records the feed and the funding polls to data_dir/raw until the time is over, or for ever. Returns the queries'
-    last progress."""
+    last progress. What was received and is not yet in the log outlives the process in data_dir/raw/_journal, where data_dir
+    is a folder of the driver's file system; elsewhere the option journal names one."""
     for source in (capture.MarketFeed, capture.FundingPoll):
         spark.dataSource.register(source)
     c, root = s.capture, f"{s.capture.data_dir}/raw"
-    common = {"coins": ",".join(s.symbols)} | options
+    own = {} if "://" in root else {"journal": f"{root}/_journal"}
+    common = {"coins": ",".join(s.symbols)} | own | options
     feed = {"url": c.ws_url, "ping_s": str(c.ping_s), "backoff_base_s": str(c.backoff_base_s), "backoff_max_s": str(c.backoff_max_s), "jitter_s": str(c.jitter_s), "gap_s": str(c.gap_s)}
     streams = [spark.readStream.format("market_feed").options(**common, **feed).load(), spark.readStream.format("funding_poll").options(**common, url=rest_url).load()]
     running = [capture.record(m, f"{root}/{n}", f"{root}/_checkpoints/{n}") for n, m in zip(("feed", "funding"), streams, strict=True)]

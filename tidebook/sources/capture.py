@@ -2,6 +2,10 @@
 
 Both sources are Python Data Sources. The connection is made by a factory named `module:function`, so
 that tests, and other feeds, bring their own; the default one needs the `websockets` package.
+
+A socket cannot be read again, so what comes from it is written down first: with the option `journal`, a folder,
+rows are appended to files there and synced to disk before any batch is planned with them, and stay until their batch is
+committed. A process that is started again goes on with the rows that are there.
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from __future__ import annotations
 import importlib
 import json
 import logging
+import os
 import random
 import time
 import urllib.request
@@ -133,46 +138,167 @@ def _factory(name: str) -> Callable:
 
 
 def websocket(url: str):
-    """The default connection."""
+    """The default connection. The client's own keepalive is off: the feed pings by itself."""
     from websockets.sync.client import connect
 
-    return connect(url)
+    return connect(url, ping_interval=None)
+
+
+class Journal:
+    """Numbered rows in files of a folder, each from its number on: `00000000000000000042.jsonl` begins with row 42. `append`
+    returns the number after the last; rows are safe after `sync`, which append calls by itself after `sync_rows` of them or
+    `sync_s` seconds. What a torn write left of a row at the end is cut off when the folder is opened again. One process
+    writes at a time; the folder is on a disk that outlives it."""
+
+    def __init__(self, folder: str, sync_rows: int = 200, sync_s: float = 2.0, file_rows: int = 10_000, clock: Callable[[], float] = time.monotonic):
+        self.folder, self.sync_rows, self.sync_s, self.file_rows, self.clock = folder, sync_rows, sync_s, file_rows, clock
+        os.makedirs(folder, exist_ok=True)
+        self.file, self.unsynced, self.synced_at, self.syncs = None, 0, clock(), 0
+        starts = self._starts()
+        self.first = self.next = starts[0] if starts else 0
+        for start in starts:
+            good, size = 0, 0
+            with open(self._path(start), "rb") as f:
+                for line in f:
+                    if not line.endswith(b"\n"):
+                        break
+                    good, size = good + 1, size + len(line)
+            if start != self.next:
+                raise RuntimeError(f"rows {self.next} to {start} are missing in {folder}")
+            if size < os.path.getsize(self._path(start)):
+                os.truncate(self._path(start), size)
+            self.next = start + good
+
+    def _path(self, start: int) -> str:
+        return os.path.join(self.folder, f"{start:020d}.jsonl")
+
+    def _starts(self) -> list[int]:
+        return sorted(int(x[:-6]) for x in os.listdir(self.folder) if x.endswith(".jsonl"))
+
+    def append(self, row: tuple) -> int:
+        if self.file is None or self.next - self.began >= self.file_rows:
+            self.close()
+            self.began = self.next
+            self.file = open(self._path(self.next), "ab")
+            folder = os.open(self.folder, os.O_RDONLY)
+            try:
+                os.fsync(folder)  # the file's name is on disk too
+            finally:
+                os.close(folder)
+        self.file.write(json.dumps(row).encode() + b"\n")
+        self.next += 1
+        self.unsynced += 1
+        if self.unsynced >= self.sync_rows or self.clock() - self.synced_at >= self.sync_s:
+            self.sync()
+        return self.next
+
+    def sync(self) -> None:
+        if self.file is not None and self.unsynced:
+            self.file.flush()
+            os.fsync(self.file.fileno())
+            self.syncs += 1
+        self.unsynced, self.synced_at = 0, self.clock()
+
+    def close(self) -> None:
+        self.sync()
+        if self.file is not None:
+            self.file.close()
+        self.file = None
+
+    def rows(self, start: int, end: int) -> Iterator[tuple]:
+        """The rows from start to before end; an error where some of them are gone."""
+        if start < end and (start < self.first or end > self.next):
+            raise RuntimeError(f"rows {start} to {end} are asked of {self.folder}, which has {self.first} to {self.next}")
+        if self.file is not None:
+            self.file.flush()
+        starts = self._starts()
+        for begin, after in zip(starts, [*starts[1:], self.next], strict=True):
+            if begin < end and after > start:
+                with open(self._path(begin), encoding="utf-8") as f:
+                    for n, line in enumerate(f, begin):
+                        if start <= n < end:
+                            yield tuple(json.loads(line))
+
+    def forget(self, end: int) -> None:
+        """Rows before end are not needed any more: files that have no later ones go, but for the last, which tells the numbers."""
+        starts = self._starts()
+        for begin, after in zip(starts, starts[1:], strict=False):
+            if after <= end:
+                os.remove(self._path(begin))
+                self.first = after
+
+
+class Held:
+    """The same without a folder, for sources that need not outlive the process."""
+
+    def __init__(self) -> None:
+        self.kept: list[tuple] = []
+        self.first = self.next = 0
+
+    def append(self, row: tuple) -> int:
+        self.kept.append(row)
+        self.next += 1
+        return self.next
+
+    def sync(self) -> None:
+        pass
+
+    def rows(self, start: int, end: int) -> Iterator[tuple]:
+        return iter(self.kept[max(0, start - self.first) : max(0, end - self.first)])
+
+    def forget(self, end: int) -> None:
+        self.kept, self.first = self.kept[max(0, end - self.first) :], max(end, self.first)
+
+
+def journal(options: dict[str, str], name: str) -> Journal | Held:
+    folder = options.get("journal")
+    if folder is None:
+        return Held()
+    return Journal(os.path.join(folder, name), int(options.get("sync_rows", 200)), float(options.get("sync_s", 2)))
 
 
 class FeedReader(SimpleDataSourceStreamReader):
-    """A batch is what came since the last one. The socket cannot be read again, so received rows are held until
-    the query commits them, and a batch that is planned again within the process gets the same rows. What was received
-    but not yet in the log when the process ends is lost: at most once up to the log, exactly once from there."""
+    """A batch is what came since the last one, `most` rows at most. Rows are numbered as they are received, and a batch is
+    a range of numbers, so one that is planned again has the same rows. With the option `journal` they are on disk before
+    the batch is planned, and a reader in a new process first hands on those that were received and not yet planned: every
+    row that was synced is in the log once. Without it they are held, and what was not yet in the log is lost when the process ends."""
 
     def __init__(self, options: dict[str, str]):
         self.options, self.feed = options, None
-        self.held: list[tuple[int, tuple]] = []
+        self.journal = journal(options, "feed")
 
     def initialOffset(self) -> dict:
-        return {"n": 0}
+        return {"n": self.journal.first}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        most = int(self.options.get("most", 10_000))
+        if start["n"] >= self.journal.next:  # all that was received is planned
+            self._receive(most)
+        end = min(self.journal.next, start["n"] + most)
+        return self.journal.rows(start["n"], end), {"n": max(end, start["n"])}
+
+    def _receive(self, most: int) -> None:
         if self.feed is None:
             o = self.options
             connect = _factory(o.get("connect", "tidebook.sources.capture:websocket"))
             backoff = Backoff(float(o.get("backoff_base_s", 1)), float(o.get("backoff_max_s", 60)), float(o.get("jitter_s", 1)))
             gap_ms = int(1000 * float(o.get("gap_s", 15)))
             self.feed = Feed(connect, o["url"], o["coins"].split(","), float(o.get("ping_s", 20)), backoff, gap_ms=gap_ms)
-        rows = list(self.feed.poll(int(self.options.get("most", 10_000)), float(self.options.get("timeout_s", 1))))
+        for row in self.feed.poll(most, float(self.options.get("timeout_s", 1))):
+            self.journal.append(row)
+        self.journal.sync()
         log.info("%s", self.feed.status())
-        self.held += [(start["n"] + i, row) for i, row in enumerate(rows)]
-        return iter(rows), {"n": start["n"] + len(rows)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([row for n, row in self.held if start["n"] <= n < end["n"]])
+        return self.journal.rows(start["n"], end["n"])
 
     def commit(self, end: dict) -> None:
-        self.held = [(n, row) for n, row in self.held if n >= end["n"]]
+        self.journal.forget(end["n"])
 
 
 class MarketFeed(DataSource):
     """spark.readStream.format("market_feed") with options url, coins, ping_s, connect, backoff_base_s,
-    backoff_max_s, jitter_s, gap_s."""
+    backoff_max_s, jitter_s, gap_s, journal, sync_rows, sync_s."""
 
     @classmethod
     def name(cls) -> str:
@@ -203,32 +329,34 @@ class PollReader(DataSourceReader):
 
 
 class PollStream(SimpleDataSourceStreamReader):
-    """A poll every every_s seconds; micro-batches in between are empty."""
+    """A poll every every_s seconds; micro-batches in between are empty. Polls are journaled as a feed's rows are."""
 
     def __init__(self, options: dict[str, str]):
         self.reader, self.every, self.next_ = PollReader(options), float(options.get("every_s", 60)), 0.0
-        self.held: dict[int, list[tuple]] = {}
+        self.journal = journal(options, "polls")
 
     def initialOffset(self) -> dict:
-        return {"n": 0}
+        return {"n": self.journal.first}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        if time.monotonic() < self.next_:
-            return iter(()), start
-        self.next_ = time.monotonic() + self.every
-        self.held[start["n"]] = list(self.reader.read(None))
-        return iter(self.held[start["n"]]), {"n": start["n"] + 1}
+        if start["n"] >= self.journal.next and time.monotonic() >= self.next_:
+            self.next_ = time.monotonic() + self.every
+            for row in self.reader.read(None):
+                self.journal.append(row)
+            self.journal.sync()
+        end = max(self.journal.next, start["n"])
+        return self.journal.rows(start["n"], end), {"n": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([row for n in range(start["n"], end["n"]) for row in self.held.get(n, [])])
+        return self.journal.rows(start["n"], end["n"])
 
     def commit(self, end: dict) -> None:
-        self.held = {n: rows for n, rows in self.held.items() if n >= end["n"]}
+        self.journal.forget(end["n"])
 
 
 class FundingPoll(DataSource):
     """format("funding_poll") with options url, coins, fetch: one poll per spark.read, and one every every_s
-    seconds on spark.readStream."""
+    seconds on spark.readStream, journaled with the option journal."""
 
     @classmethod
     def name(cls) -> str:
