@@ -103,9 +103,25 @@ def test_quotes(spark):
     assert q(1, False).bid_sz == 0.0 and q(-1, False).ask_sz == 0.0 and q(0, True).bid_px is None and q(0, None).bid_sz == 0.5
 
 
-def test_tails():
-    assert tails.binomial_two_sided(223, 278) == pytest.approx(3.685261455214846e-25, rel=1e-9)
-    assert tails.binomial_two_sided(5, 10) == 1.0 and tails.binomial_two_sided(0, 0) is None
-    assert tails.correlation_p(0.36306433582563885, 873) == pytest.approx(1.3617509011686383e-28, rel=1e-9)
-    assert tails.t_two_sided(1.0, 1) == pytest.approx(0.5) and tails.normal_two_sided(1.959963984540054) == pytest.approx(0.05)
-    assert math.isclose(tails.beta_inc(2, 3, 0.5), 0.6875)
+def test_tails(spark):
+    """Two-sided tails against exact sums, closed forms and values of published tables, on either side of every switch."""
+    value = lambda c: spark.range(1).select(c.alias("v")).first().v
+    lit = lambda *v: [F.lit(x) for x in v]
+    for x in (0.5, 1.0, 3.25, 40.0, 1e6):
+        assert value(tails.log_gamma(x)) == pytest.approx(math.lgamma(x), rel=1e-13, abs=1e-13)
+    assert value(tails.log_gamma_step(1e9, 0.5)) == pytest.approx(0.5 * math.log(1e9) - 1 / 8e9, rel=1e-14)
+    assert value(tails.beta_inc(2.0, 3.0, 0.5)) == pytest.approx(0.6875) and value(tails.beta_inc(2.0, 3.0, 0.0)) == 0.0 and value(tails.beta_inc(2.0, 3.0, 1.0)) == 1.0
+    for x in (0.0, 0.3, 1.0, 1.999, 2.0, 3.5, 8.0):
+        assert value(tails.erfc(x)) == pytest.approx(math.erfc(x), rel=1e-11)
+    for hits, n in ((223, 278), (8, 10), (0, 5), (4, 9), (5020, 10_000)):
+        exact = min(1.0, 2 * sum(math.comb(n, i) for i in range(min(hits, n - hits) + 1)) / 2**n)
+        assert value(tails.binomial_two_sided(*lit(hits, n))) == pytest.approx(exact, rel=1e-9)
+    assert value(tails.binomial_two_sided(*lit(5, 10))) == 1.0 and value(tails.binomial_two_sided(*lit(0, 0))) is None
+    assert value(tails.correlation_p(*lit(0.36306433582563885, 873))) == pytest.approx(1.3617509011686383e-28, rel=1e-9)
+    assert value(tails.correlation_p(*lit(0.632, 10))) == pytest.approx(0.05, abs=2e-4)  # the 5 % point of r for 8 degrees
+    assert value(tails.correlation_p(*lit(1.0, 10))) == 0.0 and value(tails.correlation_p(*lit(0.0, 10))) == pytest.approx(1.0) and value(tails.correlation_p(*lit(0.5, 2))) is None
+    for t, df in ((2.228, 10), (1.0, 1)):
+        assert value(tails.t_two_sided(*lit(t, df))) == pytest.approx({10: 0.05, 1: 0.5}[df], abs=2e-5)
+    assert value(tails.t_two_sided(*lit(4.587, 10))) == pytest.approx(0.001, abs=2e-6) and value(tails.t_two_sided(*lit(1.0, 0))) is None
+    assert value(tails.t_two_sided(*lit(1.959963984540054, 10**9))) == pytest.approx(0.05, rel=1e-7)  # near the normal distribution
+    assert value(tails.normal_two_sided(F.lit(-1.959963984540054))) == pytest.approx(0.05)

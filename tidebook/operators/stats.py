@@ -1,12 +1,12 @@
 """Statistics of signals against forward returns, all coins at once.
 
 Input is long: one row per (coin, feature, horizon, time) with x (the signal) and y (the return). Moments
-are aggregated in Spark; what comes out has a row per (coin, feature, horizon).
+are aggregated, and p-values, normal equations and covariances are columns over them: what comes out is a DataFrame with a row
+per (coin, feature, horizon), and nothing goes through the driver.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,12 +46,26 @@ def _corr(x: str, y: str) -> Column:
     return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0) & (F.count(F.lit(1)) >= 10), F.corr(x, y))
 
 
-def information_coefficient(cells: DataFrame) -> DataFrame:
-    """n, pearson and spearman per cell, over pairs without nulls; null below 10 pairs or without spread.
-    Ranks of a cell's values come from their counts, in blocks."""
-    pairs = stored(cells.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*CELL, plain("x").alias("x"), plain("y").alias("y")), "pairs")
-    ranked = average_rank(average_rank(pairs, "x"), "y", pairs)
-    return ranked.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), _corr("x", "y").alias("pearson"), _corr("x_rank", "y_rank").alias("spearman"))
+def information_coefficient(cells: DataFrame, time: str = "exch_time_ms") -> DataFrame:
+    """n, pearson and spearman per cell with their p-values, over pairs without nulls; null below 10 pairs or without
+    spread. Ranks of values come from their counts, in blocks.
+
+    A feature has the same ranks at two horizons if the same times have pairs there, and so have the returns of a horizon with two
+    features. Cells are told by their number of pairs and a hash over their times, and each such set is ranked once.
+    """
+    pairs = stored(cells.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*CELL, time, plain("x").alias("x"), plain("y").alias("y")), "pairs")
+    sets = stored(pairs.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64(time)).alias("_times")), "sets")
+    first = lambda c, *by: F.min(c).over(Window.partitionBy(*by, "_n", "_times"))
+    # sets has a row per cell
+    sets = sets.withColumns({"_horizon": first("horizon_ms", "coin", "feature"), "_feature": first("feature", "coin", "horizon_ms")}).drop("_n", "_times")
+    told = pairs.drop(time).join(sets, CELL)
+    by_x, by_y = ["coin", "feature", "_horizon"], ["coin", "horizon_ms", "_feature"]
+    ranked = told
+    for value, by, own in (("x", by_x, F.col("horizon_ms") == F.col("_horizon")), ("y", by_y, F.col("feature") == F.col("_feature"))):
+        ranks_ = value_ranks(told.where(own), value, by).select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"{value}_rank"))
+        ranked = ranked.join(ranks_, [*by, value])
+    out = ranked.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), _corr("x", "y").alias("pearson"), _corr("x_rank", "y_rank").alias("spearman"))
+    return out.withColumns({f"{c}_p": correlation_p(F.col(c), F.col("n")) for c in ("pearson", "spearman")})
 
 
 def plain(value: str) -> Column:
@@ -59,18 +73,12 @@ def plain(value: str) -> Column:
     return F.when(F.col(value) == 0, F.lit(0.0)).otherwise(F.col(value))
 
 
-def average_rank(df: DataFrame, value: str, among: DataFrame | None = None) -> DataFrame:
-    """df with {value}_rank: the mean rank of equal values within a cell, from 1. -0.0 and 0.0 are one value.
-    among: a table with the same cells and values that is cheaper to read than df, if there is one."""
-    ranks = value_ranks(df if among is None else among, value, CELL).select(*CELL, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"{value}_rank"))
-    return df.withColumn(value, plain(value)).join(ranks, [*CELL, value])
-
-
 def directional_accuracy(cells: DataFrame) -> DataFrame:
-    """hit_n, hits and hit_rate per cell, over pairs in which neither is null or 0."""
+    """hit_n, hits and hit_rate per cell, over pairs in which neither is null or 0, and the exact p-value of an even chance."""
     moved = cells.where((F.col("x") != 0) & (F.col("y") != 0))
     hits = F.sum((F.signum("x") == F.signum("y")).cast("long"))
-    return moved.groupBy(*CELL).agg(F.count(F.lit(1)).alias("hit_n"), hits.alias("hits")).withColumn("hit_rate", F.col("hits") / F.col("hit_n"))
+    out = moved.groupBy(*CELL).agg(F.count(F.lit(1)).alias("hit_n"), hits.alias("hits"))
+    return out.withColumns({"hit_rate": F.col("hits") / F.col("hit_n"), "hit_rate_p": binomial_two_sided(F.col("hits"), F.col("hit_n"))})
 
 
 def thresholds(train: DataFrame, quantile: float = 0.75) -> DataFrame:
@@ -81,7 +89,7 @@ def thresholds(train: DataFrame, quantile: float = 0.75) -> DataFrame:
 
 def net_of_cost(cells: DataFrame, limits: DataFrame, taker_bps: float) -> DataFrame:
     """Entering with the sign of x where |x| exceeds the threshold: net_n, mean net_bps after spread and
-    two taker fees, its share above 0 and t statistic (null below two rows or without spread)."""
+    two taker fees, its share above 0, t statistic and p-value (null below two rows or without spread)."""
     taken = cells.join(limits, ["coin", "feature"]).where((F.abs("x") > F.col("threshold")) & F.col("y").isNotNull() & F.col("spread_bps").isNotNull())
     net = F.col("y") * 10_000 * F.signum("x") - (F.col("spread_bps") + 2 * taker_bps)
     out = taken.withColumn("_net", net).groupBy(*CELL).agg(
@@ -90,7 +98,8 @@ def net_of_cost(cells: DataFrame, limits: DataFrame, taker_bps: float) -> DataFr
         F.avg((F.col("_net") > 0).cast("double")).alias("net_pct_positive"),
         F.stddev_samp("_net").alias("_sd"),
     )
-    return out.withColumn("net_t", F.when(F.col("_sd") > 0, F.col("net_mean_bps") / (F.col("_sd") / F.sqrt("net_n")))).drop("_sd")
+    out = out.withColumn("net_t", F.when(F.col("_sd") > 0, F.col("net_mean_bps") / (F.col("_sd") / F.sqrt("net_n")))).drop("_sd")
+    return out.withColumn("net_p", t_two_sided(F.col("net_t"), F.col("net_n") - 1))
 
 
 def maxlags(horizon_ms: Column, interval_ms: Column) -> Column:
@@ -98,61 +107,77 @@ def maxlags(horizon_ms: Column, interval_ms: Column) -> Column:
     return F.when(interval_ms <= 0, F.lit(1)).otherwise(F.least(F.lit(500), F.greatest(F.lit(1), F.ceil(horizon_ms / interval_ms)))).cast("int")
 
 
-def hac_regression(cells: DataFrame, controls: list[str], lags: DataFrame) -> list[dict]:
-    """Least squares of y on a constant, x and the controls, with Newey-West errors, per cell.
+def inverse(matrix: Column, k: int, least: float = 1e-12) -> Column:
+    """The inverse of a symmetric positive k by k matrix, both as arrays of rows, by Gauss-Jordan elimination on the matrix
+    scaled to a diagonal of ones; null where a pivot is below `least`: its columns depend on each other."""
+    width = 2 * k
+    at = lambda m, i: F.get(m, i.cast("int") if isinstance(i, Column) else F.lit(i))
+    roots = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.sqrt(at(matrix, i * (k + 1))))
+
+    def scaled(p: Column) -> Column:
+        m, d = p["m"], p["d"]
+        cell = lambda i, j: at(m, i * k + j) / (at(d, i) * at(d, j)) if j < k else F.lit(float(j - k == i))
+        start = F.array(*[cell(i, j) for i in range(k) for j in range(width)])
+
+        def eliminated(m: Column, pivot: Column) -> Column:
+            lead = at(m, pivot * (width + 1))
+
+            def cell(v: Column, i: Column) -> Column:
+                row = ((i - i % width) / width).cast("int")
+                own = at(m, pivot * width + i % width) / lead
+                return F.when(row == pivot, own).otherwise(v - at(m, row * width + pivot) * own)
+
+            return F.when(lead > least, F.transform(m, cell))
+
+        done = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), start, eliminated)
+        cells = lambda m: F.array(*[at(m, i * width + k + j) / (at(d, i) * at(d, j)) for i in range(k) for j in range(k)])
+        return F.when(done.isNotNull(), F.get(F.transform(F.array(done), cells), F.lit(0)))
+
+    usable = F.forall(roots, lambda d: d > 0)
+    return F.when(usable, F.get(F.transform(F.array(F.struct(matrix.alias("m"), roots.alias("d"))), scaled), F.lit(0)))
+
+
+def hac_regression(cells: DataFrame, controls: list[str], lags: DataFrame) -> DataFrame:
+    """Least squares of y on a constant, x and the controls, with Newey-West errors: per cell n, r2, lags, and the arrays beta,
+    t and p (normal), the constant first, then x and the controls.
 
-    The normal equations are sums; so is the Bartlett-weighted covariance of the scores s_t, as
+    The normal equations are sums, and solved as columns; so is the Bartlett-weighted covariance of the scores s_t, as
     1/(L+1) * sum of M M' over all sums M of L+1 consecutive scores of a series padded with L zeros: these
-    are differences of running sums, which are taken in blocks. So there are two passes of aggregates, and what is solved on the driver has a row per cell. `lags`:
-    (coin, horizon_ms, lags). Cells with too few rows give nulls.
+    are differences of running sums, which are taken in blocks. So there are two passes of aggregates. `lags`:
+    (coin, horizon_ms, lags). Cells with fewer than max(30, 5 per coefficient) rows, or whose columns depend on each other, give nulls.
     """
     names = ["const", "x", *controls]
     k = len(names)
     design = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in names[1:]])
-    rows = stored(cells.dropna(subset=["x", "y", *controls]), "cells").withColumn("_d", design)
-    sums = [F.sum(F.col("_d")[i] * F.col("_d")[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
-    sums += [F.sum(F.col("_d")[i] * F.col("y")).alias(f"b{i}") for i in range(k)]
-    first = rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), *sums).collect()
-    solved: dict[tuple, dict] = {}
-    for r in first:
-        a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        out = {"n": r["n"], "names": names, "beta": None, "inverse": None, "r2": None}
-        if r["n"] >= max(30, 5 * k) and np.linalg.matrix_rank(a) == k:
-            b = np.array([r[f"b{i}"] for i in range(k)])
-            beta = np.linalg.solve(a, b)
-            total = r["syy"] - r["sy"] ** 2 / r["n"]
-            out |= {"beta": beta, "inverse": np.linalg.inv(a), "r2": 1 - float(r["syy"] - beta @ b) / total if total > 0 else None}
-        solved[tuple(r[c] for c in CELL)] = out
-    known = [(*key, o["n"], [float(v) for v in o["beta"]]) for key, o in solved.items() if o["beta"] is not None]
-    if known:
-        betas = cells.sparkSession.createDataFrame(known, "coin string, feature string, horizon_ms long, _n long, _beta array<double>")
-        scored = rows.join(betas, CELL).join(lags, ["coin", "horizon_ms"])
-        error = F.col("y") - F.aggregate(F.zip_with("_d", "_beta", lambda d, c: d * c), F.lit(0.0), lambda acc, v: acc + v)
-        scored = scored.withColumn("_e", error).withColumn("_cell", F.concat_ws("|", *CELL))
-        scores = {f"c{i}": F.col("_d")[i] * F.col("_e") for i in range(k)}
-        total = running(scored.select("_cell", *CELL, "exch_time_ms", "lags", "_n", "_d", "_e"), {"_i": F.lit(1).cast("long")} | scores, key="_cell")
-        total = total.select("_cell", *CELL, "lags", "_n", "_i", *scores)
-        lagged = total.select("_cell", (F.col("_i") + F.col("lags") + 1).alias("_i"), *[F.col(c).alias(f"l{c}") for c in scores])
-        joined = total.join(lagged, ["_cell", "_i"], "left")
-        m = [F.col(c) - F.coalesce(f"l{c}", F.lit(0.0)) for c in scores]
-        # the scores of a least-squares fit sum to 0, so a sum that runs past the end is minus what came before it
-        past = (F.col("_i") >= F.col("_n") - F.col("lags")) & (F.col("_i") < F.col("_n"))
-        tail = [F.when(past, F.col(c)).otherwise(F.lit(0.0)) for c in scores]
-        both = lambda i, j: (F.sum(m[i] * m[j]) + F.sum(tail[i] * tail[j])) / (F.first("lags") + 1)
-        products = joined.groupBy(*CELL).agg(F.first("lags").alias("lags"), *[both(i, j).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)])
-        for r in products.collect():
-            out = solved[tuple(r[c] for c in CELL)]
-            s = np.array([[r[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-            covariance = out["inverse"] @ s @ out["inverse"]
-            z = out["beta"] / np.sqrt(np.maximum(np.diag(covariance), 1e-300))
-            out |= {"t": z, "p": np.array([normal_two_sided(v) for v in z]), "lags": r["lags"]}
-    return [dict(zip(CELL, key, strict=True)) | o for key, o in solved.items()]
-
-
-def with_p_values(rows: list[dict]) -> list[dict]:
-    """Adds the p-values of the study's statistics; on the driver, for a row per cell."""
-    for r in rows:
-        r["pearson_p"], r["spearman_p"] = correlation_p(r["pearson"], r["n"]), correlation_p(r["spearman"], r["n"])
-        r["hit_rate_p"] = binomial_two_sided(r["hits"], r["hit_n"]) if r.get("hit_n") else None
-        r["net_p"] = t_two_sided(r["net_t"], r["net_n"] - 1) if r.get("net_t") is not None else None
-    return rows
+    rows = stored(cells.dropna(subset=["x", "y", *controls]).select(*CELL, "exch_time_ms", "y", design.alias("_d")), "cells")
+    d = [F.get("_d", F.lit(i)) for i in range(k)]
+    pair = lambda i, j: f"_a{min(i, j)}_{max(i, j)}"
+    sums = [F.sum(d[i] * d[j]).alias(pair(i, j)) for i in range(k) for j in range(i, k)] + [F.sum(d[i] * F.col("y")).alias(f"_b{i}") for i in range(k)]
+    first = rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("_sy"), F.sum(F.col("y") * F.col("y")).alias("_syy"), *sums)
+    square = lambda name: F.array(*[F.col(name(i, j)) for i in range(k) for j in range(k)])
+    first = first.withColumn("_inverse", F.when(F.col("n") >= max(30, 5 * k), inverse(square(pair), k)))
+    of = lambda c, i: F.get(c, F.lit(i))
+    beta = F.array(*[sum((of("_inverse", i * k + j) * F.col(f"_b{j}") for j in range(1, k)), of("_inverse", i * k) * F.col("_b0")) for i in range(k)])
+    first = first.withColumn("beta", F.when(F.col("_inverse").isNotNull(), beta))
+    total, fitted = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("n"), sum((of("beta", i) * F.col(f"_b{i}") for i in range(1, k)), of("beta", 0) * F.col("_b0"))
+    first = stored(first.withColumn("r2", F.when(total > 0, 1 - (F.col("_syy") - fitted) / total)).select(*CELL, "n", "beta", "r2", "_inverse"), "fits")
+    scored = rows.join(first.where("beta is not null").select(*CELL, F.col("n").alias("_n"), F.col("beta").alias("_beta")), CELL).join(lags, ["coin", "horizon_ms"])
+    error = F.col("y") - F.aggregate(F.zip_with("_d", "_beta", lambda d, c: d * c), F.lit(0.0), lambda acc, v: acc + v)
+    scored = scored.withColumn("_e", error).withColumn("_cell", F.concat_ws("|", *CELL))
+    scores = {f"c{i}": d[i] * F.col("_e") for i in range(k)}
+    running_ = running(scored.select("_cell", *CELL, "exch_time_ms", "lags", "_n", "_d", "_e"), {"_i": F.lit(1).cast("long")} | scores, key="_cell")
+    running_ = running_.select("_cell", *CELL, "lags", "_n", "_i", *scores)
+    lagged = running_.select("_cell", (F.col("_i") + F.col("lags") + 1).alias("_i"), *[F.col(c).alias(f"l{c}") for c in scores])
+    joined = running_.join(lagged, ["_cell", "_i"], "left")
+    m = [F.col(c) - F.coalesce(f"l{c}", F.lit(0.0)) for c in scores]
+    # the scores of a least-squares fit sum to 0, so a sum that runs past the end is minus what came before it
+    past = (F.col("_i") >= F.col("_n") - F.col("lags")) & (F.col("_i") < F.col("_n"))
+    tail = [F.when(past, F.col(c)).otherwise(F.lit(0.0)) for c in scores]
+    product = lambda i, j: f"_m{min(i, j)}_{max(i, j)}"
+    both = lambda i, j: (F.sum(m[i] * m[j]) + F.sum(tail[i] * tail[j])) / (F.first("lags") + 1)
+    products = joined.groupBy(*CELL).agg(F.first("lags").alias("lags"), *[both(i, j).alias(product(i, j)) for i in range(k) for j in range(i, k)])
+    found = first.join(products, CELL, "left")
+    variance = [sum((of("_inverse", i * k + a) * F.col(product(a, b)) * of("_inverse", b * k + i) for a in range(k) for b in range(k)), F.lit(0.0)) for i in range(k)]
+    t = F.array(*[of("beta", i) / F.sqrt(F.greatest(v, F.lit(1e-300))) for i, v in enumerate(variance)])
+    found = found.withColumn("t", F.when(F.col("beta").isNotNull(), t)).withColumn("p", F.transform("t", normal_two_sided))
+    return found.select(*CELL, "n", "lags", "r2", "beta", "t", "p")

@@ -9,10 +9,9 @@ from ..store import stored
 from . import asof, features, stats
 
 COLUMNS = (
-    "coin string, feature string, horizon_ms long, n long, pearson double, pearson_p double, spearman double, spearman_p double, hit_rate double, hit_rate_p double, "
-    "ols_beta double, ols_p double, ols_r2 double, ols_beta_ctrl double, ols_p_ctrl double, ols_r2_ctrl double, threshold double, net_mean_bps double, "
-    "net_pct_positive double, net_n long, net_p double"
-)
+    "coin", "feature", "horizon_ms", "n", "pearson", "pearson_p", "spearman", "spearman_p", "hit_rate", "hit_rate_p", "ols_beta", "ols_p", "ols_r2", "ols_beta_ctrl",
+    "ols_p_ctrl", "ols_r2_ctrl", "threshold", "net_mean_bps", "net_pct_positive", "net_n", "net_p",
+)
 
 
 def study(
@@ -28,8 +27,7 @@ def study(
     label: str = "mid",
 ) -> DataFrame:
     """Books of all coins to one row per (coin, feature, horizon) on the test split. Thresholds come from
-    the train split alone. Only rows per cell reach the driver, for p-values and the small solves."""
-    spark = books.sparkSession
+    the train split alone. Everything is a column of one DataFrame; stored are the features, the labelled table and the sums."""
     split = stats.chronological_split(stats.with_history(stored(features.feature_table(books, depths), "features"), least_rows), train_fraction)
     wide = stored(asof.forward_returns(split, horizons_ms, (label,)), "labelled")
     long = lambda df: stats.long_form(df, signals, horizons_ms, label, tuple(controls))
@@ -40,12 +38,8 @@ def study(
     lags = interval.select("coin", "median_interval_ms", h).select("coin", "horizon_ms", stats.maxlags(F.col("horizon_ms"), F.col("median_interval_ms")).alias("lags"))
     joined = stats.information_coefficient(test).join(stats.directional_accuracy(test), stats.CELL, "left")
     joined = joined.join(stats.net_of_cost(test, limits, taker_bps), stats.CELL, "left").join(limits, ["coin", "feature"], "left")
-    rows = {tuple(r[c] for c in stats.CELL): r.asDict() for r in joined.collect()}
-    stats.with_p_values(list(rows.values()))
     for used, suffix in (([], ""), (controls, "_ctrl")):
-        for o in stats.hac_regression(test, used, lags):
-            row = rows.get(tuple(o[c] for c in stats.CELL))
-            if row is not None and o["beta"] is not None:
-                row |= {f"ols_beta{suffix}": float(o["beta"][1]), f"ols_p{suffix}": float(o["p"][1]), f"ols_r2{suffix}": o["r2"]}
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
-    return spark.createDataFrame([tuple(row.get(n) for n in names) for row in rows.values()], COLUMNS)
+        fit = stats.hac_regression(test, used, lags)
+        of_x = [F.get(c, F.lit(1)).alias(f"ols_{c}{suffix}") for c in ("beta", "p")]
+        joined = joined.join(fit.select(*stats.CELL, *of_x, F.when(F.col("beta").isNotNull(), F.col("r2")).alias(f"ols_r2{suffix}")), stats.CELL, "left")
+    return joined.select(*COLUMNS)

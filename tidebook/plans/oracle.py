@@ -103,8 +103,95 @@ long AS (
   SELECT event_id, coin, feature, x, is_train, spread_bps FROM (
     {" UNION ALL ".join(f"SELECT event_id, coin, '{f}' AS feature, CAST({f} AS DOUBLE) AS x, is_train, spread_bps FROM feats" for f in FEATURES)})),
 cells AS (
-  SELECT l.coin, l.feature, f.h AS horizon_ms, l.x, f.mid_ret AS y, l.spread_bps FROM long l JOIN fwd f USING (event_id) WHERE NOT l.is_train)"""
+  SELECT event_id, l.coin, l.feature, f.h AS horizon_ms, l.x, f.mid_ret AS y, l.spread_bps FROM long l JOIN fwd f USING (event_id) WHERE NOT l.is_train)"""
 )
+HCELLS = """,
+lag_of AS (
+  SELECT coin, h AS horizon_ms, CAST(least(500, greatest(1, ceil(h / m))) AS INT) AS lags
+  FROM (SELECT coin, quantile_cont(CAST(d AS DOUBLE), 0.5) AS m FROM (SELECT coin, exch_time_ms - lag(exch_time_ms) OVER (PARTITION BY coin ORDER BY exch_time_ms) AS d FROM l2book) GROUP BY coin),
+       (SELECT unnest([{hs}]::BIGINT[]) AS h))""".format(hs=", ".join(map(str, HORIZONS)))
+CONTROLS = ("spread_bps", "realized_vol", "momentum")
+
+
+def _hac(tag: str, controls: tuple[str, ...]) -> str:
+    """Table hac{tag}: least squares with the covariance summed lag by lag; the matrix is inverted step by step."""
+    k, cell = 2 + len(controls), "coin, feature, horizon_ms"
+    names = ["1", "x", *controls]
+    out = f""",
+d{tag} AS MATERIALIZED (
+  SELECT {cell}, row_number() OVER (PARTITION BY {cell} ORDER BY exch_time_ms) AS i, [{", ".join(f"CAST({n} AS DOUBLE)" for n in names)}] AS d, y
+  FROM (SELECT * EXCLUDE (spread_bps) FROM cells) JOIN feats USING (event_id, coin) WHERE {" AND ".join(f"{n} IS NOT NULL" for n in ("y", *names[1:]))}),
+n{tag} AS (SELECT {cell}, count(*) AS n, sum(y) AS sy, sum(y * y) AS syy FROM d{tag} GROUP BY ALL),
+b{tag} AS MATERIALIZED (SELECT {cell}, r, sum(d[r] * y) AS v FROM d{tag}, range(1, {k + 1}) t(r) GROUP BY ALL),
+g{tag}_0 AS MATERIALIZED (
+  SELECT {cell}, r, c, sum(CASE WHEN c <= {k} THEN d[r] * d[c] END) AS v FROM d{tag}, range(1, {k + 1}) t(r), range(1, {k + 1}) u(c) GROUP BY ALL
+  UNION ALL SELECT {cell}, r, {k} + c, CAST(r = c AS DOUBLE) FROM n{tag}, range(1, {k + 1}) t(r), range(1, {k + 1}) u(c))"""
+    for p in range(1, k + 1):
+        g = f"g{tag}_{p - 1}"
+        out += f""",
+g{tag}_{p} AS MATERIALIZED (
+  SELECT {cell}, m.r, m.c, CASE WHEN m.r = {p} THEN m.v / l.v ELSE m.v - o.v * w.v / l.v END AS v
+  FROM {g} m JOIN (SELECT {cell}, v FROM {g} WHERE r = {p} AND c = {p}) l USING ({cell}) JOIN (SELECT {cell}, r, v FROM {g} WHERE c = {p}) o USING ({cell}, r)
+       JOIN (SELECT {cell}, c, v FROM {g} WHERE r = {p}) w USING ({cell}, c))"""
+    return out + f""",
+v{tag} AS MATERIALIZED (SELECT {cell}, r, c - {k} AS c, v FROM g{tag}_{k} WHERE c > {k}),
+e{tag} AS (SELECT {cell}, list(v ORDER BY r) AS beta FROM (SELECT {cell}, v.r, sum(v.v * b.v) AS v FROM v{tag} v JOIN b{tag} b USING ({cell}) WHERE b.r = v.c GROUP BY ALL) GROUP BY ALL),
+s{tag} AS MATERIALIZED (
+  SELECT {cell}, i, list_transform(d, lambda x: x * (y - list_sum(list_transform(list_zip(d, beta), lambda z: z[1] * z[2])))) AS s FROM d{tag} JOIN e{tag} USING ({cell})),
+m{tag} AS (
+  SELECT {cell}, r, c, sum((1 - l / (lags + 1)) * (CASE WHEN l = 0 THEN a.s[r] * b.s[c] ELSE a.s[r] * b.s[c] + a.s[c] * b.s[r] END)) AS v
+  FROM (SELECT {cell}, s, lags, l, i - l AS i FROM s{tag} JOIN lag_of USING (coin, horizon_ms), unnest(range(lags + 1)) q(l)) a
+       JOIN s{tag} b USING ({cell}, i), range(1, {k + 1}) t(r), range(1, {k + 1}) u(c) GROUP BY ALL),
+w{tag} AS (
+  SELECT {cell}, sum(p.v * m.v * q.v) AS var FROM m{tag} m JOIN v{tag} p USING ({cell}) JOIN v{tag} q USING ({cell})
+  WHERE p.r = 2 AND p.c = m.r AND q.r = m.c AND q.c = 2 GROUP BY ALL),
+f{tag} AS (SELECT {cell}, sum(beta[r] * v) AS fitted FROM b{tag} JOIN e{tag} USING ({cell}) GROUP BY ALL),
+hac{tag} AS (
+  SELECT {cell}, n, CASE WHEN n >= {max(30, 5 * k)} THEN beta[2] END AS beta, CASE WHEN n >= {max(30, 5 * k)} THEN beta[2] / sqrt(var) END AS t,
+         CASE WHEN n >= {max(30, 5 * k)} THEN 1 - (syy - fitted) / (syy - sy * sy / n) END AS r2
+  FROM n{tag} JOIN e{tag} USING ({cell}) JOIN w{tag} USING ({cell}) JOIN f{tag} USING ({cell}))"""
+
+
+def _normal_p(z: str) -> str:
+    """Both tails, by the series of positive terms of the error function."""
+    x = f"(abs({z}) / sqrt(2))"
+    terms = f"list_sum(list_transform(range(300), lambda k: exp(2 * k * ln(2) + (2 * k + 1) * ln({x}) - lgamma(2 * k + 2) + lgamma(k + 1))))"
+    return f"CASE WHEN abs({z}) > 9 THEN 0 WHEN {z} = 0 THEN 1 ELSE 1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * {terms} END"
+
+
+def _t_p(square: str, df: str) -> str:
+    """Both tails of Student's t with whole degrees of freedom, by its finite sums; square is t^2 / (df + t^2)."""
+    c = f"(ln(1 - {square}) / 2)"
+    odd = f"list_sum(list_transform(range(CAST(({df} - 1) // 2 AS BIGINT)), lambda k: exp((2 * k + 1) * {c} + lgamma(k + 1) - lgamma(k + 1.5) + ln(pi()) / 2 - ln(2))))"
+    even = f"list_sum(list_transform(range(CAST({df} // 2 AS BIGINT)), lambda k: exp(2 * k * {c} + lgamma(k + 0.5) - lgamma(k + 1) - ln(pi()) / 2)))"
+    return f"CASE WHEN {df} % 2 = 1 THEN 1 - 2 / pi() * (asin(sqrt({square})) + sqrt({square}) * coalesce({odd}, 0)) ELSE 1 - sqrt({square}) * {even} END"
+
+
+def _corr_p(r: str) -> str:
+    return _t_p(f"({r} * {r})", "(n - 2)")
+
+
+#: The exact test of an even chance, outcome by outcome.
+HIT_P = """CASE WHEN 2 * hits = hit_n THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(CAST(least(hits, hit_n - hits) + 1 AS BIGINT)),
+                lambda i: exp(lgamma(hit_n + 1) - lgamma(i + 1) - lgamma(hit_n - i + 1) - hit_n * ln(2))))) END"""
+IC = """,
+pairs AS (SELECT * FROM cells WHERE x IS NOT NULL AND y IS NOT NULL),
+pair_ranks AS (
+  SELECT *, rank() OVER (PARTITION BY coin, feature, horizon_ms ORDER BY x) + (count(*) OVER (PARTITION BY coin, feature, horizon_ms, x) - 1) / 2 AS rx,
+         rank() OVER (PARTITION BY coin, feature, horizon_ms ORDER BY y) + (count(*) OVER (PARTITION BY coin, feature, horizon_ms, y) - 1) / 2 AS ry FROM pairs),
+ic AS (
+  SELECT coin, feature, horizon_ms, count(*) AS n, CASE WHEN count(*) >= 10 THEN corr(x, y) END AS pearson, CASE WHEN count(*) >= 10 THEN corr(rx, ry) END AS spearman
+  FROM pair_ranks GROUP BY ALL)"""
+HITS = """,
+hit AS (
+  SELECT coin, feature, horizon_ms, count(*) AS hit_n, CAST(sum(CAST(sign(x) = sign(y) AS INT)) AS BIGINT) AS hits FROM cells WHERE x <> 0 AND y <> 0 GROUP BY ALL)"""
+NET = """,
+th AS (SELECT coin, feature, quantile_cont(abs(x), 0.75) AS threshold FROM long WHERE is_train GROUP BY ALL),
+nb AS (SELECT coin, feature, horizon_ms, y * 10000 * sign(x) - (spread_bps + 9) AS net FROM cells JOIN th USING (coin, feature) WHERE abs(x) > threshold AND y IS NOT NULL),
+nt AS (
+  SELECT coin, feature, horizon_ms, count(*) AS net_n, avg(net) AS net_mean_bps, avg(CAST(net > 0 AS INT)) AS net_pct_positive,
+         CASE WHEN stddev_samp(net) > 0 THEN avg(net) / (stddev_samp(net) / sqrt(count(*))) END AS net_t FROM nb GROUP BY ALL)"""
+NET_P = _t_p("(net_t * net_t / (net_n - 1 + net_t * net_t))", "(net_n - 1)")
 SIGNED = """,
 fl AS (SELECT *, CASE WHEN side = 'A' THEN sz ELSE -sz END AS signed, abs(px * sz) * 1.5 / 10000 AS fee FROM trades)"""
 CURVE = """,
@@ -186,24 +273,42 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "train_threshold": _sql("SELECT coin, feature, round(quantile_cont(abs(x), 0.75), 8) AS threshold FROM long WHERE is_train GROUP BY ALL", CELLS),
     "information_coefficient": _sql(
-        """, p AS (SELECT * FROM cells WHERE x IS NOT NULL AND y IS NOT NULL),
-           k AS (SELECT *, rank() OVER (PARTITION BY coin, feature, horizon_ms ORDER BY x) + (count(*) OVER (PARTITION BY coin, feature, horizon_ms, x) - 1) / 2 AS rx,
-                        rank() OVER (PARTITION BY coin, feature, horizon_ms ORDER BY y) + (count(*) OVER (PARTITION BY coin, feature, horizon_ms, y) - 1) / 2 AS ry FROM p)
-           SELECT coin, feature, horizon_ms, count(*) AS n, round(CASE WHEN count(*) >= 10 THEN corr(x, y) END, 7) + 0.0 AS pearson,
-                  round(CASE WHEN count(*) >= 10 THEN corr(rx, ry) END, 7) + 0.0 AS spearman FROM k GROUP BY ALL""",
+        f"""SELECT coin, feature, horizon_ms, n, round(pearson, 7) + 0.0 AS pearson, round(spearman, 7) + 0.0 AS spearman,
+                   round({_corr_p("pearson")}, 7) + 0.0 AS pearson_p, round({_corr_p("spearman")}, 7) + 0.0 AS spearman_p FROM ic""",
         CELLS,
+        IC,
     ),
-    "hit_rate": _sql(
-        """SELECT coin, feature, horizon_ms, count(*) AS hit_n, CAST(sum(CAST(sign(x) = sign(y) AS INT)) AS BIGINT) AS hits, round(avg(CAST(sign(x) = sign(y) AS INT)), 8) AS hit_rate
-           FROM cells WHERE x <> 0 AND y <> 0 GROUP BY ALL""",
+    "hit_rate": _sql(f"SELECT *, round(hits / hit_n, 8) AS hit_rate, round({HIT_P}, 8) + 0.0 AS hit_rate_p FROM hit", CELLS, HITS),
+    "net_of_cost": _sql(
+        f"""SELECT coin, feature, horizon_ms, net_n, round(net_mean_bps, 5) AS net_mean_bps, round(net_pct_positive, 5) AS net_pct_positive, round(net_t, 5) AS net_t,
+                   round({NET_P}, 5) + 0.0 AS net_p FROM nt""",
         CELLS,
+        NET,
     ),
-    "net_of_cost": _sql(
-        """, th AS (SELECT coin, feature, quantile_cont(abs(x), 0.75) AS th FROM long WHERE is_train GROUP BY ALL),
-           nb AS (SELECT coin, feature, horizon_ms, y * 10000 * sign(x) - (spread_bps + 9) AS net FROM cells JOIN th USING (coin, feature) WHERE abs(x) > th AND y IS NOT NULL)
-           SELECT coin, feature, horizon_ms, count(*) AS net_n, round(avg(net), 5) AS net_mean_bps, round(avg(CAST(net > 0 AS INT)), 5) AS net_pct_positive,
-                  round(CASE WHEN stddev_samp(net) > 0 THEN avg(net) / (stddev_samp(net) / sqrt(count(*))) END, 5) AS net_t FROM nb GROUP BY ALL""",
+    **{
+        name: _sql(
+            f"SELECT coin, feature, horizon_ms, n, round(beta, 9) + 0.0 AS beta, round(t, 5) + 0.0 AS t, round({_normal_p('t')}, 7) + 0.0 AS p, round(r2, 8) + 0.0 AS r2 FROM hac",
+            CELLS,
+            HCELLS,
+            _hac("", used),
+        )
+        for name, used in (("hac_regression", ()), ("hac_regression_controls", CONTROLS))
+    },
+    "imbalance_study": _sql(
+        f"""SELECT ic.coin, ic.feature, ic.horizon_ms, ic.n, round(pearson, 7) + 0.0 AS pearson, round({_corr_p("pearson").replace("(n - 2)", "(ic.n - 2)")}, 7) + 0.0 AS pearson_p,
+                   round(spearman, 7) + 0.0 AS spearman, round({_corr_p("spearman").replace("(n - 2)", "(ic.n - 2)")}, 7) + 0.0 AS spearman_p, round(hits / hit_n, 7) AS hit_rate, round({HIT_P}, 7) + 0.0 AS hit_rate_p,
+                   round(h.beta, 9) + 0.0 AS ols_beta, round({_normal_p("h.t")}, 7) + 0.0 AS ols_p, round(h.r2, 7) + 0.0 AS ols_r2,
+                   round(k.beta, 9) + 0.0 AS ols_beta_ctrl, round({_normal_p("k.t")}, 7) + 0.0 AS ols_p_ctrl, round(k.r2, 7) + 0.0 AS ols_r2_ctrl,
+                   round(threshold, 7) AS threshold, round(net_mean_bps, 5) AS net_mean_bps, round(net_pct_positive, 5) AS net_pct_positive, net_n, round({NET_P}, 5) + 0.0 AS net_p
+            FROM ic LEFT JOIN hit USING (coin, feature, horizon_ms) LEFT JOIN nt USING (coin, feature, horizon_ms) LEFT JOIN th USING (coin, feature)
+                 LEFT JOIN hac h USING (coin, feature, horizon_ms) LEFT JOIN hac_ctrl k USING (coin, feature, horizon_ms)""",
         CELLS,
+        IC,
+        HITS,
+        NET,
+        HCELLS,
+        _hac("", ()),
+        _hac("_ctrl", CONTROLS),
     ),
     "ols_univariate": _sql(
         "SELECT coin, feature, horizon_ms, round(regr_slope(y, x), 7) + 0.0 AS beta, round(regr_r2(y, x), 7) AS r2 FROM cells WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL", CELLS

@@ -308,12 +308,12 @@ def train_threshold(m: Market) -> DataFrame:
 
 @query
 def information_coefficient(m: Market) -> DataFrame:
-    return rounded(stats.information_coefficient(_cells(m, False)), "pearson", "spearman", places=7)
+    return rounded(stats.information_coefficient(_cells(m, False)), "pearson", "spearman", "pearson_p", "spearman_p", places=7)
 
 
 @query
 def hit_rate(m: Market) -> DataFrame:
-    return rounded(stats.directional_accuracy(_cells(m, False)), "hit_rate")
+    return rounded(stats.directional_accuracy(_cells(m, False)), "hit_rate", "hit_rate_p")
 
 
 @query
@@ -321,7 +321,7 @@ def net_of_cost(m: Market) -> DataFrame:
     labelled = stored(_labelled(m), "labelled")
     train = _cells(m, True, labelled).where(F.col("horizon_ms") == HORIZONS[0])
     out = stats.net_of_cost(_cells(m, False, labelled), stats.thresholds(train), Fees().taker_bps)
-    return rounded(out, "net_mean_bps", "net_pct_positive", "net_t", places=5)
+    return rounded(out, "net_mean_bps", "net_pct_positive", "net_t", "net_p", places=5)
 
 
 @query
@@ -345,10 +345,9 @@ def _lags(m: Market) -> DataFrame:
 
 
 def _regression(m: Market, controls: list[str]) -> DataFrame:
-    cells = _cells(m, False)
-    solved = stats.hac_regression(cells, controls, _lags(m))
-    rows = [(o["coin"], o["feature"], o["horizon_ms"], o["n"], None if o["beta"] is None else float(o["beta"][1]), None if o["beta"] is None else float(o["t"][1]), None if o["beta"] is None else float(o["p"][1]), o["r2"]) for o in solved]
-    return cells.sparkSession.createDataFrame(rows, "coin string, feature string, horizon_ms long, n long, beta double, t double, p double, r2 double")
+    fit = stats.hac_regression(_cells(m, False), controls, _lags(m))
+    of_x = lambda c, places: r(F.get(c, F.lit(1)), places).alias(c)
+    return fit.select(*stats.CELL, "n", of_x("beta", 9), of_x("t", 5), of_x("p", 7), r("r2", 8).alias("r2"))
 
 
 @query
@@ -470,4 +469,6 @@ def imbalance_study(m: Market) -> DataFrame:
     """The whole study: a row per coin, feature and horizon."""
     from ..operators.study import study
 
-    return study(m.l2book, FEATURES, CONTROLS, list(HORIZONS), Fees().taker_bps)
+    out = study(m.l2book, FEATURES, CONTROLS, list(HORIZONS), Fees().taker_bps)
+    out = rounded(out, *[c for c in out.columns if c.startswith(("pearson", "spearman", "hit", "ols")) and "beta" not in c], "threshold", places=7)
+    return rounded(rounded(out, "ols_beta", "ols_beta_ctrl", places=9), "net_mean_bps", "net_pct_positive", "net_p", places=5)
