@@ -238,7 +238,7 @@ def near(local: np.ndarray, order: np.ndarray, seg: Segment, span: int) -> tuple
     return (np.concatenate(window), np.concatenate(found)) if window else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def search(index: DataFrame, shared: Broadcast[Block], span: int = SPAN) -> DataFrame:
+def search(index: DataFrame, shared: Broadcast[tuple], span: int = SPAN) -> DataFrame:
     """One row per document of the index: (row, doc_id, n_words, hits, items, near): the positions of its
     words inside any occurrence of a window of the block, the sorted distinct items with occurring windows,
     and those with proximity matches."""
@@ -251,7 +251,7 @@ def search(index: DataFrame, shared: Broadcast[Block], span: int = SPAN) -> Data
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        block, into = shared.value, to_arrow_schema(schema)
+        block, into = Block(*shared.value), to_arrow_schema(schema)
 
         def items_of(seg: Segment, windows: np.ndarray, slots: np.ndarray) -> list[list[str]]:
             of: dict[int, set[str]] = {}
@@ -314,7 +314,7 @@ def decontaminate(
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(item_text_col).alias("text"))
     windows = item_windows(items, window).groupBy("window").agg(F.collect_set("item").alias("items"))
     windows = stored(windows, "windows")
-    share = docs.sparkSession.sparkContext.broadcast
+    share = lambda b: docs.sparkSession.sparkContext.broadcast((b.terms, b.windows, b.items))  # noqa: E731  # plain data: executors need not have the class
     blocks = -(-windows.count() // block_windows) or 1
     if blocks == 1:
         return search(index, share(Block.of(windows, window)), span)

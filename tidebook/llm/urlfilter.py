@@ -128,12 +128,12 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], table: Seque
     rule's. Repeated rows are judged alike; no rows give no rows; other columns are not read.
     """
     model = train(labelled_urls() if table is None else table)
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = pages.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # plain data: executors need not have this class
 
     @F.pandas_udf(T.DoubleType())
     def probability(address: pd.Series) -> pd.Series:
-        known: dict[str, float] = {}
-        return address.map(lambda a: known[a] if a in known else known.setdefault(a, shared.value.probability(a)))
+        known, own = {}, UrlModel(*shared.value)
+        return address.map(lambda a: known[a] if a in known else known.setdefault(a, own.probability(a)))
 
     host, path = parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
