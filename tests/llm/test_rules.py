@@ -97,10 +97,10 @@ def test_estimate_against_a_plain_loop():
 def test_accuracies_are_found():
     """Votes drawn from known accuracies: the estimate comes near them, although it never sees a label."""
     rng = np.random.default_rng(4)
-    right_good, right_bad = np.array([0.97, 0.99, 0.95, 0.98, 0.9]), np.array([0.6, 0.4, 0.7, 0.5, 0.3])
+    right_good, right_bad = np.array([0.97, 0.99, 0.95, 0.98, 0.9]), np.array([0.6, 0.4, 0.7, 0.5, 0.5])
     kind = rng.random(60_000) < 0.85
     hit = np.where(kind[:, None], rng.random((60_000, 5)) < right_good, rng.random((60_000, 5)) >= right_bad)
-    votes, many = np.unique(np.where(rng.random((60_000, 5)) < 0.2, 0, np.where(hit, 1, -1)), axis=0, return_counts=True)
+    votes, many = np.unique(np.where(rng.random((60_000, 5)) < 0.05, 0, np.where(hit, 1, -1)), axis=0, return_counts=True)
     model = rules.estimate(votes, many.astype(float))
     assert model.right_good == pytest.approx(right_good, abs=0.02) and model.right_bad == pytest.approx(right_bad, abs=0.15) and math.isclose(model.prior, 0.85, abs_tol=0.05)
 
