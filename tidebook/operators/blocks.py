@@ -65,16 +65,19 @@ def over_lookback(
 
 
 def running(
-    df: DataFrame, sums: dict[str, Column], key: str = "coin", order: list[str] | None = None, time: str = "exch_time_ms", block_ms: int = BLOCK_MS, how: Callable[[Column], Column] = F.sum
-) -> DataFrame:
-    """Running sums (or maxima, with how=F.max) over a key's whole history, this row included: within
-    the block, and on top of it that of the blocks before."""
+    df: DataFrame, sums: dict[str, Column], key: str = "coin", order: list[str] | None = None, time: str = "exch_time_ms", block_ms: int = BLOCK_MS,
+    how: Callable[[Column], Column] | dict[str, Callable[[Column], Column]] = F.sum,
+) -> DataFrame:
+    """Running sums (or maxima, with how=F.max; how may tell them apart by name) over a key's whole history, this row
+    included: within the block, and on top of it that of the blocks before. The maximum of structs that begin with
+    the time is the last one."""
     order = order or [time]
+    hows = how if isinstance(how, dict) else dict.fromkeys(sums, how)
     df = with_block(once(df, "running"), time, block_ms).withColumns({f"_v_{k}": v for k, v in sums.items()})
-    totals = df.groupBy(key, BLOCK).agg(*[how(F.col(f"_v_{k}")).alias(f"_t_{k}") for k in sums])
+    totals = df.groupBy(key, BLOCK).agg(*[hows[k](F.col(f"_v_{k}")).alias(f"_t_{k}") for k in sums])
     before = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(key, BLOCK, *[how(F.col(f"_t_{k}")).over(before).alias(f"_b_{k}") for k in sums])
+    totals = totals.select(key, BLOCK, *[hows[k](F.col(f"_t_{k}")).over(before).alias(f"_b_{k}") for k in sums])
     within = Window.partitionBy(key, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumns({k: how(F.col(f"_v_{k}")).over(within) for k in sums}).join(totals, [key, BLOCK])
-    joined = {k: F.coalesce(F.col(k) + F.col(f"_b_{k}"), F.col(k)) if how is F.sum else F.greatest(k, f"_b_{k}") for k in sums}
+    df = df.withColumns({k: hows[k](F.col(f"_v_{k}")).over(within) for k in sums}).join(totals, [key, BLOCK])
+    joined = {k: F.coalesce(F.col(k) + F.col(f"_b_{k}"), F.col(k)) if hows[k] is F.sum else F.greatest(k, f"_b_{k}") for k in sums}
     return df.withColumns(joined).drop(BLOCK, *[f"_{x}_{k}" for k in sums for x in "vb"])

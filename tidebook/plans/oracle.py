@@ -194,6 +194,20 @@ nt AS (
 NET_P = _t_p("(net_t * net_t / (net_n - 1 + net_t * net_t))", "(net_n - 1)")
 SIGNED = """,
 fl AS (SELECT *, CASE WHEN side = 'A' THEN sz ELSE -sz END AS signed, abs(px * sz) * 1.5 / 10000 AS fee FROM trades)"""
+LEDGER = """,
+ev AS (
+  SELECT coin, exch_time_ms AS ts, 1 AS kind, tid AS seq, signed, signed * px + fee AS paid, NULL AS ob, NULL AS mid FROM fl
+  UNION ALL SELECT coin, recv_ts_ns // 1000000, 2, recv_ts_ns, 0, 0, {'ts': recv_ts_ns // 1000000, 'rate': funding, 'px': oracle_px}, NULL FROM asset_ctx
+  UNION ALL SELECT coin, exch_time_ms, 0, recv_ts_ns, 0, 0, NULL, mid FROM sp),
+st AS (
+  SELECT *, sum(signed) OVER w AS inventory, sum(paid) OVER w AS spent, last_value(ob IGNORE NULLS) OVER w AS now
+  FROM ev WINDOW w AS (PARTITION BY coin ORDER BY ts, kind, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+pv AS (SELECT *, lag(ts) OVER w AS ts0, lag(inventory) OVER w AS inv0, lag(now) OVER w AS now0 FROM st WINDOW w AS (PARTITION BY coin ORDER BY ts, kind, seq)),
+py AS (
+  SELECT *, CASE WHEN kind = 2 THEN coalesce(inventory * ob.px * ob.rate * (ts - now0.ts) / 3600000, 0) ELSE 0 END AS payment,
+         coalesce(inv0 * now0.px * now0.rate * (ts - ts0) / 3600000, 0) AS held FROM pv),
+led AS (
+  SELECT *, sum(payment) OVER w AS funding_paid, sum(held) OVER w AS held_paid FROM py WINDOW w AS (PARTITION BY coin ORDER BY ts, kind, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 CURVE = """,
 curve AS (SELECT event_id, coin, exch_time_ms, 100.0::DOUBLE + mid - 10000 AS equity FROM sp),
 ch AS (SELECT *, equity - lag(equity) OVER (PARTITION BY coin ORDER BY exch_time_ms) AS change,
@@ -339,6 +353,18 @@ ORACLE_SQL: dict[str, str] = {
     "cash_and_inventory": _sql(
         "SELECT tid, coin, round(100000 - sum(signed * px + fee) OVER w + 2e-7, 6) AS cash, sum(signed) OVER w AS inventory FROM fl WINDOW w AS (PARTITION BY coin ORDER BY exch_time_ms, tid)", SIGNED
     ),
+    "funding_accrual": _sql(
+        """SELECT coin, seq AS recv_ts_ns, inventory, round(payment, 5) + 0.0 AS payment, round(funding_paid, 5) + 0.0 AS funding_paid, round(held_paid, 5) + 0.0 AS held_paid
+           FROM led WHERE kind = 2""",
+        SIGNED,
+        LEDGER,
+    ),
+    "marked_equity": _sql(
+        """SELECT coin, ts AS ts_ms, inventory, round(funding_paid, 5) + 0.0 AS funding_paid, round(100000 - spent - funding_paid + inventory * mid + 2e-7, 4) + 0.0 AS equity
+           FROM led WHERE kind = 0""",
+        SIGNED,
+        LEDGER,
+    ),
     "inventory_volatility": _sql(
         """SELECT tid, coin, round(CASE WHEN count(*) OVER w >= 7 THEN stddev_samp(signed) OVER w END, 7) AS inventory_vol
            FROM fl WINDOW w AS (PARTITION BY coin ORDER BY exch_time_ms ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..config import Backtest, Fees, InventoryAware, Settings, Symmetric
 from ..functions import book as bk
 from ..functions import liquidity, quotes, rates, slippage, ticks
-from ..operators import asof, events, features, replay, risk, stats, strategies
+from ..operators import asof, events, features, ledger, replay, risk, stats, strategies
 from ..sources import capture, raw
 from ..store import stored
 from .derived import Market, market
@@ -406,6 +406,26 @@ def cash_and_inventory(m: Market) -> DataFrame:
     return out.select("tid", "coin", r(F.col("cash") + 2e-7, 6).alias("cash"), "inventory")
 
 
+def _ledger(m: Market) -> DataFrame:
+    books = top(m).select("coin", "exch_time_ms", "recv_ts_ns", "mid")
+    return ledger.ledger(ledger.account_events(_signed_fills(m), m.asset_ctx, books, seq="tid"), 100_000.0)
+
+
+@query
+def funding_accrual(m: Market) -> DataFrame:
+    """What every funding observation charges for the inventory of the fills, and what holding it cost meanwhile."""
+    rows = _ledger(m).where(F.col("kind") == events.FUNDING)
+    return rows.select("coin", F.col("seq").alias("recv_ts_ns"), "inventory", *[r(c, 5).alias(c) for c in ("payment", "funding_paid", "held_paid")])
+
+
+@query
+def marked_equity(m: Market) -> DataFrame:
+    """Equity at every book, funding paid included."""
+    rows = _ledger(m).where(F.col("kind") == events.BOOK)
+    # as in cash_and_inventory, a hair more keeps exact halves from falling by noise
+    return rows.select("coin", "ts_ms", "inventory", r("funding_paid", 5).alias("funding_paid"), r(F.col("equity") + 2e-7, 4).alias("equity"))
+
+
 @query
 def inventory_volatility(m: Market) -> DataFrame:
     held = _signed_fills(m).select("tid", "coin", "timestamp_ms", F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size")).alias("inventory"))
