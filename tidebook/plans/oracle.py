@@ -242,6 +242,16 @@ ORACLE_SQL: dict[str, str] = {
              FROM (SELECT coin, CASE WHEN side = 'A' THEN 'bid' ELSE 'ask' END AS side, px, arg_max(CASE WHEN sz < 4 THEN 0 ELSE sz END, tid) AS sz FROM trades GROUP BY ALL)
              WHERE sz <> 0) WHERE level < 5"""
     ),
+    "book_history": _sql(
+        """, u AS (SELECT coin, tid, CASE WHEN side = 'A' THEN 'bid' ELSE 'ask' END AS side, px, CASE WHEN sz < 4 THEN 0 ELSE sz END AS sz FROM trades),
+           v AS (SELECT *, lead(tid) OVER (PARTITION BY coin, side, px ORDER BY tid) AS until FROM u),
+           live AS (SELECT u.coin, u.tid, v.side, v.px, v.sz, row_number() OVER (PARTITION BY u.tid, v.side ORDER BY CASE WHEN v.side = 'bid' THEN -v.px ELSE v.px END) - 1 AS level
+                    FROM u JOIN v ON v.coin = u.coin AND v.tid <= u.tid AND (v.until IS NULL OR v.until > u.tid) AND v.sz <> 0)
+           SELECT u.coin, u.tid, """
+        + ", ".join(f"max({c}) FILTER (l.side = '{s}' AND level = {i}) AS {s}{i}_{c}" for s in ("bid", "ask") for i in range(5) for c in ("px", "sz")).replace("max(px)", "max(l.px)").replace("max(sz)", "max(l.sz)")
+        + """, coalesce(max(l.px) FILTER (l.side = 'bid' AND level = 0) >= max(l.px) FILTER (l.side = 'ask' AND level = 0), false) AS crossed
+           FROM u LEFT JOIN live l USING (tid) GROUP BY u.coin, u.tid"""
+    ),
     "depth_at_price": _sql(
         """SELECT event_id, l.coin, CASE WHEN side = 'A' THEN coalesce(bid_sz[list_position(bid_px, px)], 0) ELSE coalesce(ask_sz[list_position(ask_px, px)], 0) END AS depth
            FROM l2book l JOIN trades t ON t.tid = l.event_id"""

@@ -138,12 +138,25 @@ def top_levels(m: Market) -> DataFrame:
     return df.select(*KEY, *cols, bk.is_crossed(F.get("b", F.lit(0))["px"], F.get("a", F.lit(0))["px"]).alias("crossed"))
 
 
+def _updates(m: Market) -> DataFrame:
+    size = F.when(F.col("sz") < 4, F.lit(0.0)).otherwise(F.col("sz"))
+    side = F.when(F.col("side") == "A", "bid").otherwise("ask")
+    return m.trades.select("coin", side.alias("side"), F.col("px").alias("price"), size.alias("size"), F.col("tid").alias("seq"), "exch_time_ms")
+
+
+@query
+def book_history(m: Market) -> DataFrame:
+    """Five best levels of either side after every update, and whether they cross."""
+    kept = events.book_history(_updates(m), 5)
+    at = lambda c, i: F.get(c, F.lit(i))
+    cols = [at(f"{s}_{c}", i).alias(f"{s}{i}_{c}") for s in ("bid", "ask") for i in range(5) for c in ("px", "sz")]
+    return kept.select("coin", F.col("seq").alias("tid"), *cols, bk.is_crossed(at("bid_px", 0), at("ask_px", 0)).alias("crossed"))
+
+
 @query
 def book_from_updates(m: Market) -> DataFrame:
     """Trades as level updates: sizes of whole numbers below 4 remove the level."""
-    size = F.when(F.col("sz") < 4, F.lit(0.0)).otherwise(F.col("sz"))
-    updates = m.trades.select("coin", F.when(F.col("side") == "A", "bid").otherwise("ask").alias("side"), F.col("px").alias("price"), size.alias("size"), F.col("tid").alias("seq"))
-    kept = events.book_from_updates(updates, 5)
+    kept = events.book_from_updates(_updates(m), 5)
     one = lambda s: kept.select("coin", F.lit(s).alias("side"), F.posexplode(f"{s}s").alias("level", "x")).select("coin", "side", "level", "x.px", "x.sz")
     return one("bid").unionByName(one("ask"))
 
