@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.tails import beta_inc
 from ._common import stored
 
 # Fixed patterns of the base kinds: kind, expression, group that carries the secret, its least length.
@@ -52,8 +53,6 @@ COINCIDENCE = 0.065
 #: Chance that neighbours in a text are a letter and a digit, in either order; an assumption, as names and
 #: words keep their digits together.
 SWITCH = 0.1
-#: Pairs up to which the chance of so many switches is summed exactly; beyond, its Chernoff bound is taken.
-EXACT_PAIRS = 512
 #: Least p-value at which a test of randomness counts as passed.
 PASSED = 0.001
 LENGTH_CLASSES = (20, 24, 28, 32, 40, 48, 64, 96, 128)
@@ -130,18 +129,8 @@ def candidates(text: Column) -> Column:
 
 
 def switch_tail(k: Column, m: Column) -> Column:
-    """P(K >= k) of a binomial K of m pairs with chance SWITCH."""
-    zero = F.struct(F.pow(F.lit(1 - SWITCH), m).alias("term"), F.when(k <= 0, F.pow(F.lit(1 - SWITCH), m)).otherwise(F.lit(0.0)).alias("sum"))
-
-    def step(a: Column, j: Column) -> Column:
-        term = a["term"] * (m - j + 1) / j * (SWITCH / (1 - SWITCH))
-        return F.struct(term.alias("term"), (a["sum"] + F.when(j >= k, term).otherwise(F.lit(0.0))).alias("sum"))
-
-    exact = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(float(EXACT_PAIRS))).cast("int")), zero, step)["sum"]
-    share = k / m
-    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(F.lit(0.0))
-    bound = F.when(share <= SWITCH, F.lit(1.0)).otherwise(F.exp(-m * (part(share, F.lit(SWITCH)) + part(1 - share, F.lit(1 - SWITCH)))))
-    return F.least(F.lit(1.0), F.when(m <= EXACT_PAIRS, exact).otherwise(bound))
+    """P(K >= k) of a binomial K of m pairs with chance SWITCH, by the incomplete beta function: one form at all lengths."""
+    return F.when(k <= 0, F.lit(1.0)).otherwise(beta_inc(k, m - k + 1, SWITCH))
 
 
 def battery(found: DataFrame) -> DataFrame:
