@@ -48,14 +48,21 @@ def key_of(docs: DataFrame, id_col: str) -> Column:
     return F.coalesce(key, F.lit(0).cast("long"))
 
 
+def written_order(file: str) -> list[Column]:
+    """Files as they were written: by folder, then by the part number as a number (part-100000 comes after part-99999), then
+    by name; files without one come first in their folder."""
+    part = F.regexp_extract(file, r"part-([0-9]{1,18})[^/]*$", 1)
+    return [F.regexp_replace(file, r"[^/]*$", ""), F.when(part != "", part.cast("long")), F.col(file)]
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (doc_id, size, text_crc32, law, shard, slot, grown_shard).
 
     The law is `key`: id and shard count decide the shard, so repeated rows and rows of one id share
     it. Integer ids are keys themselves, others are hashed to 64 bits; null ids are keyed by 0, as id 0 is.
     Size: UTF-8 bytes of the text (null: none) plus 16. Slots run gapless from 0 in each shard, in the
-    order of the rows in docs: by file and index in it, so a table that was written in training order
-    is numbered in that order. grown_shard is the shard with one shard more. Empty input gives no rows;
+    order of the rows in docs: by folder, part number of the file, name and index in it, so a table that was written in training
+    order is numbered in that order, however many files it has. grown_shard is the shard with one shard more. Empty input gives no rows;
     other columns are not read.
     """
     docs = filed(docs.select(id_col, text_col))
@@ -74,7 +81,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     # a file), whatever their ids, and blocks are offset by the sizes of those before.
     rows = stored(rows.withColumn("block", F.floor(F.col("row") / BLOCK_ROWS)), "shards", narrow=False)
     block = rows.groupBy("shard", "file", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("shard").orderBy(*written_order("file"), "block").rowsBetween(Window.unboundedPreceding, -1)
     block = block.select("shard", "file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("shard", "file", "block").orderBy("row")
     numbered = rows.withColumn("at", F.row_number().over(within) - 1)
