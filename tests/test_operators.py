@@ -176,10 +176,10 @@ def test_net_of_cost(spark):
 
 
 def test_position_fold(spark):
-    fills = [("buy", 100.0, 1.0, 0.0), ("buy", 110.0, 1.0, 0.0), ("sell", 120.0, 1.0, 0.0), ("sell", 110.0, 4.0, 0.5)]
+    fills = [("sell", 40.0, 3.0, 0.0), ("sell", 44.0, 1.0, 0.25), ("buy", 37.0, 2.0, 0.0), ("buy", 45.0, 6.0, 0.5)]
     df = spark.createDataFrame([(fills,)], "f array<struct<side:string,price:double,size:double,fee:double>>")
     p = df.select(risk.position("f").alias("p")).first().p
-    assert (p.inventory, p.avg_price, p.realized, p.fees) == (-3.0, 110.0, 15.0 + 5.0, 0.5)
+    assert (p.inventory, p.avg_price, p.realized, p.fees) == (4.0, 45.0, 2 * 4.0 - 2 * 4.0, 0.75)
 
 
 def test_risk_report(spark):

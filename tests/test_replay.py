@@ -1,3 +1,5 @@
+"""Backtests against a plain loop over every event, and their rules one by one."""
+
 from __future__ import annotations
 
 import random
@@ -6,143 +8,97 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.config import Backtest, Fees, InventoryAware, Settings, Symmetric
-from tidebook.operators import replay, strategies
-from tidebook.operators.replay import Account, Resting, Session
-
-BOOK = {"kind": 0, "coin": "A", "ts_ms": 0, "exch_time_ms": 0, "bid_px": [100.0, 99.0, 98.0], "bid_sz": [10.0] * 3, "ask_px": [101.0, 102.0, 103.0], "ask_sz": [10.0] * 3,
-        "best_bid": 100.0, "best_ask": 101.0, "mid": 100.5, "microprice": 100.5, "tob_imbalance": 0.0, "liquidity_drought": False}
-
-
-class AtTouch:
-    name = "touch"
+from tidebook.operators import replay, risk, strategies
 
-    def __init__(self, size=1.0):
-        self.inventory, self.size = 0.0, size
+#: Unequal sizes, so that the microprice (37.3) is not the mid (37.375).
+BOOK = {"bid_px": [37.25, 37.0, 36.75], "bid_sz": [4.0, 9.0, 2.0], "ask_px": [37.5, 38.0, 38.25], "ask_sz": [16.0, 1.0, 7.0], "best_bid": 37.25, "best_ask": 37.5, "mid": 37.375, "microprice": 37.3,
+        "sigma": 1.5, "liquidity_drought": None}
+LADDER = "bid_px array<double>, bid_sz array<double>, ask_px array<double>, ask_sz array<double>"
 
-    def on_book(self, book):
-        pass
 
-    def on_fill(self, time_ms, signed_size, price):
-        self.inventory += signed_size
+def touching(size):
+    return lambda book, held: (book["best_bid"], size, book["best_ask"], size)
 
-    def quotes(self, book):
-        return book["best_bid"], self.size, book["best_ask"], self.size
 
-
-def trade(side, px, sz, t=1):
-    return {"kind": 1, "coin": "A", "ts_ms": t, "side": side, "px": px, "sz": sz}
-
-
-@pytest.mark.parametrize("seed", range(5))
-def test_queue_share_is_consumed_first(seed):
-    """Random trades and quotes against the rule told as totals since the last change: what traded at our price beyond a
-    share of the depth is ours, and the count starts anew at a new price and after each time the share is reached."""
+@pytest.mark.parametrize("seed", range(6))
+def test_a_queue_is_served_before_us(seed):
+    """Volumes in any portions: what reaches us is what is beyond the queue each time it is served out, as told by a plain loop."""
     r = random.Random(seed)
-    q, at, since = Resting(), None, 0.0
-    for _ in range(400):
-        if r.random() < 0.3:
-            price, depth = r.choice([None, 7.5, 8.0]), r.choice([0.0, 12.0, 30.0])
-            since = since if price == at else 0.0
-            at = price
-            q.place(price, depth, 1.0)
-            continue
-        price, size, share = r.choice([7.5, 8.0]), float(r.randint(1, 9)), 0.4
-        want = 0.0
-        if at is not None and price == at and q.depth > 0:
-            since += size
-            if since >= share * q.depth:
-                want, since = since - share * q.depth, 0.0
-        assert q.hit(price, size, share) == pytest.approx(want) and q.consumed == since
-
-
-def test_fill_to_equity():
-    s = Session(AtTouch(0.25), Backtest(fill_fraction=0.3, starting_cash=2_000.0), 4.0)
-    list(s.feed(dict(BOOK)))
-    fills = list(s.feed(trade("A", 100.0, 3.2)))  # 0.2 beyond 0.3 of 10
-    assert [(f["side"], f["price"], round(f["size"], 9)) for f in fills] == [("buy", 100.0, 0.2)]
-    assert s.row("final", None)["equity"] == pytest.approx(2_000 + 0.2 * 0.5 - 0.2 * 100 * 4e-4)
-    more = list(s.feed(trade("A", 100.0, 40.0)))
-    assert more[0]["size"] == pytest.approx(0.05) and list(s.feed(trade("A", 100.0, 40.0))) == []  # open size is spent until the next book
-
-
-def test_account_average_cost():
-    a = Account(0.0)
-    for signed, price in ((1, 100.0), (1, 110.0), (-1, 120.0), (-4, 110.0)):
-        a.fill(signed, price, 0.0)
-    assert (a.inventory, a.average, a.realized) == (-3, 110.0, 20.0)
-
-
-def test_funding_needs_two_observations():
-    s = Session(AtTouch(), Backtest(starting_cash=0.0), 0.0)
-    list(s.feed(dict(BOOK)))
-    list(s.feed(trade("A", 100.0, 6.0)))
-    event = lambda t: {"kind": 2, "coin": "A", "ts_ms": t, "oracle_px": 100.0, "funding": 0.01}
-    list(s.feed(event(0)))
-    assert s.account.funding == 0.0
-    list(s.feed(event(1_800_000)))
-    assert s.account.funding == pytest.approx(0.5)
-
-
-def test_strategies():
-    naive = strategies.build("naive_mm", Settings(symmetric=Symmetric(10.0, 0.5, 1.0)))
-    assert naive.quotes(BOOK)[0] == pytest.approx(100.5 * 0.999) and naive.quotes(BOOK | {"liquidity_drought": True}) == (None, 0.0, None, 0.0)
-    naive.on_fill(0, 1.0, 100.0)
-    assert naive.quotes(BOOK)[1] == 0.0 and naive.quotes(BOOK)[3] == 0.5
-    maker = strategies.build("inventory_mm", Settings(inventory_aware=InventoryAware(0.1, 60.0, 10.0, 5.0, 0.5, 1.0)))
-    for t, mid in ((0, 100.0), (50_000, 101.0), (100_000, 100.0), (101_000, 102.0)):
-        maker.on_book({"exch_time_ms": t, "mid": mid})
-    assert maker.sigma() == pytest.approx(1.5)  # steps -1 and 2; the step into the window is left out
-    flat = maker.quotes(BOOK)
-    maker.on_fill(0, 2.0, 100.0)
-    assert maker.quotes(BOOK)[0] < flat[0]
+    queue, gone, plain, total = r.choice((3.5, 8.0, 0.25)), 0.0, 0.0, 0.0
+    for _ in range(60):
+        volumes = [r.randint(1, 12) / 4 for _ in range(r.randint(0, 5))]
+        reached, gone = replay.served(volumes, queue, gone)
+        want = []
+        for i, v in enumerate(volumes):
+            plain += v
+            if plain >= queue:
+                want, plain = [*want, (i, plain - queue)], 0.0
+        assert reached == want and gone == plain
+        total += sum(volumes)
+    assert total > 0
+
+
+def test_a_side_keeps_its_place_at_its_price_only():
+    side = replay.Side(True)
+    side.move(37.25, 4.0, 1.0, 0.5)
+    assert list(side.fills([(0, 37.25, 1.5), (1, 37.0, 9.0)])) == [] and side.gone == 1.5
+    side.move(37.25, 6.0, 1.0, 0.5)  # the same price: what is gone stays gone, the queue is new
+    assert list(side.fills([(0, 37.25, 2.0), (1, 37.25, 3.25)])) == [(0, 0.5), (1, 0.25)] and side.left == 0.25
+    side.move(37.0, 9.0, 1.0, 0.5)
+    assert side.gone == 0.0
+    side.move(36.5, 0.0, 1.0, 0.5)  # nothing is shown there, so nothing is ever reached
+    assert list(side.fills([(0, 36.5, 100.0)])) == [] and side.gone == 0.0
+    side.move(None, 0.0, 0.0, 0.5)
+    assert list(side.fills([(0, 36.5, 100.0)])) == []
+
+
+def test_quotes_go_to_the_grid_away_from_the_market():
+    desk = replay.Desk(lambda book, held: (37.1, 1.0, 37.6, 2.0), 0.5)
+    desk.quote(BOOK, 0.25)
+    bid, ask = desk.sides["A"], desk.sides["B"]
+    assert (bid.price, bid.queue, bid.left) == (37.0, 4.5, 1.0) and (ask.price, ask.left) == (37.75, 2.0) and ask.queue == float("inf")
+    assert replay.rounded(37.13, 0.0, True) == 37.13
+    assert desk.interval([("A", 1, 37.0, 3.0), ("B", 2, 37.75, 50.0), ("A", 3, 37.0, 2.0)]) == [(3, "buy", 37.0, 0.5)] and desk.held == 0.5
+
+
+def test_rules():
+    naive = strategies.build("naive_mm", Settings(symmetric=Symmetric(20.0, 0.25, 2.0)))
+    assert naive(BOOK, 0.0) == pytest.approx((37.3 * 0.998, 0.25, 37.3 * 1.002, 0.25))
+    assert naive(BOOK, 2.0)[1::2] == (0.0, 0.25) and naive(BOOK, -2.5)[1::2] == (0.25, 0.0) and naive(BOOK | {"liquidity_drought": True}, 0.0) == strategies.NONE
+    leaning = strategies.build("inventory_mm", Settings(inventory_aware=InventoryAware(0.02, 60.0, 10.0, 5.0, 0.5, 1.0)))
+    risk_ = 0.02 * 1.5**2 * 10
+    assert leaning(BOOK, 2.0) == pytest.approx((37.375 - 2 * risk_ - risk_ / 2, 0.5, 37.375 - 2 * risk_ + risk_ / 2, 0.5))
+    assert leaning(BOOK | {"sigma": 0.0}, 0.0)[0] == pytest.approx(37.375 * (1 - 1e-4))  # never closer than the least spread
     with pytest.raises(ValueError):
         strategies.build("other")
 
 
 @pytest.fixture(scope="module")
-def tape(spark):
+def market(spark):
     r = random.Random(1)
-    books, trades, ctx, tick = [], [], [], 200
+    books, trades, ctx, tick = [], [], [], 149
     for i in range(300):
-        tick += r.choice([-1, 0, 1])
-        t = i * 1000
-        bid, ask = [(tick - k) * 0.5 for k in range(5)], [(tick + 1 + k) * 0.5 for k in range(5)]
-        books.append(("A" if i % 2 else "B", t, t * 10**6, bid, [float(r.randint(1, 9)) for _ in bid], ask, [float(r.randint(1, 9)) for _ in ask]))
-        trades.append(("A" if i % 2 else "B", r.choice("AB"), r.choice([bid[0], ask[0]]), float(r.randint(1, 30)), t + r.choice([0, 1]), t * 10**6, i))
+        tick += r.choice([-1, 0, 0, 1])
+        t, coin = i * 1000, "XY"[i % 2]
+        bid, ask = [(tick - k) / 4 for k in range(5)], [(tick + 1 + k) / 4 for k in range(5)]
+        books.append((coin, t, t * 10**6, bid, [float(r.randint(1, 9)) for _ in bid], ask, [float(r.randint(1, 9)) for _ in ask]))
+        for k in range(r.choice((0, 1, 1, 3))):
+            trades.append((coin, r.choice("AB"), r.choice([bid[0], ask[0], ask[1]]), float(r.randint(1, 15)), t + r.choice([0, 0, 1, 900]), t * 10**6 + k, 10 * i + k))
         if i % 10 == 0:
-            ctx.append(("A" if i % 20 else "B", t * 10**6, 0.001, 100.0))
-    b = spark.createDataFrame(books, "coin string, exch_time_ms long, recv_ts_ns long, bid_px array<double>, bid_sz array<double>, ask_px array<double>, ask_sz array<double>")
-    b = b.withColumns({"best_bid": F.col("bid_px")[0], "best_ask": F.col("ask_px")[0], "liquidity_drought": F.lit(None).cast("boolean"), "tob_imbalance": F.lit(0.0)})
-    b = b.withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2).withColumn("microprice", F.col("mid"))
+            ctx.append(("XY"[i % 20 > 9], t * 10**6, 0.001, 37.0))
+    ctx.append(("ONLY", 5, 0.1, 1.0))
+    b = spark.createDataFrame(books, f"coin string, exch_time_ms long, recv_ts_ns long, {LADDER}")
+    b = b.withColumns({"best_bid": F.col("bid_px")[0], "best_ask": F.col("ask_px")[0], "liquidity_drought": F.lit(None).cast("boolean")}).withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2)
     t = spark.createDataFrame(trades, "coin string, side string, px double, sz double, exch_time_ms long, recv_ts_ns long, tid long")
     return b, t, spark.createDataFrame(ctx, "coin string, recv_ts_ns long, funding double, oracle_px double")
 
 
-def test_replay_invariants(tape):
-    runs = {"small": lambda: AtTouch(0.5), "large": lambda: AtTouch(2.0)}
-    out = replay.replay(*tape, runs, Backtest(), Fees()).cache()
-    rows = out.collect()
-    assert {(r.run, r.coin) for r in rows} == {(a, c) for a in runs for c in "AB"}
-    for run in runs:
-        for coin in "AB":
-            mine = [r for r in rows if (r.run, r.coin) == (run, coin)]
-            fills = [r for r in mine if r.row == "fill"]
-            assert fills and sum(r.row == "equity" for r in mine) == 150
-            end = next(r for r in mine if r.row == "final")
-            signed = sum(r.size if r.side == "buy" else -r.size for r in fills)
-            assert end.inventory == pytest.approx(signed) and end.equity == pytest.approx(end.cash + end.inventory * end.mid)
-            assert end.fees_paid == pytest.approx(sum(r.price * r.size for r in fills) * 1.5 / 10_000)
-    report = {(r.run, r.coin): r for r in replay.report(out).collect()}
-    assert report["large", "A"].n_fills == sum(r.row == "fill" and r.run == "large" and r.coin == "A" for r in rows)
-    assert report["small", "B"].max_drawdown <= 0
-
-
-def plain_replay(books, trades, size, share=0.5, bps=1.5):
-    """The same game told again, for one coin, no funding: quotes at the touch."""
-    at = sorted([(t[4], 1, t[6], ("t", t)) for t in trades] + [(b[1], 0, 0, ("b", b)) for b in books])
+def plain_replay(books, trades, size, share=0.5):
+    """One coin, event by event, quotes at the touch."""
+    at = sorted([(t[4], 1, t[5], t[6], t) for t in trades] + [(b[1], 0, 0, 0, b) for b in books], key=lambda e: e[:4])
     rest, gone, left, fills = {}, {"bid": 0.0, "ask": 0.0}, {"bid": 0.0, "ask": 0.0}, []
-    for time, *_, (kind, x) in at:
-        if kind == "b":
+    for time, kind, _, _, x in at:
+        if kind == 0:
             for side, px, sz in (("bid", x[3], x[4]), ("ask", x[5], x[6])):
                 if rest.get(side, (None,))[0] != px[0]:
                     gone[side] = 0.0
@@ -160,25 +116,65 @@ def plain_replay(books, trades, size, share=0.5, bps=1.5):
     return fills
 
 
-def test_replay_against_a_plain_one(tape):
-    b, t, ctx = tape
-    out = replay.fills(replay.replay(b, t, ctx.limit(0), {"r": lambda: AtTouch(2.0)}))
-    for coin in "AB":
-        books = [tuple(r)[:7] for r in b.where(F.col("coin") == coin).collect()]
-        trades = [tuple(r) for r in t.where(F.col("coin") == coin).collect()]
-        got = sorted((r.timestamp_ms, r.side, r.price, r.size) for r in out.where(F.col("coin") == coin).collect())
-        assert got and got == sorted(plain_replay(books, trades, 2.0))
-
-
-def test_stream_replay_equals_batch(spark, tape, tmp_path):
-    from tidebook.operators.events import merged_events
-    from tidebook.streaming import keyed
-
-    batch = sorted((r.coin, r.n, r.row, round(r.equity, 6)) for r in replay.replay(*tape, {"live": lambda: AtTouch(0.5)}).where("row <> 'final'").collect())
-    all_ = merged_events(*tape).select("coin", *[c for c in replay.EVENT_COLUMNS if c != "coin"])
-    for i, (lo, hi) in enumerate(((0, 100_000), (100_000, 10**9))):
-        all_.where((F.col("ts_ms") >= lo) & (F.col("ts_ms") < hi)).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    stream = spark.readStream.schema(all_.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    q = keyed.replay(stream, lambda: AtTouch(0.5)).writeStream.format("memory").queryName("replayed").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
-    q.awaitTermination(120)
-    assert sorted((r.coin, r.n, r.row, round(r.equity, 6)) for r in spark.table("replayed").collect()) == batch
+def test_fills_against_a_plain_replay(market):
+    b, t, _ = market
+    out = replay.fills(b, t, {"two": touching(2.0), "nine": touching(9.0)}).collect()
+    for coin in "XY":
+        books, trades = ([tuple(r) for r in df.where(F.col("coin") == coin).collect()] for df in (b, t))
+        for run, size in (("two", 2.0), ("nine", 9.0)):
+            mine = sorted((r for r in out if (r.run, r.coin) == (run, coin)), key=lambda r: r.seq)
+            assert [(r.timestamp_ms, r.side, r.price, r.size) for r in mine] == plain_replay(books, trades, size) and len(mine) > 20
+            assert [r.seq for r in mine] == list(range(1, len(mine) + 1)) and all(r.fee == pytest.approx(r.price * r.size * 1.5e-4) for r in mine)
+
+
+def test_report_follows_from_the_fills(market):
+    b, t, ctx = market
+    filled = replay.fills(b, t, {"r": touching(2.0)}, Backtest(), Fees()).cache()
+    kept = replay.accounts(filled, b, ctx, ["r"], 1000.0).cache()
+    report = {r.coin: r for r in replay.report(filled, kept, 1000.0).collect()}
+    assert set(report) == {"X", "Y", "ONLY"} and report["ONLY"].final_equity == 1000.0 and report["ONLY"].n_fills == 0
+    for coin in "XY":
+        mine = sorted((r for r in filled.where(F.col("coin") == coin).collect()), key=lambda r: r.seq)
+        signed = [r.size if r.side == "buy" else -r.size for r in mine]
+        last_mid = b.where(F.col("coin") == coin).orderBy(F.desc("exch_time_ms")).first().mid
+        got = report[coin]
+        assert got.n_fills == len(mine) and got.fees_paid == pytest.approx(sum(r.fee for r in mine)) and got.turnover_usd == pytest.approx(sum(r.price * r.size for r in mine))
+        cash = 1000.0 - sum(s * r.price for s, r in zip(signed, mine, strict=True)) - got.fees_paid - got.funding_paid
+        assert got.final_equity == pytest.approx(cash + sum(signed) * last_mid) and got.total_return_pct == pytest.approx((got.final_equity / 1000 - 1) * 100) and got.max_drawdown <= 0
+        assert kept.where((F.col("coin") == coin) & F.col("equity").isNotNull()).count() == 150
+
+
+def plain_positions(fills):
+    """(inventory, average, realized) after each (signed size, price), lot by lot of one average."""
+    held = average = realized = 0.0
+    for by, price in fills:
+        closed = min(abs(by), abs(held)) * (1 if held > 0 else -1) if by * held < 0 else 0.0
+        realized += closed * (price - average)
+        opened = by + closed
+        held_left = held - closed
+        if opened:
+            average = (held_left * average + opened * price) / (held_left + opened)
+        held = held_left + opened
+        yield held, average, realized
+
+
+@pytest.mark.parametrize("block_ms", [7_000, 86_400_000])
+def test_positions_against_a_loop(spark, block_ms):
+    r = random.Random(block_ms)
+    rows = [(c, i * 500, i, r.choice(("buy", "sell")), r.randint(300, 400) / 8, r.choice((0.25, 0.5, 1.0, 3.0)), 0.125) for c in "XYZ" for i in range(150)]
+    df = spark.createDataFrame(rows, "coin string, timestamp_ms long, n long, side string, price double, size double, fee double")
+    got = {(x.coin, x.n): x for x in risk.positions(df.repartition(5), order=["timestamp_ms", "n"], block_ms=block_ms).collect()}
+    assert len(got) == len(rows)
+    for c in "XYZ":
+        mine = [x for x in rows if x[0] == c]
+        for x, want in zip(mine, plain_positions([(x[5] if x[3] == "buy" else -x[5], x[4]) for x in mine]), strict=True):
+            p = got[c, x[2]]
+            assert (p.inventory, p.avg_price, p.realized) == pytest.approx(want) and p.fees == pytest.approx(0.125 * (x[2] + 1))
+
+
+def test_a_closed_position_keeps_its_price_until_the_next_fill(spark):
+    rows = [("A", 0, "buy", 20.0, 0.1, 0.0), ("A", 1, "buy", 26.0, 0.2, 0.0), ("A", 2, "sell", 30.0, 0.3, 0.0), ("A", 3, "sell", 31.0, 2.0, 0.0), ("A", 4, "buy", 29.0, 5.0, 0.0)]
+    df = spark.createDataFrame(rows, "coin string, timestamp_ms long, side string, price double, size double, fee double")
+    got = sorted(risk.positions(df).collect(), key=lambda x: x.timestamp_ms)
+    assert [x.avg_price for x in got] == pytest.approx([20.0, 24.0, 24.0, 31.0, 29.0]) and [x.inventory for x in got] == pytest.approx([0.1, 0.3, 0.0, -2.0, 3.0])
+    assert got[2].inventory == 0.0 and got[-1].realized == pytest.approx(0.3 * 6 + 2 * 2)

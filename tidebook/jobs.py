@@ -19,6 +19,7 @@ from .operators import features, replay, strategies
 from .operators.study import study
 from .sources import capture, sinks
 from .sources.normalize import Outcome, normalize, read_table
+from .store import stored
 
 SIGNALS = ["tob_imbalance", "imbalance_d5", "imbalance_d10", "imbalance_d20", "ofi"]
 CONTROLS = ["spread_bps", "realized_vol", "momentum"]
@@ -71,14 +72,17 @@ def run_backtest(spark: SparkSession, s: config.Settings, out_dir: str, names: S
         tables = [read_table(spark, f"{s.capture.data_dir}/normalized/feed", t, list(s.symbols)) for t in ("l2book", "trades", "asset_ctx")]
     books, trades, ctx = tables
     a = s.analytics
-    prepared = features.prepared_books(books, a.depths, a.depth_bps, a.window_rows, a.drought_z)
-    made = {n: (lambda n=n: strategies.build(n, s)) for n in names}
+    lookback = int(s.inventory_aware.vol_lookback_s * 1000)
+    prepared = stored(features.prepared_books(books, a.depths, a.depth_bps, a.window_rows, a.drought_z, lookback), "books", narrow=False)
+    made = {n: strategies.build(n, s) for n in names}
     path = f"{out_dir}/replay"
-    replay.replay(prepared, trades, ctx, made, s.backtest, s.fees).write.mode("overwrite").parquet(path)  # replayed once
-    replayed = spark.read.parquet(path)
-    summary = replay.report(replayed, s.backtest.starting_cash)
+    replay.fills(prepared, trades, made, s.backtest, s.fees).write.mode("overwrite").parquet(f"{path}/fills")  # replayed once
+    fills = spark.read.parquet(f"{path}/fills")
+    replay.accounts(fills, prepared, ctx, names, s.backtest.starting_cash).write.mode("overwrite").parquet(f"{path}/accounts")
+    accounts = spark.read.parquet(f"{path}/accounts")
+    summary = replay.report(fills, accounts, s.backtest.starting_cash)
     sinks.write_json(summary.orderBy("run", "coin").coalesce(1), f"{out_dir}/summary_json")
-    for name, rows in (("fills", replay.fills(replayed)), ("equity", replay.equity_curve(replayed))):
+    for name, rows in (("fills", fills.drop("seq")), ("equity", replay.equity_curve(accounts))):
         sinks.write_csv(rows.orderBy("run", "coin", "timestamp_ms"), f"{out_dir}/{name}_csv")
     return summary
 

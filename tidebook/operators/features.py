@@ -92,10 +92,13 @@ def feature_table(books: DataFrame, depths: tuple[int, ...] = (5, 10, 20), lookb
     return with_flow(stored(df, "tops", narrow=False), lookback, block_ms).drop("bid_sz", "ask_sz")
 
 
-def prepared_books(books: DataFrame, depths: tuple[int, ...] = (5, 10, 20), bps: float = 10.0, window_rows: int = 300, drought_z: float = -2.5) -> DataFrame:
-    """Books as the replay wants them: with spread, microprice, imbalance and droughts; ladders stay."""
+def prepared_books(
+    books: DataFrame, depths: tuple[int, ...] = (5, 10, 20), bps: float = 10.0, window_rows: int = 300, drought_z: float = -2.5, sigma_ms: int = 60_000
+) -> DataFrame:
+    """Books as the replay wants them: with spread, microprice, imbalance, droughts and sigma; ladders stay."""
     df = with_imbalance(with_microprice(with_spread(dedup_books(books))), depths)
-    return with_liquidity(df, bps, window_rows, drought_z)
+    sigma = with_sigma(stored(df.select("coin", "exch_time_ms", "mid"), "mids", narrow=False), sigma_ms).drop("mid")
+    return with_liquidity(df, bps, window_rows, drought_z).join(sigma, ["coin", "exch_time_ms"])
 
 
 def gaps(messages: DataFrame, threshold_ms: int, key: str = "coin", time: str = "exch_time_ms", block_ms: int = BLOCK_MS) -> DataFrame:

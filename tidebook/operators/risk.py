@@ -44,27 +44,49 @@ def position(fills: Column | str) -> Column:
     return F.aggregate(fills, zero, apply)
 
 
-def positions(fills: DataFrame, key: str = "coin", time: str = "timestamp_ms", order: list[str] | None = None) -> DataFrame:
-    """fills (side, price, size, fee) with the average-cost position after each: inventory, avg_price, realized, fees. A
-    key's fills are one sequence: they are sorted and streamed through the account in batches, with only its state
-    carried over."""
-    from .replay import Account  # not at the top: the replay reports risk
-
-    schema = T.StructType([*fills.schema.fields, *[T.StructField(n, T.DoubleType()) for n in POSITION]])
+def positions(fills: DataFrame, key: str = "coin", time: str = "timestamp_ms", order: list[str] | None = None, flat: float = 1e-9, block_ms: int = BLOCK_MS) -> DataFrame:
+    """fills (side, price, size, fee) with the average-cost position after each: inventory, avg_price, realized, fees. `order` tells
+    all fills of a key apart.
+
+    A position begins where the inventory was 0 or turns over, which its running sum tells (sums within `flat` of 0 are 0); a fill
+    that turns it is cut in two, what closes and what opens. The average price depends on nothing before the position's
+    beginning, so positions are folded in parallel, each streamed in batches with its size and average carried over;
+    what they realized is added up by running sums."""
+    order = order or [time]
+    signed = F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size"))
+    exact = F.col("fee").cast("decimal(28,12)")  # sums of fees do not depend on how they are cut into blocks
+    legs = running(fills, {"inventory": signed, "fees": exact}, key, order, time, block_ms).withColumn("fees", F.col("fees").cast("double"))
+    zeroed = lambda c: F.when(F.abs(c) < flat, F.lit(0.0)).otherwise(c)
+    legs = legs.withColumn("_before", zeroed(F.col("inventory") - signed)).withColumn("inventory", zeroed(F.col("inventory")))
+    turns = F.col("_before") * F.col("inventory") < 0
+    leg = lambda n, opens, by: F.struct(F.lit(n).alias("_leg"), opens.alias("_opens"), by.alias("_by"))
+    whole = F.array(leg(1, F.col("_before") == 0, signed))
+    legs = legs.withColumn("_x", F.explode(F.when(turns, F.array(leg(0, F.lit(False), -F.col("_before")), leg(1, F.lit(True), F.col("inventory")))).otherwise(whole)))
+    legs = stored(legs.select("*", "_x.*").drop("_x", "_before"), "legs", narrow=False)
+    steps = [*order, "_leg"]
+    told = running(legs, {"_position": F.col("_opens").cast("long")}, key, steps, time, block_ms)
+    schema = T.StructType([*told.schema.fields, T.StructField("avg_price", T.DoubleType()), T.StructField("_gain", T.DoubleType())])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, account = None, Account(0.0)
+        at, held, average = None, 0.0, 0.0
         for batch in batches:
-            out: list[tuple] = []
-            for k, side, price, size, fee in zip(*[batch.column(c).to_pylist() for c in (key, "side", "price", "size", "fee")], strict=True):
-                if k != now:
-                    now, account = k, Account(0.0)
-                account.fill(size if side == "buy" else -size, price, fee)
-                out.append((account.inventory, account.average, account.realized, account.fees))
-            made = [pa.array(x, pa.float64()) for x in zip(*out, strict=True)] or [pa.array([], pa.float64())] * len(POSITION)
+            averages, gains = [], []
+            for own in zip(*[batch.column(c).to_pylist() for c in (key, "_position", "_by", "price")], strict=True):
+                if own[:2] != at:
+                    at, held, average = own[:2], 0.0, 0.0
+                by, price = own[2:]
+                if held * by >= 0:  # more of it: the average of what is held, and nothing gained
+                    held, average, gain = held + by, (held * average + by * price) / (held + by) if held + by else average, 0.0
+                else:
+                    held, gain = held + by, -by * (price - average)
+                averages.append(average)
+                gains.append(gain)
+            made = [pa.array(averages, pa.float64()), pa.array(gains, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
-    return fills.repartition(key).sortWithinPartitions(key, *(order or [time])).mapInArrow(fold, schema)
+    folded = told.repartition(key, "_position").sortWithinPartitions(key, "_position", *steps).mapInArrow(fold, schema)
+    out = running(stored(folded, "positions", narrow=False), {"realized": F.col("_gain")}, key, steps, time, block_ms)
+    return out.where("_leg = 1").select(*fills.columns, *POSITION)
 
 
 def unrealized(position: Column, mark: Column) -> Column:

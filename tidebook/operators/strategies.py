@@ -1,86 +1,56 @@
-"""The strategy protocol of the replay, and the two market makers."""
+"""Quoting rules: functions of a book's columns and one's own inventory.
+
+What a rule needs to know of the market (microprice, volatility, droughts, any signal) is a column of the books, made
+by Spark before the replay; a rule keeps nothing. Anyone's function of that form is a strategy.
+"""
 
 from __future__ import annotations
 
-import math
-from collections import deque
-from dataclasses import dataclass, field
-from typing import Any, Protocol
+from collections.abc import Callable, Mapping
+from typing import Any
 
 from ..config import InventoryAware, Settings, Symmetric
 
-NO_QUOTE = (None, 0.0, None, 0.0)
-
-
-class Strategy(Protocol):
-    """What the replay calls: with every book before asking for quotes, and with every fill. Quotes are
-    (bid price, bid size, ask price, ask size); a null price or a size of 0 withdraws the side."""
-
-    name: str
-
-    def on_book(self, book: dict[str, Any]) -> None: ...
-
-    def on_fill(self, time_ms: int, signed_size: float, price: float) -> None: ...
+#: (bid price, bid size, ask price, ask size); a null price or a size of 0 is no quote on that side.
+Quote = tuple[float | None, float, float | None, float]
+Rule = Callable[[Mapping[str, Any], float], Quote]
 
-    def quotes(self, book: dict[str, Any]) -> tuple[float | None, float, float | None, float]: ...
+NONE: Quote = (None, 0.0, None, 0.0)
 
 
-@dataclass
-class SymmetricMaker:
-    """Fixed distance from the microprice, fixed size; a side stops at the inventory cap; no quotes in a
-    drought."""
+def around(centre: float, half: float, s: Symmetric | InventoryAware, held: float) -> Quote:
+    """Both sides of a centre; the one that would add to an inventory at its cap has no size."""
+    long_full, short_full = held >= s.max_inventory, held <= -s.max_inventory
+    return centre - half, 0.0 if long_full else s.quote_size, centre + half, 0.0 if short_full else s.quote_size
 
-    settings: Symmetric = field(default_factory=Symmetric)
-    inventory: float = 0.0
-    name: str = "naive_mm"
 
-    def on_book(self, book: dict[str, Any]) -> None:
-        pass
+def symmetric(s: Symmetric) -> Rule:
+    """A fixed distance from the microprice; nothing in a drought."""
 
-    def on_fill(self, time_ms: int, signed_size: float, price: float) -> None:
-        self.inventory += signed_size
-
-    def quotes(self, book: dict[str, Any]) -> tuple[float | None, float, float | None, float]:
-        return NO_QUOTE if book["liquidity_drought"] else self._around(book["microprice"], book["microprice"] * self.settings.half_spread_bps / 10_000)
-
-    def _around(self, centre: float, half: float) -> tuple[float | None, float, float | None, float]:
-        s = self.settings
-        return centre - half, s.quote_size if self.inventory < s.max_inventory else 0.0, centre + half, s.quote_size if self.inventory > -s.max_inventory else 0.0
-
-
-@dataclass
-class InventoryMaker(SymmetricMaker):
-    """Leans its centre against the inventory, and widens, with the variance of the mid's recent steps."""
+    def rule(book: Mapping[str, Any], held: float) -> Quote:
+        if book["liquidity_drought"]:
+            return NONE
+        fair = book["microprice"]
+        return around(fair, fair * s.half_spread_bps / 10_000, s, held)
 
-    settings: InventoryAware = field(default_factory=InventoryAware)
-    name: str = "inventory_mm"
-    mids: deque = field(default_factory=deque)
+    return rule
 
-    def on_book(self, book: dict[str, Any]) -> None:
-        self.mids.append((book["exch_time_ms"], book["mid"]))
-        while self.mids[0][0] < book["exch_time_ms"] - self.settings.vol_lookback_s * 1000:
-            self.mids.popleft()
 
-    def sigma(self) -> float:
-        if len(self.mids) < 3:
-            return 0.0
-        m = [x for _, x in self.mids]
-        steps = [b - a for a, b in zip(m, m[1:], strict=False)]
-        mean = sum(steps) / len(steps)
-        return math.sqrt(sum((x - mean) ** 2 for x in steps) / len(steps))
+def inventory_aware(s: InventoryAware) -> Rule:
+    """Leans against the inventory and widens with the variance of the mid's recent steps (column sigma); nothing in a drought."""
 
-    def quotes(self, book: dict[str, Any]) -> tuple[float | None, float, float | None, float]:
+    def rule(book: Mapping[str, Any], held: float) -> Quote:
         if book["liquidity_drought"]:
-            return NO_QUOTE
-        s = self.settings
-        risk = s.risk_aversion * self.sigma() ** 2 * s.decay_s
-        return self._around(book["mid"] - self.inventory * risk, max(s.half_spread_bps / 10_000 * book["mid"], 0.5 * risk))
+            return NONE
+        risk = s.risk_aversion * book["sigma"] ** 2 * s.decay_s
+        return around(book["mid"] - held * risk, max(0.5 * risk, s.half_spread_bps / 10_000 * book["mid"]), s, held)
+
+    return rule
 
 
-def build(name: str, settings: Settings | None = None) -> Strategy:
+def build(name: str, settings: Settings | None = None) -> Rule:
     settings = settings or Settings()
-    if name == "naive_mm":
-        return SymmetricMaker(settings.symmetric)
-    if name == "inventory_mm":
-        return InventoryMaker(settings.inventory_aware)
-    raise ValueError(f"unknown strategy {name!r}")
+    known = {"naive_mm": lambda: symmetric(settings.symmetric), "inventory_mm": lambda: inventory_aware(settings.inventory_aware)}
+    if name not in known:
+        raise ValueError(f"unknown strategy {name!r}")
+    return known[name]()

@@ -476,25 +476,30 @@ def average_cost(m: Market) -> DataFrame:
     return last.select("coin", "day", "p.inventory", r("p.avg_price", 5).alias("avg_price"), r("p.realized", 4).alias("realized"), r("p.fees", 4).alias("fees_paid"), r(gain, 4).alias("unrealized"))
 
 
-def _replayed(m: Market) -> DataFrame:
-    runs = {n: (lambda n=n: strategies.build(n, SETTINGS)) for n in ("naive_mm", "inventory_mm")}
-    books = features.prepared_books(m.l2book)
-    return replay.replay(books, m.trades, m.asset_ctx, runs, Backtest(), Fees())
+MAKERS = ("naive_mm", "inventory_mm")
+
+
+def _filled(m: Market) -> tuple[DataFrame, DataFrame]:
+    books = stored(features.prepared_books(m.l2book, sigma_ms=SIGMA_MS), "books", narrow=False)
+    return books, replay.fills(books, m.trades, {n: strategies.build(n, SETTINGS) for n in MAKERS}, Backtest(), Fees())
 
 
 @query
 def backtest_report(m: Market) -> DataFrame:
-    return replay.report(_replayed(m))
+    books, filled = _filled(m)
+    filled = stored(filled, "fills", narrow=False)
+    return replay.report(filled, stored(replay.accounts(filled, books, m.asset_ctx, MAKERS), "accounts", narrow=False))
 
 
 @query
 def backtest_fills(m: Market) -> DataFrame:
-    return replay.fills(_replayed(m))
+    return _filled(m)[1].drop("seq")
 
 
 @query
 def backtest_equity(m: Market) -> DataFrame:
-    return replay.equity_curve(_replayed(m))
+    books, filled = _filled(m)
+    return replay.equity_curve(replay.accounts(filled, books, m.asset_ctx, MAKERS))
 
 
 @query

@@ -1,21 +1,16 @@
-"""Keyed state on streams: gaps, latest funding, books kept up by updates, and the replay itself."""
+"""Keyed state on streams: gaps, latest funding, and books kept up by updates."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import Backtest, Fees
 from ..functions.book import with_spread
-from ..operators.replay import EVENT_COLUMNS, OUT, Session
-from ..operators.strategies import Strategy
 
 NONE = GroupStateTimeout.NoTimeout
 
@@ -93,25 +88,6 @@ def books(updates: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def replay(events: DataFrame, strategy: Callable[[], Strategy], backtest: Backtest | None = None, fees: Fees | None = None, run: str = "live") -> DataFrame:
-    """The replay on a stream of merged events: equity and fill rows as they come. Events are put in
-    order within a micro-batch; the session is the state."""
-    backtest, fees = backtest or Backtest(), fees or Fees()
-    names = [c.split()[0] for c in OUT.split(", ")]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session = cloudpickle.loads(state.get[0]) if state.exists else Session(strategy(), backtest, fees.maker_bps)
-        out = []
-        for e in _in_order(batches, ["ts_ms", "kind", "recv_ts_ns", "seq"]).to_dict("records"):
-            e = {k: list(v) if isinstance(v, np.ndarray) else None if not hasattr(v, "__len__") and pd.isna(v) else v for k, v in e.items()}
-            out += [{"run": run, "coin": key[0]} | r for r in session.feed(e)]
-        state.update((cloudpickle.dumps(session),))
-        yield pd.DataFrame(out, columns=names)
-
-    columns = [c for c in EVENT_COLUMNS if c != "coin"]
-    return events.select("coin", *columns).groupBy("coin").applyInPandasWithState(step, OUT, "session binary", "append", NONE)
-
-
 def spread_by_window(stream: DataFrame, late: str = "10 seconds", width: str = "1 minute") -> DataFrame:
     """Mean spread and number of books per coin and window of receive time; later books are dropped."""
     at = F.timestamp_micros(F.expr("recv_ts_ns div 1000"))
