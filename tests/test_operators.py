@@ -175,6 +175,33 @@ def test_net_of_cost(spark):
     assert r.net_n == 2 and r.net_mean_bps == pytest.approx(6.0) and r.net_t is None
 
 
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.5, 0.75, 1.0])
+def test_quantile_is_exact_and_sorts_only_its_bracket(spark, share):
+    rng = np.random.default_rng(int(share * 100))
+    groups = {"wide": rng.normal(size=6000), "ties": rng.integers(-2, 3, 3000).astype(float), "one": np.array([7.5]), "zeros": np.array([-0.0, 0.0, 0.0, -1.0]), "skew": np.exp(rng.normal(size=4000) * 6)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    got = {r.g: r.quantile for r in ranks.quantile(df, "v", share, ["g"], accuracy=200).collect()}
+    assert got == pytest.approx({g: np.quantile(x, share) for g, x in groups.items()})
+    held = ranks.quantile(df, "v", share, ["g"], accuracy=1000)
+    held.collect()
+    text = held._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Window") >= 1
+    node, most = held._jdf.queryExecution().executedPlan().executedPlan(), 0
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x.nodeName() == "Window":
+            child = x.children().head()
+            while not child.metrics().contains("numOutputRows"):
+                child = child.plan() if "QueryStage" in child.nodeName() else child.children().head()
+            most = max(most, child.metrics().get("numOutputRows").get().value())
+        if "QueryStage" in x.nodeName():
+            todo.append(x.plan())
+        todo += [x.children().apply(i) for i in range(x.children().size())]
+    assert 0 < most < 400  # of some 13,000 values; the groups of fewer than 1,000 are whole
+
+
 def test_position_fold(spark):
     fills = [("sell", 40.0, 3.0, 0.0), ("sell", 44.0, 1.0, 0.25), ("buy", 37.0, 2.0, 0.0), ("buy", 45.0, 6.0, 0.5)]
     df = spark.createDataFrame([(fills,)], "f array<struct<side:string,price:double,size:double,fee:double>>")

@@ -18,12 +18,13 @@ from .blocks import BLOCK, BLOCK_MS, with_block
 def asof(queries: DataFrame, observed: DataFrame, values: list[str], key: str, at: str, time: str, direction: str, ties: list[str] | None = None, block_ms: int = BLOCK_MS) -> DataFrame:
     """queries with `values` of the latest observation at or before queries[at] (`backward`), or of the
     first at or after it (`forward`); null where there is none. `ties` order observations of one time:
-    backward takes the last, forward the first."""
+    backward takes the last, forward the first. Of the observations only these columns are read, and stored where they are not
+    a scan; that happens as the plan is built."""
     if direction not in ("backward", "forward"):
         raise ValueError(f"unknown direction {direction!r}")
     ties, ahead = ties or [], direction == "forward"
     found = F.struct(*[F.col(v).alias(v) for v in values])
-    queries, observed = once(queries, "queries"), once(observed, "observed")
+    queries, observed = once(queries, "queries"), once(observed.select(*dict.fromkeys([key, time, *ties, *values])), "observed")
     q = with_block(queries.withColumn("_at", F.col(at)), "_at", block_ms)
     o = with_block(observed.select(key, F.col(time).alias("_at"), *[F.col(t).alias(f"_tie_{t}") for t in ties], found.alias("_found")), "_at", block_ms)
     # ahead: from the latest on, so that the observation is met first; at one time before the query

@@ -34,9 +34,9 @@ def few_files(df: DataFrame) -> DataFrame:
 
 
 def is_scan(df: DataFrame) -> bool:
-    """Whether df is no more than columns and filters of a table read from files."""
+    """Whether df is no more than columns, filters and exploded columns of a table read from files."""
     node = df._jdf.queryExecution().optimizedPlan()
-    while node.nodeName() in ("Project", "Filter"):
+    while node.nodeName() in ("Project", "Filter", "Generate"):
         node = node.children().head()
     return node.nodeName() == "LogicalRelation"
 
