@@ -9,7 +9,8 @@ from pyspark.sql.window import Window, WindowSpec
 from ..functions.book import top, with_imbalance, with_microprice, with_spread
 from ..functions.liquidity import with_depth
 from ..store import stored
-from .blocks import BLOCK_MS, over_history, over_lookback
+from .blocks import BLOCK_MS, over_history
+from .moments import over_rows, rolling_deviation, step_deviation
 from .ranks import quantile
 
 
@@ -52,13 +53,10 @@ def liquidity_signal(df: DataFrame, bps: float = 10.0, window_rows: int = 300, d
     rolling z-score, and whether that is below drought_z. The score is null without enough history; no
     spread gives no signal. The depths are stored once, so that the windows never see a ladder."""
     depth = f"depth_within_{int(bps)}bps"
-    slim = stored(with_depth(df, bps).select("coin", "exch_time_ms", *keep, depth), "depths", narrow=False)
-
-    def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
-        mean, spread = rolling(F.col(depth), w, window_rows, F.avg), rolling(F.col(depth), w, window_rows, F.stddev_samp)
-        return df.withColumn("liquidity_z", F.when(spread > 0, (F.col(depth) - mean) / spread))
-
-    scored = over_history(slim, window_rows - 1, compute, block_ms=block_ms)
+    slim = with_depth(df, bps).select("coin", "exch_time_ms", *keep, depth)
+    framed = over_rows(slim, depth, window_rows, block_ms=block_ms)
+    spread = rolling_deviation(max(2, window_rows // 4))
+    scored = framed.withColumn("liquidity_z", F.when(spread > 0, (F.col("_x") - F.col("_mean")) / spread)).drop("_n", "_x", "_mean", "_m2")
     return scored.withColumn("liquidity_drought", F.coalesce(F.col("liquidity_z") < drought_z, F.lit(False)))
 
 
@@ -70,18 +68,8 @@ def with_liquidity(books: DataFrame, bps: float = 10.0, window_rows: int = 300,
 def with_sigma(df: DataFrame, lookback_ms: int, block_ms: int = BLOCK_MS) -> DataFrame:
     """sigma: population deviation of the steps of the mid among books of the last lookback_ms, this one
     included; 0 below three books. The step into the window is not among them. Books are one per time.
-
-    A step is kept with the book it leaves, so that those from the first book of the window to this one are the frame up
-    to a millisecond ago; nothing is collected per row.
     """
-
-    def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
-        frame = w.rangeBetween(-lookback_ms, -1)
-        df = df.withColumn("_step", F.lead("mid").over(w) - F.col("mid"))
-        sigma = F.when(F.count("_step").over(frame) < 2, F.lit(0.0)).otherwise(F.stddev_pop("_step").over(frame))
-        return df.withColumn("sigma", sigma).drop("_step")
-
-    return over_lookback(df, lookback_ms, compute, block_ms=block_ms)
+    return step_deviation(df, "mid", lookback_ms, block_ms=block_ms)
 
 
 def feature_table(books: DataFrame, depths: tuple[int, ...] = (5, 10, 20), lookback: int = 20, block_ms: int = BLOCK_MS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..store import stored
 from .blocks import BLOCK_MS, over_history, running
-from .features import rolling
+from .moments import over_rows, rolling_deviation
 from .ranks import quantile
 
 POSITION = ("inventory", "avg_price", "realized", "fees")
@@ -135,8 +135,8 @@ def risk_report(curve: DataFrame, key: str = "coin", time: str = "timestamp_ms",
 def inventory_volatility(df: DataFrame, rows: int, key: str = "coin", time: str = "timestamp_ms", block_ms: int = BLOCK_MS) -> DataFrame:
     """df with inventory_vol: sample deviation of the inventory over the last `rows` rows, null below
     max(2, rows // 4)."""
-    compute = lambda d, w: d.withColumn("inventory_vol", rolling(F.col("inventory"), w, rows, F.stddev_samp))
-    return over_history(df, rows - 1, compute, key, [time], time, block_ms)
+    framed = over_rows(df, "inventory", rows, key, [time], time, block_ms)
+    return framed.select(*df.columns, rolling_deviation(max(2, rows // 4)).alias("inventory_vol"))
 
 
 def turnover(fills: DataFrame, key: str = "coin") -> DataFrame:
