@@ -104,13 +104,6 @@ class Segment:
         self.at = np.full(self.size, -1, np.int32)
         self.at[self.postings] = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.counts)
 
-    def number(self, terms: np.ndarray) -> np.ndarray:
-        """The segment's numbers of some terms, -1 for those that are not in it."""
-        if not len(self.terms):
-            return np.full(len(terms), -1, np.int32)
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        return np.where(self.terms[at] == terms, at, -1).astype(np.int32)
-
     def lists(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The postings of several terms one after the other, and whose each is."""
         n = self.counts[which]
@@ -125,12 +118,22 @@ class Segment:
 @dataclass
 class Block:
     """Test windows as a matrix of term numbers, -1 after the end of shorter ones; the terms; and the items
-    of each window."""
+    of each window. Windows are looked up by their lead, the term of theirs that fewest windows have."""
 
     terms: np.ndarray
     windows: np.ndarray
     items: list[list[str]]
 
+    def __post_init__(self) -> None:
+        often = np.append(np.bincount(self.windows[self.windows >= 0], minlength=len(self.terms)), np.iinfo(np.int64).max)  # -1 is never the least
+        each = np.arange(len(self.windows))
+        lead = self.windows[each, often[self.windows].argmin(axis=1)] if len(each) else each
+        self.by_lead = np.argsort(lead, kind="stable")
+        self.many = np.bincount(lead, minlength=len(self.terms))
+        self.begin = np.cumsum(self.many) - self.many
+        self.number = np.full(len(self.terms) + 1, -1, np.int32)  # a segment's numbers of its terms, while it is searched
+        self.number[-1] = -2  # what is after a window's end stays apart from absent terms
+
     @classmethod
     def of(cls, rows: DataFrame, window: int) -> Block:
         """Of rows (window, items): a block of them, which the driver holds for a while."""
@@ -143,14 +146,23 @@ class Block:
         return cls(terms, windows, table["items"].to_pylist())
 
     def inside(self, seg: Segment) -> tuple[np.ndarray, np.ndarray]:
-        """The windows all of whose terms are in the segment, and those terms by the segment's numbers, the
-        rarest in it first; -1 after the last."""
-        number = np.append(seg.number(self.terms), -2).astype(np.int32)  # -1 stays apart from absent terms
-        have = np.arange(len(self.windows))
+        """The windows all of whose terms are in the segment, and those terms by the segment's numbers; -1 after the last. The
+        segment's terms are looked up among the block's, and only windows whose lead is there are looked at, so the
+        cost goes with the segment and with what may match in it, not with the number of windows."""
+        if not len(self.terms) or not len(seg.terms):
+            return np.empty(0, np.int64), np.empty((0, self.windows.shape[1]), np.int32)
+        at = np.minimum(np.searchsorted(self.terms, seg.terms), len(self.terms) - 1)
+        found = np.flatnonzero(self.terms[at] == seg.terms)
+        there = at[found]
+        self.number[there] = found
+        n = self.many[there]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        have = np.sort(self.by_lead[np.repeat(self.begin[there], n) + inner])
         for j in range(self.windows.shape[1]):
             column = self.windows[have, j]
-            have = have[(column < 0) | (number[column] >= 0)]
-        local = np.where(self.windows[have] < 0, -1, number[self.windows[have]])
+            have = have[(column < 0) | (self.number[column] >= 0)]
+        local = np.where(self.windows[have] < 0, -1, self.number[self.windows[have]]).astype(np.int32)
+        self.number[there] = -1
         return have, local
 
     @staticmethod
