@@ -73,6 +73,7 @@ def test_study_report(spark, data, tmp_path):
     rows = sinks.read_results(spark, f"{tmp_path}/research_csv").collect()
     assert {(r.feature, r.horizon_ms) for r in rows} == {(f, h) for f in jobs.SIGNALS for h in config.Research().horizons_ms}
     assert len(rows) == 25 and all(r.coin == "BTC" and r.n > 0 for r in rows)
+    assert [(r.horizon_ms, r.feature) for r in rows] == sorted((r.horizon_ms, r.feature) for r in rows)  # as written
     again = sinks.read_results(spark, f"{tmp_path}/research_json").collect()
     assert sorted((r.feature, r.horizon_ms, r.n) for r in again) == sorted((r.feature, r.horizon_ms, r.n) for r in rows)
 
@@ -83,6 +84,9 @@ def test_backtest_report(spark, data, tmp_path):
     assert set(summary) == {"naive_mm", "inventory_mm"} and summary["naive_mm"].n_fills > 0
     fills = sinks.read_results(spark, f"{tmp_path}/fills_csv").collect()
     equity = sinks.read_results(spark, f"{tmp_path}/equity_csv").collect()
+    for some in (fills, equity):
+        times = [(r.run, r.coin, r.timestamp_ms) for r in some]
+        assert times == sorted(times)
     for run, r in summary.items():
         mine = [f for f in fills if f.run == run]
         assert len(mine) == r.n_fills and sum(f.fee for f in mine) == pytest.approx(r.fees_paid)

@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
+from pyspark.sql import functions as F
+
+from tidebook.functions import book, liquidity, quotes, rates, slippage, ticks
 from tidebook.streaming import keyed
 
 
@@ -37,3 +42,36 @@ def test_spread_by_window(spark, tmp_path):
     batches = [[("A", s * 10**9, [100.0], [101.0])] for s in (0, 30, 300, 301)]
     got = run(spark, tmp_path, batches, schema, lambda s: keyed.spread_by_window(s), "append", "spreads")
     assert got[0].n == 2 and got[0].spread_bps == pytest.approx(1 / 100.5 * 1e4)
+
+
+def test_scalars_on_a_stream(spark, tmp_path):
+    """Spread, microprice, imbalance, slippage, depth, rates, ticks and quotes: the same columns on a stream as on a table."""
+    ladder = "array<double>"
+    schema = f"coin string, bid_px {ladder}, bid_sz {ladder}, ask_px {ladder}, ask_sz {ladder}, funding double"
+    rows = [("A", [40.25 - i, 40.0 - i], [3.0, 1.5 + i], [40.5 + i, 41.0 + i], [2.0, 8.0], 1e-5 * i) for i in range(6)] + [("B", [], [], [], [], 0.0)]
+
+    def scalars(df):
+        df = liquidity.with_depth(book.with_imbalance(book.with_microprice(book.with_spread(df)), (2,)), 300.0)
+        df = rates.with_apr(slippage.with_slippage(df, [1, 4], "buy"))
+        tick = ticks.tick_size("ask_px")
+        quote = quotes.symmetric_quote("microprice", F.lit(0.0), 5.0, 1.0, 2.0, F.lit(False))
+        extra = {"tick": tick, "down": ticks.round_to_tick(F.col("mid"), F.lit(0.5), "down"), "fee": rates.fee(F.col("mid"), 1.5), "quote": quote, "paid": rates.funding_payment(F.lit(2.0), "mid", "funding")}
+        return df.withColumns(extra | {"at": book.depth_at(F.col("best_bid"), "bid_px", "bid_sz"), "crossed": book.is_crossed(F.col("best_bid"), F.col("best_ask")), "best": book.levels("bid_px", "bid_sz", 1, "bid")})
+
+    want = scalars(spark.createDataFrame(rows, schema)).collect()
+    got = run(spark, tmp_path, [rows[:3], rows[3:]], schema, scalars, "append", "scalars")
+    assert len(want[0]) > 20 and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_capture_stats_count_messages(spark, tmp_path):
+    stats = keyed.CaptureStats()
+    spark.streams.addListener(stats)
+    try:
+        run(spark, tmp_path, [[("c", "A", i)] for i in range(4)], "channel string, coin string, exch_time_ms long", lambda s: s, "append", "counted")
+        for _ in range(100):
+            if stats.ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(stats)
+    assert stats.messages == 4 and stats.batches >= 4 and stats.ended == 1 and stats.rate > 0
