@@ -275,7 +275,7 @@ class FeedReader(SimpleDataSourceStreamReader):
         if start["n"] >= self.journal.next:  # all that was received is planned
             self._receive(most)
         end = min(self.journal.next, start["n"] + most)
-        return self.journal.rows(start["n"], end), {"n": max(end, start["n"])}
+        return iter(list(self.journal.rows(start["n"], end))), {"n": max(end, start["n"])}  # Spark copies the iterator
 
     def _receive(self, most: int) -> None:
         if self.feed is None:
@@ -290,7 +290,7 @@ class FeedReader(SimpleDataSourceStreamReader):
         log.info("%s", self.feed.status())
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self.journal.rows(start["n"], end["n"])
+        return iter(list(self.journal.rows(start["n"], end["n"])))
 
     def commit(self, end: dict) -> None:
         self.journal.forget(end["n"])
@@ -345,10 +345,10 @@ class PollStream(SimpleDataSourceStreamReader):
                 self.journal.append(row)
             self.journal.sync()
         end = max(self.journal.next, start["n"])
-        return self.journal.rows(start["n"], end), {"n": end}
+        return iter(list(self.journal.rows(start["n"], end))), {"n": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self.journal.rows(start["n"], end["n"])
+        return iter(list(self.journal.rows(start["n"], end["n"])))
 
     def commit(self, end: dict) -> None:
         self.journal.forget(end["n"])
