@@ -25,21 +25,22 @@ def study(
     quantile: float = 0.75,
     least_rows: int = 50,
     label: str = "mid",
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
     """Books of all coins to one row per (coin, feature, horizon) on the test split. Thresholds come from
-    the train split alone. Everything is a column of one DataFrame; stored are the features, the labelled table and the sums."""
-    split = stats.chronological_split(stats.with_history(stored(features.feature_table(books, depths), "features"), least_rows), train_fraction)
-    wide = stored(asof.forward_returns(split, horizons_ms, (label,)), "labelled")
-    long = lambda df: stats.long_form(df, signals, horizons_ms, label, tuple(controls))
+    the train split alone. One book per time is used, or, with `ties`, all of them in their order. Everything is a column of one DataFrame; stored are the features, the labelled table and the sums."""
+    split = stats.chronological_split(stats.with_history(stored(features.feature_table(books, depths, ties=ties), "features"), least_rows), train_fraction)
+    wide = stored(asof.forward_returns(split, horizons_ms, (label,), ties=ties), "labelled")
+    long = lambda df: stats.long_form(df, signals, horizons_ms, label, (*controls, *ties))
     test, train = long(wide.where("is_train = false")), long(wide.where("is_train")).where(F.col("horizon_ms") == horizons_ms[0])
     limits = stats.thresholds(train, quantile)
     interval = features.median_interval(wide)
     h = F.explode(F.array(*[F.lit(x).cast("long") for x in horizons_ms])).alias("horizon_ms")
     lags = interval.select("coin", "median_interval_ms", h).select("coin", "horizon_ms", stats.maxlags(F.col("horizon_ms"), F.col("median_interval_ms")).alias("lags"))
-    joined = stats.information_coefficient(test).join(stats.directional_accuracy(test), stats.CELL, "left")
+    joined = stats.information_coefficient(test, ("exch_time_ms", *ties)).join(stats.directional_accuracy(test), stats.CELL, "left")
     joined = joined.join(stats.net_of_cost(test, limits, taker_bps), stats.CELL, "left").join(limits, ["coin", "feature"], "left")
     for used, suffix in (([], ""), (controls, "_ctrl")):
-        fit = stats.hac_regression(test, used, lags)
+        fit = stats.hac_regression(test, used, lags, ties)
         of_x = [F.get(c, F.lit(1)).alias(f"ols_{c}{suffix}") for c in ("beta", "p")]
         joined = joined.join(fit.select(*stats.CELL, *of_x, F.when(F.col("beta").isNotNull(), F.col("r2")).alias(f"ols_r2{suffix}")), stats.CELL, "left")
     return joined.select(*COLUMNS)
