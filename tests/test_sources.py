@@ -301,3 +301,9 @@ def test_config(tmp_path):
     (tmp_path / "bad.json").write_text('{"fees": {"other": 1}}')
     with pytest.raises(ValueError):
         config.load(str(tmp_path / "bad.json"), {})
+
+
+def test_a_line_is_parsed_once(spark):
+    lines = spark.createDataFrame([(json.dumps(L2),), ("{broken",)], "value string")
+    plan = raw.l2book(raw.envelope(lines)).select("coin", "bid_px")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("json_tuple(") == 1 and "get_json_object" not in plan
