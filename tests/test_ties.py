@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as e
+from tidebook.operators import asof
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +41,10 @@ def test_ties_go_in_the_order_of_events(spark, tied, name):
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{tied}/events.parquet'")
     want = sorted(map(repr, db.execute(e.oracle_sql()[name]).fetchall()))
     assert sorted(repr(tuple(r)) for r in e.queries()[name](spark, tied).collect()) == want
+
+
+@pytest.mark.parametrize("order", [(1, 2), (2, 1)])
+def test_the_last_of_books_received_together_is_matched(spark, order):
+    books = spark.createDataFrame([("X", 5, 5, i) for i in order], "coin string, exch_time_ms long, recv_ts_ns long, event_id long")
+    trades = spark.createDataFrame([("X", 6)], "coin string, exch_time_ms long")
+    assert [r.event_id for r in asof.book_before_trade(trades, books, ["event_id"], ties=("event_id",)).collect()] == [2]
