@@ -2,7 +2,8 @@
 
 For ranks, values are counted first; the counts are cut at the group's approximate quantiles into buckets, and ranks are
 running sums within a bucket on top of those of the buckets below. So no group is sorted in one task. A quantile needs
-less: approximate ones bracket it, and only the bracket is sorted.
+less: approximate ones bracket it, and only the bracket is sorted. Cuts and brackets, a row per group, are broadcast:
+joined otherwise, a group would be one task.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def value_ranks(df: DataFrame, value: str, by: list[str], buckets: int = 64) ->
     shares = [i / buckets for i in range(1, buckets)]
     cuts = df.groupBy(*by).agg(F.percentile_approx(value, shares, 1000).alias("_cuts"))
     # how many cuts are smaller, by halving
-    counts, step = counts.join(cuts, by).withColumn("_bucket", F.lit(0)), buckets // 2
+    counts, step = counts.join(F.broadcast(cuts), by).withColumn("_bucket", F.lit(0)), buckets // 2
     while step:
         more = F.when(F.get("_cuts", F.col("_bucket") + (step - 1)) < F.col(value), F.lit(step)).otherwise(F.lit(0))
         counts, step = counts.withColumn("_bucket", F.col("_bucket") + more), step // 2
@@ -51,7 +52,7 @@ def quantile(df: DataFrame, value: str, share: float, by: list[str], accuracy: i
     small = F.col("_count") < accuracy
     ends = {"_from": F.when(small, F.col("_least")).otherwise(F.col("_c")[0]), "_to": F.when(small, F.col("_most")).otherwise(F.col("_c")[1])}
     bounds = bounds.select(*by, (F.lit(float(share)) * (F.col("_count") - 1)).alias("_at"), *[c.alias(n) for n, c in ends.items()])
-    inside = df.join(bounds, by)
+    inside = df.join(F.broadcast(bounds), by)
     inside = inside.where(F.col("_v") <= F.col("_to")) if high < 1 else inside
     kept = F.when(F.col("_v") >= F.col("_from"), F.col("_v")) if low > 0 else F.col("_v")
     counts = inside.groupBy(*by, kept.alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.first("_at").alias("_at"))
