@@ -40,7 +40,7 @@ def study(
     joined = stats.information_coefficient(test, ("exch_time_ms", *ties)).join(stats.directional_accuracy(test), stats.CELL, "left")
     joined = joined.join(stats.net_of_cost(test, limits, taker_bps), stats.CELL, "left").join(limits, ["coin", "feature"], "left")
     for used, suffix in (([], ""), (controls, "_ctrl")):
-        fit = stats.hac_regression(test, used, lags, ties)
+        fit = stats.hac_regression(test, used, lags, ties, wide.where("is_train = false"), label)
         of_x = [F.get(c, F.lit(1)).alias(f"ols_{c}{suffix}") for c in ("beta", "p")]
         joined = joined.join(fit.select(*stats.CELL, *of_x, F.when(F.col("beta").isNotNull(), F.col("r2")).alias(f"ols_r2{suffix}")), stats.CELL, "left")
     return joined.select(*COLUMNS)
