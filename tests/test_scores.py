@@ -53,11 +53,13 @@ def test_sums_over_stretches_match_the_matrix_form(crumbs, lags):
             assert r["beta"] == pytest.approx(beta) and r["t"] == pytest.approx(beta / np.sqrt(np.diag(inv @ cov @ inv))) and (r.n, r.lags) == (len(x), lags)
 
 
-def test_no_table_of_the_query_has_a_row_per_cell_and_book(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize(("name", "told"), [("hac_regression_controls", "t"), ("imbalance_study", "spearman")])
+def test_no_table_of_the_query_has_a_row_per_cell_and_book(spark, tmp_path, monkeypatch, name, told):
     """The cells of a book are not stored or shuffled one by one."""
     import duckdb
 
     import __spark_entry__ as e
+    from tidebook.operators import study
     from tidebook.plans import queries
 
     duckdb.connect().execute(
@@ -74,8 +76,8 @@ def test_no_table_of_the_query_has_a_row_per_cell_and_book(spark, tmp_path, monk
 
         return of
 
-    for module in (stats, queries):
+    for module in (stats, study, queries):
         monkeypatch.setattr(module, "stored", counted(module.stored))
-    rows = e.queries()["hac_regression_controls"](spark, str(tmp_path))
-    assert rows.where(F.col("t").isNotNull()).count() == 75
+    rows = e.queries()[name](spark, str(tmp_path))
+    assert rows.where(F.col(told).isNotNull()).count() == 75
     assert sizes and max(n for _, n in sizes) <= 3000

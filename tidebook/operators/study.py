@@ -28,9 +28,11 @@ def study(
     ties: tuple[str, ...] = (),
 ) -> DataFrame:
     """Books of all coins to one row per (coin, feature, horizon) on the test split. Thresholds come from
-    the train split alone. One book per time is used, or, with `ties`, all of them in their order. Everything is a column of one DataFrame; stored are the features, the labelled table and the sums."""
+    the train split alone. One book per time is used, or, with `ties`, all of them in their order. Everything is a column of one DataFrame; stored are the features, the labelled table and the sums, but no cells of books."""
     split = stats.chronological_split(stats.with_history(stored(features.feature_table(books, depths, ties=ties), "features"), least_rows), train_fraction)
-    wide = stored(asof.forward_returns(split, horizons_ms, (label,), ties=ties), "labelled")
+    # what is looked at below, and no more, is matched, shuffled and stored
+    split = split.select(*dict.fromkeys(["coin", "exch_time_ms", *ties, "is_train", label, *signals, *controls, "spread_bps"]))
+    wide = stored(asof.forward_returns(split, horizons_ms, (label,), ties=ties), "labelled", narrow=False)
     long = lambda df: stats.long_form(df, signals, horizons_ms, label, (*controls, *ties))
     test, train = long(wide.where("is_train = false")), long(wide.where("is_train")).where(F.col("horizon_ms") == horizons_ms[0])
     limits = stats.thresholds(train, quantile)
