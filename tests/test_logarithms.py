@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.functions.book import ln
-from tidebook.operators import features
+from tidebook.operators import asof, features
 
 #: Mids of a rising book: of Spark's own logarithms of these, some differ in the last bit.
 MIDS = [9_000 + i / 4 for i in range(2_000)]
@@ -29,6 +29,11 @@ def test_log_returns(books, logs):
     assert [got[i] for i in range(len(MIDS))] == [None, *[b - a for a, b in zip(logs, logs[1:])]]
 
 
+def test_forward_returns(books, logs):
+    got = {r.exch_time_ms: r.fwd_logret_mid_7ms for r in asof.forward_returns(books, [7], ("mid",)).collect()}
+    assert [got[i] for i in range(len(MIDS))] == [*[b - a for a, b in zip(logs, logs[7:])], *[None] * 7]
+
+
 def test_no_logarithm_of_what_is_not_above_0(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 0.0), (2, -1.0), (3, None)], "i int, x double")
     assert [r.y for r in df.select("i", ln(F.col("x")).alias("y")).orderBy("i").collect()] == [0.0, None, None, None]
